@@ -1,11 +1,15 @@
 """The queries of the corpus operators and, where SQL can express them, their oracles."""
 
+from .linededup import OP3_SQL, op3_line_dedup
 from .mixing import op9_mixing
 from .sharding import op5_sharding
 
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
     "op5_sharding": op5_sharding,
     "op9_mixing": op9_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
+}
