@@ -2,12 +2,14 @@
 
 from .linededup import OP3_SQL, op3_line_dedup
 from .mixing import op9_mixing
+from .pii import op10_pii
 from .sharding import op5_sharding
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_sharding": op5_sharding,
     "op9_mixing": op9_mixing,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
