@@ -152,7 +152,7 @@ def op9_mixing(spark, sf_dir) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     placed, pieces, slots = plan(docs)
-    taken = pieces.join(taken_blocks(slots), ["rank", "block"]).groupBy("rank", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    taken = pieces.join(taken_blocks(slots).hint("merge"), ["rank", "block"]).groupBy("rank", "at").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     whole = placed.join(taken.withColumn("_n", F.lit(True)), (placed["rank"] == taken["rank"]) & (placed["at"] == taken["at"]) & (placed["size"] > 0), "left")
     return whole.select(placed["doc_id"].cast("long").alias("doc_id"), placed["size"], placed["source_size"], placed["target"], F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -176,7 +176,7 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     A document of which nothing is taken has no row.
     """
     placed, pieces, slots = plan(docs.select("doc_id", "text", "lang", "source"), keep_text=True, **options)
-    parts = pieces.join(taken_blocks(slots), ["rank", "block"]).groupBy("rank", "at").agg(F.collect_list(F.struct("first", "words", "times")).alias("parts"))
+    parts = pieces.join(taken_blocks(slots).hint("merge"), ["rank", "block"]).groupBy("rank", "at").agg(F.collect_list(F.struct("first", "words", "times")).alias("parts"))
     cut = placed.filter("size > 0").join(parts, ["rank", "at"]).select("doc_id", "lang", "source", "text", "parts")
     schema = T.StructType([f for f in cut.schema.fields if f.name not in ("text", "parts")]).add("texts", "array<string>")
     return cut.mapInArrow(_cut, schema).select("doc_id", F.explode("texts").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long"))
