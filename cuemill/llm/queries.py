@@ -4,10 +4,12 @@ from .linededup import OP3_SQL, op3_line_dedup
 from .mixing import op9_mixing
 from .pii import op10_pii
 from .sharding import op5_sharding
+from .tiff import op6_tiff
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_sharding": op5_sharding,
+    "op6_tiff": op6_tiff,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
 }
