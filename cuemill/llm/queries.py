@@ -2,6 +2,7 @@
 
 from .linededup import OP3_SQL, op3_line_dedup
 from .mixing import op9_mixing
+from .packing import op8_packing
 from .pii import op10_pii
 from .sharding import op5_sharding
 from .tiff import op6_tiff
@@ -10,6 +11,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op5_sharding": op5_sharding,
     "op6_tiff": op6_tiff,
+    "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
 }
