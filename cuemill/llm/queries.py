@@ -6,8 +6,10 @@ from .packing import op8_packing
 from .pii import op10_pii
 from .sharding import op5_sharding
 from .tiff import op6_tiff
+from .topk import OP1_SQL, op1_topk
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op3_line_dedup": op3_line_dedup,
     "op5_sharding": op5_sharding,
     "op6_tiff": op6_tiff,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_topk": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
 }
