@@ -4,12 +4,14 @@ from .linededup import OP3_SQL, op3_line_dedup
 from .mixing import op9_mixing
 from .packing import op8_packing
 from .pii import op10_pii
+from .quality import op2_quality
 from .sharding import op5_sharding
 from .tiff import op6_tiff
 from .topk import OP1_SQL, op1_topk
 
 QUERIES = {
     "op1_topk": op1_topk,
+    "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op5_sharding": op5_sharding,
     "op6_tiff": op6_tiff,
