@@ -1,5 +1,6 @@
 """The queries of the corpus operators and, where SQL can express them, their oracles."""
 
+from .jaccard import op4_ngram_jaccard
 from .linededup import OP3_SQL, op3_line_dedup
 from .mixing import op9_mixing
 from .packing import op8_packing
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_topk": op1_topk,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_sharding": op5_sharding,
     "op6_tiff": op6_tiff,
     "op8_packing": op8_packing,
