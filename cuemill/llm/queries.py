@@ -7,6 +7,7 @@ from .packing import op8_packing
 from .pii import op10_pii
 from .quality import op2_quality
 from .sharding import op5_sharding
+from .suffixes import op7_suffix_dedup
 from .tiff import op6_tiff
 from .topk import OP1_SQL, op1_topk
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_sharding": op5_sharding,
     "op6_tiff": op6_tiff,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
