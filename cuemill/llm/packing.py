@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -17,35 +19,58 @@ from .common import running_total, store, table
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
-KNOWN_CHUNKS, LONGEST_KNOWN = 1 << 19, 48
+KNOWN_CHUNKS, LONGEST_KNOWN = 600_000, 48
+MARKS = b".,!?;:$%&*#"
+
+
+_LETTER = re.compile(rb"(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf])\Z")  # at the end: ASCII, or a letter below U+0240 but U+0130, whose small form ends in a mark
 
 
 class Chunks(dict):
-    """Token ids (little-endian 32 bits) of chunks between ASCII white space, which this tokenizer never joins."""
+    """Token ids (little-endian 32 bits) of chunks between ASCII white space, which this tokenizer never joins.
+
+    A chunk not met before is looked up without the marks at its end and with A-Z lower-cased, as the tokenizer splits
+    and normalises it; the tokenizer runs only on new stems.  Of either memory the last KNOWN_CHUNKS to twice as many stay.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self[c] = np.array(e.ids, "<u4").tobytes()
+        self.old, self.stems, self.old_stems = {}, {}, {}
+
+    def stem(self, c: bytes) -> bytes:
+        got = self.stems.get(c)
+        if got is None:
+            got = self.old_stems.get(c)
+            if got is None:
+                got = array("I", self.tokenizer.encode(c.decode(), add_special_tokens=False).ids).tobytes()
+            if len(c) <= LONGEST_KNOWN:
+                if len(self.stems) >= KNOWN_CHUNKS:
+                    self.old_stems, self.stems = self.stems, {}
+                self.stems[c] = got
+        return got
+
+    def __missing__(self, c: bytes) -> bytes:
+        got = self.old.get(c)
+        if got is None:
+            body = c.rstrip(MARKS)
+            if b"<|" in c or not body or not _LETTER.search(body):
+                got = self.stem(c)  # special tokens are found before anything is normalised; marks would join marks
+            else:
+                got = self.stem(body.lower())
+                if len(body) < len(c):
+                    got += self.stem(c[len(body) :])
+        if len(c) <= LONGEST_KNOWN:
+            if len(self) >= KNOWN_CHUNKS:
+                self.old = dict(self)
+                self.clear()
+            self[c] = got
+        return got
 
     def ids(self, text: str) -> bytes:
-        chunks = text.encode().split()
-        self.learn(set(chunks))
-        out = b"".join(map(self.__getitem__, chunks))
-        if len(self) > KNOWN_CHUNKS:
-            self.clear()
-        else:
-            for c in [c for c in set(chunks) if len(c) > LONGEST_KNOWN]:
-                del self[c]
-        return out
+        return b"".join(map(self.__getitem__, text.encode().split()))
 
 
 _tokenizers: dict[str, Chunks] = {}
