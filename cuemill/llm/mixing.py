@@ -178,5 +178,5 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     placed, pieces, slots = plan(docs.select("doc_id", "text", "lang", "source"), keep_text=True, **options)
     parts = pieces.join(taken_blocks(slots).hint("merge"), ["rank", "block"]).groupBy("rank", "at").agg(F.collect_list(F.struct("first", "words", "times")).alias("parts"))
     cut = placed.filter("size > 0").join(parts, ["rank", "at"]).select("doc_id", "lang", "source", "text", "parts")
-    schema = T.StructType([f for f in cut.schema.fields if f.name not in ("text", "parts")]).add("texts", "array<string>")
+    schema = T.StructType([f for f in cut.schema.fields if f.name not in ("text", "parts")]).add("texts", T.ArrayType(T.StringType()))
     return cut.mapInArrow(_cut, schema).select("doc_id", F.explode("texts").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long"))
