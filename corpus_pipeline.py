@@ -1,28 +1,61 @@
 """A training corpus from documents: quality classifier, line dedup, n-gram Jaccard join, mixing, best-fit packing.
 
-Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents;
-the last returns the packed pieces.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of documents.  Stages are written as Parquet and read again, so a lost executor costs at most one stage.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuemill.llm import mixing
-from cuemill.llm.common import store
+from cuemill.llm import jaccard, linededup, mixing, packing, quality
+from cuemill.llm.common import small, store, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier, trained on these documents' labels, does not reject."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs.select(*COLUMNS), model).filter(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that other documents repeat; n_chars follows the text."""
+    out = linededup.drop_repeated_lines(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id.  Texts without words have no group."""
+    found = store(jaccard.near_duplicates(docs), "stage-near")
+    rest = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(small(rest, rest.count(), 16), F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: rows repeat documents, or parts of them, as often as the mix takes them."""
-    return mixing.mixed_texts(docs)
+    return mixing.mixed_texts(docs).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the mixed documents and their places in sequences."""
+    return packing.packed_documents(docs, with_ids=False)
 
 
-STAGES = [("mixing sources to target weights", mix)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
+]
 
-#: Word permutations and boosted trees are beyond SQL; tests/llm checks the stages against brute force.
+#: Boosted trees, pseudorandom permutations and a tokenizer are beyond SQL; tests/llm checks the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = store(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        docs = store(stage(spark, docs, sf_dir), "stage-" + name.lower().replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
