@@ -28,8 +28,9 @@ def _keys(text: str, min_chars: int) -> tuple[list[str], list[bytes | None]]:
 class LineRuns:
     """Levels of sorted runs (key, n_docs, max_doc) in the shared folder.
 
-    A run holds what one batch of documents adds to its keys; when a level has `fanout` runs they are merged into one
-    run of the next level.  A key may stand in several runs: its counts add up, its largest document wins.
+    The batches come from the largest doc_ids down.  A run holds what one batch adds: the keys that no earlier run has,
+    with their largest document, which is then known for good, and the counts of the keys that one has.  When a level has
+    `fanout` runs they are merged into one run of the next level, so a key stands in few runs; its counts add up.
     """
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
@@ -42,16 +43,24 @@ class LineRuns:
             whole = whole.unionByName(r)
         return whole.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
 
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
+
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows of keys that are in no run: merge anti-joins, run by run."""
-        for run in (r for level in self.levels for r in level):
-            keys = keys.hint("merge").join(run.select("key"), "key", "left_anti")
+        for run in self.runs():
+            keys = keys.join(run.select("key").hint("merge"), "key", "left_anti")
         return keys
 
     def add(self, keys: DataFrame) -> None:
-        """Adds a batch (key, doc_id; each pair once, no document of an earlier batch) as a run of its own."""
-        run = keys.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
-        self.levels[0].append(store(run.sortWithinPartitions("key"), "line-run-0"))
+        """Adds a batch: key, doc_id, each pair once, all doc_ids below those of earlier batches."""
+        own = store(keys.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")), "line-batch")
+        run = own
+        if self.runs():
+            fresh = self.unseen(own)
+            known = own.join(fresh.select("key").hint("merge"), "key", "left_anti").withColumn("max_doc", F.lit(None).cast("long"))
+            run = fresh.unionByName(known)
+        self.levels[0].append(store(run.repartition("key").sortWithinPartitions("key"), "line-run-0"))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             if level + 1 == len(self.levels):
@@ -63,7 +72,7 @@ class LineRuns:
 
     def totals(self) -> DataFrame:
         """key, n_docs, max_doc over all runs."""
-        return self._merge([r for level in self.levels for r in level])
+        return self._merge(self.runs())
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -89,7 +98,7 @@ def drop_repeated_lines(
 
     A line's key is the line stripped of ASCII white space, A-Z lower-cased.  A key of min_chars code points or more that
     min_docs documents (doc_ids) or more hold keeps its lines only in the largest of them.  The documents come in batches
-    by a hash of doc_id; each adds a run.  The repeated keys then meet the lines by broadcast while there are at most
+    of falling doc_ids; each is merged against the runs so far and adds its own.  The repeated keys then meet the lines by broadcast while there are at most
     broadcast_keys of them, else by joins on key and doc_id.
     Nulls: a null text is one empty line and comes back empty; a null doc_id is a document below all others.  Rows with
     one doc_id are one document.  Texts of any length are read whole.  Other columns stay; clashing ones are replaced.
@@ -98,8 +107,10 @@ def drop_repeated_lines(
     docs = docs.drop("n_lines", "n_dropped")
     keys = store(line_keys(docs, min_chars), "line-keys")
     runs = LineRuns(spark, fanout)
-    for k in range(batches):
-        runs.add(keys.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k).distinct())
+    cuts = keys.agg(F.percentile_approx("doc_id", [k / batches for k in range(batches - 1, 0, -1)])).first()[0] or []
+    for above, low in zip([None, *cuts], [*cuts, None], strict=True):
+        batch = keys if low is None else keys.filter(F.col("doc_id") > low)
+        runs.add((batch if above is None else batch.filter(F.col("doc_id") <= above)).distinct())
     repeated = store(runs.totals().filter(F.col("n_docs") >= min_docs), "line-repeated")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     names = docs.columns
