@@ -16,6 +16,8 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # links at an intersection of 4/5 of th
 WIDTH = 1 << 18
 PARTS = 64
 SHORT_LIST = 16
+LEADERS = 2
+TURNS = 2
 PAIRS_A_TASK = 512
 _LOWEST = -(2**63)
 
@@ -148,8 +150,9 @@ def _lists(batches, names):
 def _first_pairs(batches):
     """Pairs of groups from the lists of one task, and the members of long lists.
 
-    Lists of up to SHORT_LIST groups give all pairs that pass the filters.  Longer ones give each group's pair with the
-    one before it by size and with the list's least group, and all their members, from which later_pairs finds the rest.
+    Lists of up to SHORT_LIST groups give all pairs that pass the filters.  Longer ones give each group's pairs with the
+    one before it by size and with the list's LEADERS, in whose sets the token comes earliest - the copies with the
+    fewest tokens of their own, likeliest to link with others; and all their members, for the passes that follow.
     """
     a, b, held = [], [], 0
 
@@ -173,10 +176,11 @@ def _first_pairs(batches):
             held += len(i)
         for s, m in zip(start[size > SHORT_LIST], size[size > SHORT_LIST], strict=True):
             i = np.arange(s, s + m)
-            j = np.full(m, s + int(g[s : s + m].argmin()))
-            ok = _possible(n, pos, i, j)
-            a.append(g[i[ok]])
-            b.append(g[j[ok]])
+            leaders = i[np.lexsort((g[i], pos[i]))][:LEADERS]
+            left, right = np.tile(i, len(leaders)), np.repeat(leaders, m)
+            ok = _possible(n, pos, left, right)
+            a.append(g[left[ok]])
+            b.append(g[right[ok]])
             held += int(ok.sum())
             yield pa.RecordBatch.from_arrays([pa.array(token[i]), pa.array(g[i]), pa.array(np.full(m, 1)), pa.array(n[i].astype(np.int32)), pa.array((pos[i] + 1).astype(np.int32))], names=["token", "a", "b", "n", "pos"])
         if held > 1 << 20:
@@ -186,6 +190,33 @@ def _first_pairs(batches):
         yield flush()
 
 
+def _leader_pairs(turn: int):
+    """From long lists whose groups carry their component: pairs with the turn's LEADERS that are of another component."""
+
+    def step(batches):
+        a, b, held = [], [], 0
+        for token, g, n, pos, root in _lists(batches, ("token", "g", "n", "pos", "root")):
+            order = np.lexsort((g, pos, token))
+            token, g, n, pos, root = token[order], g[order], n[order].astype(np.int64), pos[order].astype(np.int64), root[order]
+            start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            size = np.diff(np.r_[start, len(token)])
+            at, i = np.repeat(start, size), np.arange(len(token))
+            for k in range(turn * LEADERS, (turn + 1) * LEADERS):
+                own = k < np.repeat(size, size)
+                x, y = i[own], at[own] + k
+                ok = (root[x] != root[y]) & _possible(n, pos, x, y)
+                a.append(g[x[ok]])
+                b.append(g[y[ok]])
+                held += int(ok.sum())
+            if held > 1 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unique_pairs(a, b)], names=["a", "b"])
+                a, b, held = [], [], 0
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unique_pairs(a, b)], names=["a", "b"])
+
+    return step
+
+
 def _later_pairs(batches):
     """From long lists whose groups carry the component found so far: all pairs of different components that pass the filters."""
     a, b, held = [], [], 0
@@ -258,9 +289,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Documents link when their sets of shingles have a Jaccard similarity of NUMERATOR / DENOMINATOR or more; component_id
     is the smallest doc_id that links reach.  Equal sets are one node; nodes with equal size and prefix are one group.
     Prefix tokens pair groups; sizes and positions filter the pairs; members of the pairs left are verified by their
-    sets.  A long list of groups with one token is first linked along chains and stars, and then, once these links are
-    known, by all its pairs between different components: no link between components is lost, and clusters of
-    thousands of near copies need no pair for each two of them.
+    sets.  A long list of groups with one token is first linked with a few leaders, and then, once these links are known,
+    by all its pairs between different components: no link between components is lost, and clusters of thousands of
+    near copies need no pair for each two of them.
     Nulls: a null text is an empty set, linked with nothing; a null doc_id is the smallest doc_id, returned as null.
     Rows with one doc_id each have their set.  Other columns are not read.
     """
@@ -286,23 +317,37 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     links = store(verified(pairs, nodes, docs, words), "jaccard-links")
     roots = components(links)
 
-    # the rest: pairs between different components, from long lists and from groups of several sets
-    rooted = nodes.join(roots.withColumnRenamed("node", "u"), "u", "left").select("u", "g", F.coalesce("root", "u").alias("root"))
-    rooted = store(rooted, "jaccard-rooted")
-    marks = rooted.groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    marks = marks.select(F.col("g").alias("a"), F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("g", F.lit(1))).alias("root"))
-    long = first.filter("pos > 0").select("token", "a", "n", (F.col("pos") - 1).alias("pos")).join(marks.hint("merge"), "a").withColumnRenamed("a", "g")
-    later = long.repartition("token").sortWithinPartitions("token", "n", "g").mapInArrow(_later_pairs, "a long, b long").distinct()
-    later = store(later, "jaccard-later")
+    def rooted():
+        return nodes.join(roots.withColumnRenamed("node", "u"), "u", "left").select("u", "g", F.coalesce("root", "u").alias("root"))
+
+    def from_long_lists(find):
+        marks = rooted().groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        marks = marks.select(F.col("g").alias("a"), F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("g", F.lit(1))).alias("root"))
+        dealt = long.join(marks.hint("merge"), "a").withColumnRenamed("a", "g").repartition("token").sortWithinPartitions("token", "n", "g")
+        return dealt.mapInArrow(find, "a long, b long").distinct()
+
+    # turns of further leaders join most of what long lists hold together, at a few pairs for each posting
+    long = first.filter("pos > 0").select("token", "a", "n", (F.col("pos") - 1).alias("pos"))
+    tried = pairs
+    for turn in range(1, TURNS):
+        new = by_head(from_long_lists(_leader_pairs(turn))).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
+        new = store(new, "jaccard-turn")
+        if new.isEmpty():
+            break
+        roots = components(roots.toDF("a", "b").union(verified(new, nodes, docs, words)))
+        tried = tried.union(new)
+
+    # then all pairs that are left between different components, of long lists and of groups of several sets
+    later = store(from_long_lists(_later_pairs), "jaccard-later")
     multi = heads.filter("size > 1").select("g")
     of_multi = group_pairs.join(multi.withColumnRenamed("g", "a"), "a", "left_semi").union(group_pairs.join(multi.withColumnRenamed("g", "b"), "b", "left_semi").select("a", "b"))
     of_multi = of_multi.union(multi.select(F.col("g").alias("a"), F.col("g").alias("b")))
-    left, right = rooted.toDF("u", "a", "ru"), rooted.toDF("v", "b", "rv")
+    left, right = rooted().toDF("u", "a", "ru"), rooted().toDF("v", "b", "rv")
     more = later.union(of_multi).distinct().join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter("ru <> rv and u <> v")
-    more = more.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().join(pairs.hint("merge"), ["a", "b"], "left_anti")
+    more = more.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
     more = store(more, "jaccard-more")
     if not more.isEmpty():
-        roots = components(links.union(verified(more, nodes, docs, words)))
+        roots = components(roots.toDF("a", "b").union(verified(more, nodes, docs, words)))
 
     whole = nodes.join(roots.withColumnRenamed("node", "u"), "u", "left").select("u", "rep", F.coalesce("root", "u").alias("root"))
     least = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
