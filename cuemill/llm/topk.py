@@ -63,12 +63,14 @@ class SortedLists:
             seen |= fresh
             at = np.flatnonzero(fresh)
             s = self.x[at] @ q
+            if s.dtype == object:
+                s = np.maximum(np.minimum(s, 2**63 - 1), -(2**63))
             keep = self.ids[at] != own
             i, s = np.r_[best_i, self.ids[at][keep]], np.r_[best_s, s[keep]]
             if len(i) > 8 * k:
                 near = s >= np.partition(s, len(s) - k)[len(s) - k]
                 i, s = i[near], s[near]
-            top = np.lexsort((i, -s))[:k]
+            top = np.lexsort((i, -s))[:k] if s.dtype != object else np.array(sorted(range(len(s)), key=lambda t: (-s[t], i[t]))[:k], np.int64)
             best_i, best_s = i[top], s[top]
             if depth == n:
                 return best_i, best_s
@@ -93,7 +95,7 @@ def _vectors(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """ids and components by dimension."""
     ids, raw = rows["vec_id"].to_numpy(), rows["v"].to_pylist()
     sizes = np.array([len(r) // 8 for r in raw], np.int64)
-    return {int(d): (ids[sizes == d], np.frombuffer(b"".join(r for r, n in zip(raw, sizes, strict=True) if n == d), np.float64).reshape(-1, d)) for d in np.unique(sizes)}
+    return {int(d): (ids[sizes == d], np.frombuffer(b"".join(r for r, n in zip(raw, sizes, strict=True) if n == d), np.float64).reshape(int((sizes == d).sum()), d)) for d in np.unique(sizes)}
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -124,7 +126,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP, block: int =
                 got, scores = lists.search(row, i, k)
                 out[0].extend([i] * len(got))
                 out[1].extend(got.tolist())
-                out[2].extend(max(-(2**63), min(2**63 - 1, int(s))) for s in scores)
+                out[2].extend(map(int, scores))
         return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
 
     met = left.groupBy("c", "g").cogroup(right.groupBy("c", "g")).applyInArrow(meet, "query_id long, vec_id long, score long")
