@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +53,29 @@ def with_field(df: DataFrame, name: str, kind: str) -> T.StructType:
     return T.StructType([*df.schema.fields]).add(name, kind)
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system: idle Python workers stay, and share the executor with others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def lean(step, rows: int = 1000):
+    """A step over Arrow batches that sees at most `rows` rows at a time and releases its memory at the end."""
+
+    @functools.wraps(step)
+    def run(batches):
+        try:
+            yield from step(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+        finally:
+            release()
+
+    return run
+
+
 def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import small, store, table
+from .common import lean, small, store, table
 from .components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # links at an intersection of 4/5 of the union or more
@@ -56,6 +56,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def shingle_counts(docs: DataFrame, width: int = WIDTH, words: int = WORDS) -> bytes:
     """How many documents hold shingles of each of `width` hash classes, as 32-bit counters: the same size for any corpus."""
 
+    @lean
     def count(batches):
         held = np.zeros(width, np.int64)
         for b in batches:
@@ -83,6 +84,7 @@ def prefixes(docs: DataFrame, counts: bytes, words: int = WORDS) -> DataFrame:
     """
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
+    @lean
     def find(batches):
         order = np.frombuffer(held.value, "<u4")
         mask = ta.U(len(order) - 1)
@@ -100,6 +102,7 @@ def prefixes(docs: DataFrame, counts: bytes, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(find, "doc_id long, n long, u long, g long, prefix binary")
 
 
+@lean
 def _explode(batches):
     for b in batches:
         g, n = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -252,6 +255,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = W
     need = ids.select("doc_id").distinct()
     texts = docs.join(small(need, need.count(), 16), "doc_id", "left_semi")
 
+    @lean
     def named(batches):
         for b in batches:
             us = [_print(s) for _, data, off in ta.chunks(b.column(1)) for s in shingle_sets(data, off, words)]
@@ -263,6 +267,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = W
     heads = many.withColumn("split", F.explode(F.expr("sequence(0L, splits - 1)"))).select("a", "split", F.col("a").alias("u"), F.lit(0).alias("other"))
     rows = heads.union(left.select("a", "split", F.col("b"), F.lit(1))).toDF("a", "split", "u", "other").join(texts.hint("merge"), "u")
 
+    @lean
     def compare(batches):
         key, head = None, None
         for b in batches:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, store, table
+from .common import lean, SPACE, store, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -78,6 +78,7 @@ class LineRuns:
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(key, doc_id) of each long line, once for each row of documents; a null doc_id stands below all others."""
 
+    @lean
     def find(batches):
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -129,6 +130,7 @@ def drop_repeated_lines(
     if repeated.count() <= broadcast_keys:
         held = spark.sparkContext.broadcast({bytes(r[0]): r[1] for r in repeated.select("key", "max_doc").collect()})
 
+        @lean
         def by_broadcast(batches):
             largest = held.value
             for b in batches:
@@ -140,6 +142,7 @@ def drop_repeated_lines(
     drops = keys.distinct().join(repeated, "key").filter("doc_id <> max_doc").groupBy("doc_id").agg(F.collect_list("key").alias("_drop"))
     whole = docs.join(drops.withColumnRenamed("doc_id", "_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)) == F.col("_doc"), "left").drop("_doc")
 
+    @lean
     def by_join(batches):
         for b in batches:
             yield rewrite(b, [set(x or ()).__contains__ for x in b.column(b.schema.get_field_index("_drop")).to_pylist()])

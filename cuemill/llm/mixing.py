@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .common import running_total, store, table
+from .common import lean, running_total, store, table
 
 BLOCK_WORDS = 64
 SHARDS = 64
@@ -21,6 +21,7 @@ SEED = 20240601
 def word_counts(docs: DataFrame) -> DataFrame:
     """docs with size: the words [^\\x20\\x09-\\x0D]+ of each whole text (0 if null)."""
 
+    @lean
     def count(batches):
         for b in batches:
             n = [np.zeros(0, np.int64)]
@@ -157,6 +158,7 @@ def op9_mixing(spark, sf_dir) -> DataFrame:
     return whole.select(placed["doc_id"].cast("long").alias("doc_id"), placed["size"], placed["source_size"], placed["target"], F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+@lean
 def _cut(batches):
     for b in batches:
         out = []

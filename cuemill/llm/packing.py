@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import running_total, store, table
+from .common import lean, running_total, store, table
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -89,6 +89,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     a rest.  vocabulary: the tokenizer's file, as the executors see it.  A null text is empty: END_ID alone.
     """
 
+    @lean
     def cut(batches):
         if vocabulary is None:
             import public_tokenizers

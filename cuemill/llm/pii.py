@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import store, table
+from .common import lean, store, table
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -108,6 +108,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def find_base(docs: DataFrame) -> DataFrame:
     """id, print (of the text), n_email ... n_phone, base (spans), base_sha256, company (entity, context, term)."""
 
+    @lean
     def find(batches):
         for b in batches:
             out = []
@@ -175,6 +176,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame | None:
         return None
     passing = _sieve(candidates, n)
 
+    @lean
     def count(batches):
         held: dict[str, int] = {}
         for b in batches:
@@ -214,6 +216,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     else:
         passing = _sieve(terms, n)
 
+        @lean
         def occurrences(batches):
             for b in batches:
                 out = []
@@ -237,6 +240,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     left out and those below it read [TERM].  Where spans overlap, the first in the order of start, then length, stands."""
     spans = find_spans(docs).select("id", "print", "base", "terms").distinct()
 
+    @lean
     def rewrite(batches):
         for b in batches:
             at = b.schema.get_field_index
@@ -252,6 +256,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
                 out.append(None if text is None else "".join([*parts, text[end:]]))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else b.column(at(n)) for n in names], names=names)
 
+    @lean
     def keyed(batches):
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()

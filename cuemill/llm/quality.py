@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .common import table
+from .common import lean, table
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -172,6 +172,7 @@ def _held_out(doc_id):
 
 
 def with_features(docs: DataFrame) -> DataFrame:
+    @lean
     def find(batches):
         for b in batches:
             rows = [np.zeros((0, len(FEATURES)))]
@@ -208,6 +209,7 @@ def scored(docs: DataFrame, model: Additive) -> DataFrame:
     """docs with score (0 to 1, higher: better), by additions of table entries; a null text is empty.  Other columns stay."""
     docs = docs.drop("score")
 
+    @lean
     def add(batches):
         for b in batches:
             out = [np.zeros(0)]

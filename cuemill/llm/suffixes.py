@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import running_total, store, table
+from .common import lean, running_total, store, table
 
 LENGTH = 100
 GRAM = 32
@@ -132,7 +132,7 @@ def _sampled(length, gram):
         if held:
             yield from flush()
 
-    return step
+    return lean(step)
 
 
 def _named(batches):
@@ -204,7 +204,7 @@ def _contents(length):
             for s in range(0, len(out[0]), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c[s : s + (1 << 16)], t) for c, t in zip(out, kinds, strict=True)], names=names)
 
-    return step
+    return lean(step)
 
 
 def _compared(length):
@@ -276,7 +276,7 @@ def _apply(length):
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(at("doc_id")), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), span, pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return step
+    return lean(step)
 
 
 def drop_repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import lean, table
 
 NONE, LZW, ADOBE_DEFLATE, PACKBITS, DEFLATE = 1, 5, 8, 32773, 32946
 # Fixed values of the format: the struct letter and size of each field type.
@@ -295,6 +295,7 @@ def pages(df: DataFrame, media: str = "media") -> DataFrame:
         except (ValueError, struct.error, OverflowError, MemoryError) as e:
             yield dict.fromkeys(names) | {"error": f"{type(e).__name__}: {e}"}
 
+    @lean
     def read(batches):
         for b in batches:
             rows, of = [], []
@@ -315,6 +316,7 @@ def text_media(docs: DataFrame) -> DataFrame:
     strips; equal texts give equal files.  A null text is empty.
     """
 
+    @lean
     def encode(batches):
         for b in batches:
             sizes, files = [], []
