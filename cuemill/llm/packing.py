@@ -29,8 +29,9 @@ _LETTER = re.compile(rb"(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x
 class Chunks(dict):
     """Token ids (little-endian 32 bits) of chunks between ASCII white space, which this tokenizer never joins.
 
-    A chunk not met before is looked up without the marks at its end and with A-Z lower-cased, as the tokenizer splits
-    and normalises it; the tokenizer runs only on new stems.  Of either memory the last KNOWN_CHUNKS to twice as many stay.
+    A chunk not met before is made of its stem - the chunk without the marks at its end, A-Z lower-cased, as the tokenizer
+    splits and normalises it - and of these marks; the tokenizer runs only on new stems.  The last KNOWN_CHUNKS to twice
+    as many chunks stay in memory.
     """
 
     def __init__(self, path: str):
@@ -38,30 +39,20 @@ class Chunks(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.old, self.stems, self.old_stems = {}, {}, {}
-
-    def stem(self, c: bytes) -> bytes:
-        got = self.stems.get(c)
-        if got is None:
-            got = self.old_stems.get(c)
-            if got is None:
-                got = array("I", self.tokenizer.encode(c.decode(), add_special_tokens=False).ids).tobytes()
-            if len(c) <= LONGEST_KNOWN:
-                if len(self.stems) >= KNOWN_CHUNKS:
-                    self.old_stems, self.stems = self.stems, {}
-                self.stems[c] = got
-        return got
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, c: bytes) -> bytes:
         got = self.old.get(c)
         if got is None:
             body = c.rstrip(MARKS)
-            if b"<|" in c or not body or not _LETTER.search(body):
-                got = self.stem(c)  # special tokens are found before anything is normalised; marks would join marks
+            stem = body.lower()
+            if stem == c or b"<|" in c or not _LETTER.search(body):
+                # a stem; or special tokens, which are found before anything is normalised; or marks that would join marks
+                got = array("I", self.tokenizer.encode(c.decode(), add_special_tokens=False).ids).tobytes()
             else:
-                got = self.stem(body.lower())
+                got = self[stem]
                 if len(body) < len(c):
-                    got += self.stem(c[len(body) :])
+                    got += self[c[len(body) :]]
         if len(c) <= LONGEST_KNOWN:
             if len(self) >= KNOWN_CHUNKS:
                 self.old = dict(self)
