@@ -6,7 +6,9 @@ import ctypes
 import functools
 import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SPACE = " \t\n\x0b\f\r"
 
 
@@ -53,8 +56,20 @@ def with_field(df: DataFrame, name: str, kind: str) -> T.StructType:
     return T.StructType([*df.schema.fields]).add(name, kind)
 
 
+#: What a worker remembers between tasks: name -> (last use, what forgets it).
+memories: dict[str, tuple[float, Callable[[], None]]] = {}
+FORGET_S = 10
+
+
 def release() -> None:
-    """Gives memory that a task has freed back to the system: idle Python workers stay, and share the executor with others."""
+    """Gives memory that a task has freed back to the system: idle Python workers stay, and share the executor with others.
+
+    What a worker remembers for tasks of one kind is forgotten by its tasks of other kinds, a few seconds later.
+    """
+    for name, (used, forget) in list(memories.items()):
+        if time.monotonic() - used > FORGET_S:
+            forget()
+            del memories[name]
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -64,10 +79,18 @@ def release() -> None:
 
 
 def lean(step, rows: int = 1000):
-    """A step over Arrow batches that sees at most `rows` rows at a time and releases its memory at the end."""
+    """A step over Arrow batches that sees at most `rows` rows at a time and releases its memory at the end.
+
+    Whole texts are long, so the session, too, sends batches of that size unless it is set to another than the default.
+    """
+    session = SparkSession.getActiveSession()
+    if session and session.conf.get(BATCH) == "10000":
+        session.conf.set(BATCH, str(rows))
 
     @functools.wraps(step)
     def run(batches):
+        if memories:
+            release()
         try:
             yield from step(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
         finally:

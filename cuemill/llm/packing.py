@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import time
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -14,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, running_total, store, table
+from .common import lean, memories, running_total, store, table
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
-KNOWN_CHUNKS, LONGEST_KNOWN = 600_000, 48
+KNOWN_CHUNKS, LONGEST_KNOWN = 450_000, 48
 MARKS = b".,!?;:$%&*#"
 
 
@@ -70,6 +71,7 @@ _tokenizers: dict[str, Chunks] = {}
 def chunks_of(path: str) -> Chunks:
     if path not in _tokenizers:
         _tokenizers[path] = Chunks(path)
+    memories["chunks"] = time.monotonic(), _tokenizers.clear
     return _tokenizers[path]
 
 
@@ -88,9 +90,9 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
             path = public_tokenizers.path(VOCABULARY)
         else:
             path = vocabulary
-        known, end = chunks_of(path), np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            out = []
+            known, out = chunks_of(path), []
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = known.ids(text or "") + end
                 for k in range(0, len(ids), 4 * capacity):
