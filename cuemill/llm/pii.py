@@ -81,7 +81,10 @@ def _entity(kind: str, value: str) -> int:
 
 
 def contexts(text: str, spans) -> list[tuple[int, int, str]]:
-    """(entity, hash of the context, term): the terms near each span, without what spans cover."""
+    """(entity, context, term): the terms near each span, without what spans cover.
+
+    A context is known by the least hash of its terms, which near copies of it mostly share: they support a term once.
+    """
     out, covered = [], sorted((s, e) for _, s, e in spans)
     starts = [s for s, _ in covered]
 
@@ -92,7 +95,7 @@ def contexts(text: str, spans) -> list[tuple[int, int, str]]:
     for kind, s, e in spans:
         before = [m[0].lower() for m in TERM.finditer(text, max(0, s - REACH), s) if free(m.start(), m.end())][-WINDOW:]
         after = [m[0].lower() for m in TERM.finditer(text, e, min(len(text), e + REACH)) if free(m.start(), m.end())][:WINDOW]
-        company = xxhash.xxh64_intdigest(" ".join([*before, "|", *after])) - (1 << 63)
+        company = min((xxhash.xxh64_intdigest(t) for t in {*before, *after}), default=0) - (1 << 63)
         out += [(_entity(kind, text[s:e]), company, t) for t in {*before, *after}]
     return out
 

@@ -168,12 +168,17 @@ def test_base_spans_equal_the_patterns():
         assert pii.base_spans(text) == plain_spans(text)
 
 
+APART = ["amber bridge candle", "dragon ember forest", "garden harbor island", "jungle kernel ladder", "magnet needle orchid", "pepper quartz ribbon", "saddle timber urchin", "velvet window yellow", "anchor barrel copper", "desert engine fabric", "goblet hammer insect", "jacket kettle lizard"]
+
+
 def test_pii_terms_and_texts(spark, docs, rows, empty):
-    near = [(k, f"Filler {'xyzuvw'[k] * 5} zebrafish write to ann@corp.example about it", "en", "s", 1, 1, "", "", "", 1) for k in range(6)]
+    near = [(k, f"{APART[k]} zebrafish ann@corp.example {APART[-1 - k]}", "en", "s", 1, 1, "", "", "", 1) for k in range(6)]
     other = [(100 + k, t, "en", "s", 1, 1, "", "", "", 1) for k, t in enumerate(["plain words about write it said", None, "", "call +1 555 010 9999 now"] * 30)]
     alone = [(900, "the zebrafish is here", "en", "s", 1, 1, "", "", "", 1)]
     got = {r.doc_id: r for r in pii.find_spans(h.frame(spark, near + other + alone)).withColumnRenamed("id", "doc_id").collect()}
     assert "term:4:13" == got[900].spans and got[900].n_email == 0
+    copies = [(k, f"copied word{k} from ocelot ann@corp.example to {'abcdef'[k] * 4}", "en", "s", 1, 1, "", "", "", 1) for k in range(6)]
+    assert not any("term" in r.spans for r in pii.find_spans(h.frame(spark, copies + other)).collect())
     assert got[0].spans.startswith("email:") and got[0].base_sha256 == hashlib.sha256(got[0].base.encode()).hexdigest()
     assert all("term" not in got[k].spans for k in range(100, 220) if k % 4 == 0)
     clean = {r.doc_id: r.text for r in pii.sanitised(h.frame(spark, near + other + alone)).collect()}
@@ -183,7 +188,7 @@ def test_pii_terms_and_texts(spark, docs, rows, empty):
 
 
 def test_pii_sieve_by_bits_is_exact(spark, monkeypatch):
-    near = [(k, f"{'xyzuvw'[k] * 5} zebrafish ann@corp.example said {k}", "en", "s", 1, 1, "", "", "", 1) for k in range(6)]
+    near = [(k, f"{APART[k]} zebrafish ann@corp.example {APART[-1 - k]}", "en", "s", 1, 1, "", "", "", 1) for k in range(6)]
     df = h.frame(spark, near + [(50 + k, "nothing to see here said plainly", "en", "s", 1, 1, "", "", "", 1) for k in range(60)])
     want = {tuple(r) for r in pii.find_spans(df).select("id", "spans").collect()}
     monkeypatch.setattr(pii, "EXACT_TERMS", 0)
