@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import media, names, quality, resources, text, times, uris
-from ..operators import candidates, cues, dedup, fallback, intervals, similarity, state, timeline
+from ..operators import candidates, cues, dedup, fallback, intervals, listings, similarity, state, timeline
 from . import tables as t
 
 QUERIES: dict[str, Callable] = {}
@@ -706,3 +706,44 @@ def vtt_round_trip(spark, sf_dir) -> DataFrame:
 
     c = t.cues(spark, sf_dir).withColumn("text", text.collapse(F.col("text"))).filter("text <> ''").withColumnRenamed("index", "seq")
     return vtt.parsed(vtt.documents(c), "media_id").select("media_id", "index", "start", "end", "text")
+
+
+# listings of output folders
+
+
+def _files(spark, sf_dir):
+    k = F.col("p_partkey")
+    name = F.element_at(F.array(*[F.lit(n) for n in ("_original.vtt", "_es.vtt", ".backup.vtt", ".mp4", ".mkv", "_tts.mp4", ".txt")]), (k % 7 + 1).cast("int"))
+    return t.table(spark, sf_dir, "part").select(F.concat(F.lit("f"), (k % 500).cast("string")).alias("folder"), F.concat(F.regexp_replace("p_name", " ", "_"), k.cast("string"), name).alias("name"))
+
+
+_FILES = """files AS (SELECT 'f' || p_partkey % 500 AS folder, replace(p_name, ' ', '_') || p_partkey || ['_original.vtt', '_es.vtt', '.backup.vtt', '.mp4', '.mkv', '_tts.mp4', '.txt'][p_partkey % 7 + 1] AS name FROM part)"""
+
+
+@query(f"""WITH {_FILES}, v AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY contains(name, '_tts.'), name NOT LIKE '%.mp4', name) AS k FROM files WHERE name LIKE '%.mp4' OR name LIKE '%.mkv'),
+s AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY NOT contains(name, '_original'), name) AS k FROM files WHERE name LIKE '%.vtt' AND NOT contains(name, '.backup'))
+SELECT coalesce(v.folder, s.folder) AS folder, v.name AS video, s.name AS subtitles FROM (SELECT * FROM v WHERE k = 1) v FULL JOIN (SELECT * FROM s WHERE k = 1) s ON v.folder = s.folder""")
+def folder_choices(spark, sf_dir) -> DataFrame:
+    f = _files(spark, sf_dir)
+    return listings.video_choice(f).withColumnRenamed("name", "video").join(listings.subtitle_choice(f, True).withColumnRenamed("name", "subtitles"), "folder", "full_outer")
+
+
+@query(f"""WITH {_FILES} SELECT folder, bool_or(name LIKE '%.mp4' OR name LIKE '%.mkv') AS has_video, bool_or(name LIKE '%.vtt' AND NOT contains(name, '.backup')) AS has_subtitles, bool_or(contains(name, '_tts.')) AS has_output FROM files GROUP BY folder""")
+def folder_flags(spark, sf_dir) -> DataFrame:
+    return listings.folder_flags(_files(spark, sf_dir))
+
+
+@query("""WITH n AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE replace(p_name, ' ', '_') END AS name FROM part), m AS (SELECT name, replace(lower(name), ' ', '_') AS new_name FROM n),
+w AS (SELECT *, bool_or(name = new_name) OVER (PARTITION BY new_name) AS taken, row_number() OVER (PARTITION BY new_name ORDER BY name) AS k FROM m)
+SELECT name, new_name, CASE WHEN name = new_name THEN 'unchanged' WHEN taken OR k > 1 THEN 'skip' ELSE 'rename' END AS action FROM w""")
+def normalised_tree(spark, sf_dir) -> DataFrame:
+    k = F.col("p_partkey") % 3
+    name = F.when(k == 0, F.col("p_name")).when(k == 1, F.upper("p_name")).otherwise(F.regexp_replace("p_name", " ", "_"))
+    return listings.normalised_tree(t.table(spark, sf_dir, "part").select(name.alias("name")).distinct())
+
+
+@query("""SELECT o_orderkey AS pos, 'out_' || o_orderkey % 700 AS output_folder, CASE WHEN o_orderkey % 700 % 3 = 0 THEN 'voiced' ELSE o_orderstatus END AS state, o_orderkey % 700 % 3 = 0 AND o_orderstatus <> 'voiced' AS changed FROM orders""")
+def manifest_patch(spark, sf_dir) -> DataFrame:
+    o = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("out_"), (F.col("o_orderkey") % 700).cast("string")).alias("output_folder"), F.col("o_orderstatus").alias("state"))
+    new = spark.range(700).filter("id % 3 = 0").select(F.concat(F.lit("out_"), F.col("id").cast("string")).alias("output_folder"), F.lit("voiced").alias("state"))
+    return listings.patched(o, new)
