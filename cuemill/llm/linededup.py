@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, SPACE, store, table
+from .common import SPACE, lean, store, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5

@@ -136,8 +136,10 @@ def _sampled(length, gram):
 
 
 def _named(batches):
-    """Of cells sorted by (key, c, doc, a): later cells of a name are gone; the firsts of a gram with several names go on,
-    with the number of these names in b's place of kind CELL rows' c."""
+    """Of cells sorted by (key, c, doc, a): later cells of a name are gone; the firsts of a gram with several names go on.
+
+    In the rows that go on, c is the number of names that their gram has.
+    """
     held = None
 
     def settle(cols):
