@@ -163,8 +163,8 @@ def _terms(text: str) -> set[str]:
     return set(map(str.lower, set(TERM.findall(text))))
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame | None:
-    """term, disclosure, for terms at or above GENERALISE; None where no term stands by one entity in enough contexts.
+def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """term, disclosure, for terms at or above GENERALISE.
 
     The disclosure of entity e by term t is PMI(e, t) / -log p(e), with probabilities over all documents: 1 if t never
     occurs without e, 0 if they are independent.  A term gets its highest.  Copies of a context count once as support.
@@ -174,10 +174,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame | None:
     pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("id", "print").alias("both")).filter(F.col("contexts") >= MIN_CONTEXTS)
     pairs = store(pairs, "pii-pairs")
     candidates = pairs.select("term").distinct()
-    n = candidates.count()
-    if not n:
-        return None
-    passing = _sieve(candidates, n)
+    passing = _sieve(candidates, candidates.count())
 
     @lean
     def count(batches):
@@ -209,31 +206,24 @@ def find_spans(docs: DataFrame) -> DataFrame:
     base = store(find_base(docs), "pii-base")
     kept = base.drop("company")
     shape = "array<struct<start: long, end: long, disclosure: double>>"
-    terms = disclosing_terms(docs, base)
-    n = 0
-    if terms is not None:
-        terms = store(terms, "pii-terms")
-        n = terms.count()
-    if not n:
-        whole = kept.withColumn("terms", F.array().cast(shape))
-    else:
-        passing = _sieve(terms, n)
-
-        @lean
-        def occurrences(batches):
-            for b in batches:
-                out = []
-                for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    text = text or ""
-                    if found := passing(_terms(text)):
-                        own = _fingerprint(text)
-                        out += [(d, own, t, m.start(), m.end()) for m in TERM.finditer(text) if (t := m[0].lower()) in found]
-                cols = list(zip(*out, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["id", "print", "term", "start", "end"])
-
-        hits = _rows(docs).mapInArrow(occurrences, "id long, print long, term string, start long, end long").join(terms.hint("merge"), "term")
-        hits = hits.groupBy("id", "print").agg(F.sort_array(F.collect_set(F.struct("start", "end", "disclosure"))).alias("terms"))
-        whole = kept.join(hits, ["id", "print"], "left").withColumn("terms", F.coalesce("terms", F.array().cast(shape)))
+    terms = store(disclosing_terms(docs, base), "pii-terms")
+    passing = _sieve(terms, terms.count())
+
+    @lean
+    def occurrences(batches):
+        for b in batches:
+            out = []
+            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                text = text or ""
+                if found := passing(_terms(text)):
+                    own = _fingerprint(text)
+                    out += [(d, own, t, m.start(), m.end()) for m in TERM.finditer(text) if (t := m[0].lower()) in found]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["id", "print", "term", "start", "end"])
+
+    hits = _rows(docs).mapInArrow(occurrences, "id long, print long, term string, start long, end long").join(terms.hint("merge"), "term")
+    hits = hits.groupBy("id", "print").agg(F.sort_array(F.collect_set(F.struct("start", "end", "disclosure"))).alias("terms"))
+    whole = kept.join(hits, ["id", "print"], "left").withColumn("terms", F.coalesce("terms", F.array().cast(shape)))
     named = F.transform("terms", lambda x: F.concat_ws(":", F.lit("term"), x["start"].cast("string"), x["end"].cast("string")))
     return whole.withColumn("spans", F.array_join(F.concat(F.when(F.col("base") == "", F.array().cast("array<string>")).otherwise(F.array("base")), named), ","))
 
