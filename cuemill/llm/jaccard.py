@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,7 +15,7 @@ from .common import lean, small, store, table
 from .components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # links at an intersection of 4/5 of the union or more
-WIDTH = 1 << 18
+WIDTH = 1 << 20
 PARTS = 64
 SHORT_LIST = 16
 LEADERS = 2
@@ -64,10 +66,10 @@ def shingle_counts(docs: DataFrame, width: int = WIDTH, words: int = WORDS) -> b
                 whole = np.concatenate(shingle_sets(data, off, words))
                 held += np.bincount((whole & ta.U(width - 1)).astype(np.int64), minlength=width)
         parts = np.split(np.minimum(held, (1 << 32) - 1).astype("<u4"), PARTS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in parts])], names=["part", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts])], names=["part", "n"])
 
     def add(key, rows):
-        total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in rows["n"].to_pylist())
+        total = sum(np.frombuffer(zlib.decompress(x), "<u4").astype(np.int64) for x in rows["n"].to_pylist())
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": [np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()]})
 
     shape = "part int, n binary"
