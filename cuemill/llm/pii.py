@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, store, table
+from .common import lean, small, store, table
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -26,7 +27,9 @@ DIGITS = re.compile(r"[0-9]")
 
 WINDOW = 8  # terms on each side of an entity
 REACH = 160  # code points on each side that hold them
-MIN_CONTEXTS = 3  # different contexts in which a term must stand by an entity
+MIN_CONTEXTS = 3  # documents, no two of them near copies, in which a term must stand by an entity
+NEAR, OF = 2, 5  # near copies share 2/5 of the terms that either has
+SPLIT = 512  # documents of an entity that one task compares
 GENERALISE, REMOVE = 0.93, 0.97  # thresholds of disclosure
 EXACT_TERMS = 200_000
 BITS = 24
@@ -80,24 +83,21 @@ def _entity(kind: str, value: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}:{value}") - (1 << 63)
 
 
-def contexts(text: str, spans) -> list[tuple[int, int, str]]:
-    """(entity, context, term): the terms near each span, without what spans cover.
+def _free(spans):
+    """A test whether no span covers any of [s, e)."""
+    covered = sorted((s, e) for _, s, e in spans)
+    starts, ends = [s for s, _ in covered], list(accumulate((e for _, e in covered), max))
+    return lambda s, e: not (k := bisect_left(starts, e)) or ends[k - 1] <= s
 
-    A context is known by the least hash of its terms, which near copies of it mostly share: they support a term once.
-    """
-    out, covered = [], sorted((s, e) for _, s, e in spans)
-    starts = [s for s, _ in covered]
-
-    def free(s, e):
-        k = bisect_left(starts, e)
-        return not any(covered[j][1] > s for j in range(max(0, k - 4), k))
 
+def contexts(text: str, spans) -> list[tuple[int, str]]:
+    """(entity, term): the terms near each span, without what spans cover."""
+    out, free = [], _free(spans)
     for kind, s, e in spans:
         before = [m[0].lower() for m in TERM.finditer(text, max(0, s - REACH), s) if free(m.start(), m.end())][-WINDOW:]
         after = [m[0].lower() for m in TERM.finditer(text, e, min(len(text), e + REACH)) if free(m.start(), m.end())][:WINDOW]
-        company = min((xxhash.xxh64_intdigest(t) for t in {*before, *after}), default=0) - (1 << 63)
-        out += [(_entity(kind, text[s:e]), company, t) for t in {*before, *after}]
-    return out
+        out += [(_entity(kind, text[s:e]), t) for t in {*before, *after}]
+    return sorted(set(out))
 
 
 def _fingerprint(text: str) -> int:
@@ -109,7 +109,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """id, print (of the text), n_email ... n_phone, base (spans), base_sha256, company (entity, context, term)."""
+    """id, print (of the text), n_email ... n_phone, base (spans), base_sha256, company (entity, term), words (the terms of a text with entities)."""
 
     @lean
     def find(batches):
@@ -120,13 +120,13 @@ def find_base(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 base = _joined(spans)
                 n = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
-                near = [{"entity": e, "context": c, "term": t} for e, c, t in contexts(text, spans)]
-                out.append([d, _fingerprint(text), *n, base, hashlib.sha256(base.encode()).hexdigest(), near])
+                near = [{"entity": e, "term": t} for e, t in contexts(text, spans)]
+                out.append([d, _fingerprint(text), *n, base, hashlib.sha256(base.encode()).hexdigest(), near, sorted(_terms(text, spans)) if spans else []])
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=names)
 
-    kinds = [pa.int64()] * 6 + [pa.string(), pa.string(), pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string())]))]
-    names = ["id", "print", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "company"]
-    schema = "id long, print long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, company array<struct<entity: long, context: long, term: string>>"
+    kinds = [pa.int64()] * 6 + [pa.string(), pa.string(), pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string())])), pa.list_(pa.string())]
+    names = ["id", "print", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "company", "words"]
+    schema = "id long, print long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, company array<struct<entity: long, term: string>>, words array<string>"
     return _rows(docs).mapInArrow(find, schema)
 
 
@@ -159,19 +159,78 @@ def _sieve(terms: DataFrame, n: int):
     return passing
 
 
-def _terms(text: str) -> set[str]:
-    return set(map(str.lower, set(TERM.findall(text))))
+def _terms(text: str, spans=()) -> set[str]:
+    """The terms of a text outside spans."""
+    if not spans:
+        return set(map(str.lower, set(TERM.findall(text))))
+    free = _free(spans)
+    return {m[0].lower() for m in TERM.finditer(text) if free(m.start(), m.end())}
+
+
+@lean
+def _leaders(batches):
+    """(entity, term, print, words) of up to MIN_CONTEXTS documents for each entity, split and term, no two of them near copies.
+
+    Rows come by entity, split and print; a document leads for each of its terms unless it is a near copy of one that
+    leads already.  The term itself does not count as shared.  Where an entity has one split, words are left out.
+    """
+    last, lead = None, {}
+
+    def led():
+        rows = [(last[0], t, mark, sorted(w) if last[2] > 1 else None) for t, held in lead.items() for mark, w in held]
+        for k in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 1000], strict=True), kinds, strict=True)], names=["entity", "term", "print", "words"])
+
+    kinds = pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string())
+    for b in batches:
+        for entity, split, splits, mark, words, terms in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if last != (entity, split, splits):
+                yield from led()
+                last, lead = (entity, split, splits), {}
+            own, shared = frozenset(words), {}
+            for t in terms:
+                held = lead.setdefault(t, [])
+                if len(held) < MIN_CONTEXTS:
+                    for other, w in held:
+                        if other not in shared:
+                            shared[other] = len(own & w)
+                        both = shared[other]
+                        if OF * (both - 1) >= NEAR * (len(own) + len(w) - both - 1):
+                            break
+                    else:
+                        held.append((mark, own))
+    yield from led()
+
+
+def supported(pairs: DataFrame, near: DataFrame, base: DataFrame) -> DataFrame:
+    """The pairs (entity, term) that stand together in MIN_CONTEXTS documents of which no two are near copies.
+
+    near: entity, term, print.  An entity with many documents is split over tasks, whose leaders then meet by term.
+    """
+    shape = "entity long, term string, print long, words array<string>"
+    keys = pairs.select("entity", "term")
+    found = near.select("entity", "term", "print").join(small(keys, keys.count(), 64), ["entity", "term"]).groupBy("entity", "print").agg(F.collect_set("term").alias("terms"))
+    found = store(found, "pii-found")
+    many = found.groupBy("entity").agg(F.ceil(F.count("*") / SPLIT).alias("splits"))
+    words = base.filter(F.size("words") > 0).select("print", "words").dropDuplicates(["print"])
+    rows = found.join(many.hint("merge"), "entity").join(words.hint("merge"), "print").withColumn("split", F.pmod(F.xxhash64("print"), F.col("splits")))
+    dealt = rows.select("entity", "split", "splits", "print", "words", "terms").repartition("entity", "split").sortWithinPartitions("entity", "split", "print")
+    led = store(dealt.mapInArrow(_leaders, shape), "pii-leaders")
+    again = led.filter("words is not null").select("entity", F.xxhash64("term").alias("split"), F.lit(1).alias("splits"), "print", "words", F.array("term").alias("terms"))
+    again = again.repartition("entity", "split").sortWithinPartitions("entity", "split", "print").mapInArrow(_leaders, shape)
+    whole = led.filter("words is null").union(again)
+    return whole.groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= MIN_CONTEXTS).select("entity", "term")
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     """term, disclosure, for terms at or above GENERALISE.
 
     The disclosure of entity e by term t is PMI(e, t) / -log p(e), with probabilities over all documents: 1 if t never
-    occurs without e, 0 if they are independent.  A term gets its highest.  Copies of a context count once as support.
+    occurs without e, 0 if they are independent.  A term gets its highest.  Near copies of a document count once as support.
     """
     spark = docs.sparkSession
     near = base.select("id", "print", F.explode("company").alias("c")).select("id", "print", "c.*")
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("id", "print").alias("both")).filter(F.col("contexts") >= MIN_CONTEXTS)
+    pairs = near.groupBy("entity", "term").agg(F.countDistinct("print").alias("texts"), F.countDistinct("id", "print").alias("both")).filter(F.col("texts") >= MIN_CONTEXTS)
     pairs = store(pairs, "pii-pairs")
     candidates = pairs.select("term").distinct()
     passing = _sieve(candidates, candidates.count())
@@ -194,7 +253,9 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     p = pairs.join(seen, "term").join(entities, "entity")
     rarity = -F.log(F.col("with_entity") / F.lit(float(total)))
     p = p.withColumn("disclosure", F.when(rarity > 0, 1 + F.log(F.least(F.lit(1.0), F.col("both") / F.col("with_term"))) / rarity).otherwise(0.0))
-    return p.groupBy("term").agg(F.max("disclosure").alias("disclosure")).filter(F.col("disclosure") >= GENERALISE)
+    p = store(p.filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure"), "pii-disclosing")
+    p = p.join(supported(p, near, base), ["entity", "term"])
+    return p.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -204,7 +265,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     searched whole, in time linear in their length.  Only doc_id and text are read.
     """
     base = store(find_base(docs), "pii-base")
-    kept = base.drop("company")
+    kept = base.drop("company", "words")
     shape = "array<struct<start: long, end: long, disclosure: double>>"
     terms = store(disclosing_terms(docs, base), "pii-terms")
     passing = _sieve(terms, terms.count())

@@ -187,6 +187,34 @@ def test_pii_terms_and_texts(spark, docs, rows, empty):
     assert pii.sanitised(docs).count() == len(rows)
 
 
+def pii_rows(texts, others=60):
+    plain = ["plain words about write it said"] * others
+    return [(k, t, "en", "s", 1, 1, "", "", "", 1) for k, t in enumerate([*texts, *plain])]
+
+
+def pii_terms(spark, texts):
+    """The distinct disclosing terms that find_spans marks in texts."""
+    out = pii.find_spans(h.frame(spark, pii_rows(texts))).collect()
+    return {texts[r.id][x.start : x.end].lower() for r in out if r.id < len(texts) for x in r.terms}
+
+
+def test_pii_contexts_that_share_a_name_or_a_signature(spark):
+    signature = "regards marianne silverstone senior account manager northern office"
+    signed = [f"{APART[k]} {APART[-1 - k]} {APART[k][::-1]} {signature} ann@corp.example" for k in range(6)]
+    assert {"marianne", "silverstone"} <= pii_terms(spark, signed)
+    name = "marianne annaquist"  # its hash is the least of all these terms
+    apart = [f"{APART[k]} {name} ann@corp.example {APART[-1 - k]}" for k in range(3)]
+    assert pii_terms(spark, apart) == set(name.split())
+    # all but one word alike, or the whole of a longer text: near copies
+    assert pii_terms(spark, [f"{signature} {w} ann@corp.example" for w in APART[0].split() + APART[1].split()]) == set()
+
+
+def test_pii_support_over_several_splits(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SPLIT", 1)
+    assert pii_terms(spark, [f"{APART[k]} zebrafish ann@corp.example {APART[-1 - k]}" for k in range(6)]) == {"zebrafish"}
+    assert pii_terms(spark, [f"copied word{k} from ocelot ann@corp.example to {'abcdef'[k] * 4}" for k in range(6)]) == set()
+
+
 def test_pii_sieve_by_bits_is_exact(spark, monkeypatch):
     near = [(k, f"{APART[k]} zebrafish ann@corp.example {APART[-1 - k]}", "en", "s", 1, 1, "", "", "", 1) for k in range(6)]
     df = h.frame(spark, near + [(50 + k, "nothing to see here said plainly", "en", "s", 1, 1, "", "", "", 1) for k in range(60)])
