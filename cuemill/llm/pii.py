@@ -25,9 +25,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{4,}")
 DIGITS = re.compile(r"[0-9]")
 
-WINDOW = 8  # terms on each side of an entity
-REACH = 160  # code points on each side that hold them
-MIN_CONTEXTS = 3  # documents, no two of them near copies, in which a term must stand by an entity
+MIN_CONTEXTS = 3  # documents, no two of them near copies, in which a term must stand with an entity
 NEAR, OF = 2, 5  # near copies share 2/5 of the terms that either has
 SPLIT = 512  # documents of an entity that one task compares
 GENERALISE, REMOVE = 0.93, 0.97  # thresholds of disclosure
@@ -90,16 +88,6 @@ def _free(spans):
     return lambda s, e: not (k := bisect_left(starts, e)) or ends[k - 1] <= s
 
 
-def contexts(text: str, spans) -> list[tuple[int, str]]:
-    """(entity, term): the terms near each span, without what spans cover."""
-    out, free = [], _free(spans)
-    for kind, s, e in spans:
-        before = [m[0].lower() for m in TERM.finditer(text, max(0, s - REACH), s) if free(m.start(), m.end())][-WINDOW:]
-        after = [m[0].lower() for m in TERM.finditer(text, e, min(len(text), e + REACH)) if free(m.start(), m.end())][:WINDOW]
-        out += [(_entity(kind, text[s:e]), t) for t in {*before, *after}]
-    return sorted(set(out))
-
-
 def _fingerprint(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
@@ -109,7 +97,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """id, print (of the text), n_email ... n_phone, base (spans), base_sha256, company (entity, term), words (the terms of a text with entities)."""
+    """id, print (of the text), n_email ... n_phone, base (spans), base_sha256, entities, words (the terms of a text with entities)."""
 
     @lean
     def find(batches):
@@ -120,13 +108,13 @@ def find_base(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 base = _joined(spans)
                 n = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
-                near = [{"entity": e, "term": t} for e, t in contexts(text, spans)]
-                out.append([d, _fingerprint(text), *n, base, hashlib.sha256(base.encode()).hexdigest(), near, sorted(_terms(text, spans)) if spans else []])
+                held = sorted({_entity(k, text[s:e]) for k, s, e in spans})
+                out.append([d, _fingerprint(text), *n, base, hashlib.sha256(base.encode()).hexdigest(), held, sorted(_terms(text, spans)) if spans else []])
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=names)
 
-    kinds = [pa.int64()] * 6 + [pa.string(), pa.string(), pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string())])), pa.list_(pa.string())]
-    names = ["id", "print", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "company", "words"]
-    schema = "id long, print long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, company array<struct<entity: long, term: string>>, words array<string>"
+    kinds = [pa.int64()] * 6 + [pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())]
+    names = ["id", "print", *(f"n_{k}" for k in KINDS), "base", "base_sha256", "entities", "words"]
+    schema = "id long, print long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, entities array<long>, words array<string>"
     return _rows(docs).mapInArrow(find, schema)
 
 
@@ -226,11 +214,15 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     """term, disclosure, for terms at or above GENERALISE.
 
     The disclosure of entity e by term t is PMI(e, t) / -log p(e), with probabilities over all documents: 1 if t never
-    occurs without e, 0 if they are independent.  A term gets its highest.  Near copies of a document count once as support.
+    occurs without e, 0 if they are independent.  A term gets its highest.  All counts are of documents that hold e or t
+    anywhere, t outside the spans.  Near copies of a document count once as support.
     """
     spark = docs.sparkSession
-    near = base.select("id", "print", F.explode("company").alias("c")).select("id", "print", "c.*")
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("print").alias("texts"), F.countDistinct("id", "print").alias("both")).filter(F.col("texts") >= MIN_CONTEXTS)
+    holders = base.select("id", "print", F.explode("entities").alias("entity"), "words")
+    entities = holders.groupBy("entity").agg(F.countDistinct("print").alias("texts"), F.countDistinct("id", "print").alias("with_entity")).filter(F.col("texts") >= MIN_CONTEXTS)
+    entities = store(entities.select("entity", "with_entity"), "pii-entities")
+    near = holders.join(small(entities.select("entity"), entities.count(), 16), "entity").select("id", "print", "entity", F.explode("words").alias("term"))
+    pairs = near.groupBy("entity", "term").agg(F.countDistinct("id", "print").alias("both")).filter(F.col("both") >= MIN_CONTEXTS)
     pairs = store(pairs, "pii-pairs")
     candidates = pairs.select("term").distinct()
     passing = _sieve(candidates, candidates.count())
@@ -240,7 +232,8 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
         held: dict[str, int] = {}
         for b in batches:
             for text in b.column(0).to_pylist():
-                for t in passing(_terms(text or "")):
+                text = text or ""
+                for t in passing(_terms(text, base_spans(text))):
                     held[t] = held.get(t, 0) + 1
             if len(held) > 1 << 18:
                 yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["term", "n"])
@@ -248,7 +241,6 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["term", "n"])
 
     seen = docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
-    entities = near.groupBy("entity").agg(F.countDistinct("id", "print").alias("with_entity"))
     total = base.count()
     p = pairs.join(seen, "term").join(entities, "entity")
     rarity = -F.log(F.col("with_entity") / F.lit(float(total)))
@@ -265,7 +257,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     searched whole, in time linear in their length.  Only doc_id and text are read.
     """
     base = store(find_base(docs), "pii-base")
-    kept = base.drop("company", "words")
+    kept = base.drop("entities", "words")
     shape = "array<struct<start: long, end: long, disclosure: double>>"
     terms = store(disclosing_terms(docs, base), "pii-terms")
     passing = _sieve(terms, terms.count())

@@ -209,6 +209,14 @@ def test_pii_contexts_that_share_a_name_or_a_signature(spark):
     assert pii_terms(spark, [f"{signature} {w} ann@corp.example" for w in APART[0].split() + APART[1].split()]) == set()
 
 
+def test_pii_counts_whole_documents(spark):
+    body = [" ".join(f"{a}{b}" for a in (APART[k] + " " + APART[-1 - k]).split() for b in "abcdefgh") for k in range(6)]
+    near = [f"ann@corp.example zebrafish {b}" for b in body[:3]]
+    far = [f"ann@corp.example {b} zebrafish" for b in body[3:]]
+    assert pii_terms(spark, near + far) == {"zebrafish"}
+    assert pii_terms(spark, far) == {"zebrafish"}
+
+
 def test_pii_support_over_several_splits(spark, monkeypatch):
     monkeypatch.setattr(pii, "SPLIT", 1)
     assert pii_terms(spark, [f"{APART[k]} zebrafish ann@corp.example {APART[-1 - k]}" for k in range(6)]) == {"zebrafish"}
