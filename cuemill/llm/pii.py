@@ -22,7 +22,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{4,}")
+TERM = re.compile(r"[^\W_]+")  # letters and digits; scripts without spaces give whole runs
 DIGITS = re.compile(r"[0-9]")
 
 MIN_CONTEXTS = 3  # documents, no two of them near copies, in which a term must stand with an entity
@@ -251,7 +251,8 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """id, print, n_email ... n_phone, base, base_sha256, terms (spans of disclosing terms with their disclosure), spans.
+    """id, print, n_email ... n_phone, base, base_sha256, terms (spans of disclosing terms with their disclosure,
+    outside the base spans), spans.
 
     Nulls: a null text is empty; a null doc_id stands as the lowest long.  Repeated rows have a row each.  Texts are
     searched whole, in time linear in their length.  Only doc_id and text are read.
@@ -269,8 +270,8 @@ def find_spans(docs: DataFrame) -> DataFrame:
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = text or ""
                 if found := passing(_terms(text)):
-                    own = _fingerprint(text)
-                    out += [(d, own, t, m.start(), m.end()) for m in TERM.finditer(text) if (t := m[0].lower()) in found]
+                    own, free = _fingerprint(text), _free(base_spans(text))
+                    out += [(d, own, t, m.start(), m.end()) for m in TERM.finditer(text) if (t := m[0].lower()) in found and free(m.start(), m.end())]
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["id", "print", "term", "start", "end"])
 

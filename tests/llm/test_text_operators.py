@@ -217,6 +217,13 @@ def test_pii_counts_whole_documents(spark):
     assert pii_terms(spark, far) == {"zebrafish"}
 
 
+def test_pii_terms_of_any_length(spark):
+    texts = [f"{APART[k]} Ng ab12 李明 jdoe42 ann@corp.example {APART[-1 - k]}" for k in range(4)]
+    assert pii_terms(spark, texts) == {"ng", "ab12", "李明", "jdoe42"}
+    clean = pii.sanitised(h.frame(spark, pii_rows([*texts, "éann@corp.example and Ng"]))).filter("doc_id = 4").first().text
+    assert clean == "é[EMAIL] and "
+
+
 def test_pii_support_over_several_splits(spark, monkeypatch):
     monkeypatch.setattr(pii, "SPLIT", 1)
     assert pii_terms(spark, [f"{APART[k]} zebrafish ann@corp.example {APART[-1 - k]}" for k in range(6)]) == {"zebrafish"}
