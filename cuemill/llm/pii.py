@@ -214,15 +214,15 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     """term, disclosure, for terms at or above GENERALISE.
 
     The disclosure of entity e by term t is PMI(e, t) / -log p(e), with probabilities over all documents: 1 if t never
-    occurs without e, 0 if they are independent.  A term gets its highest.  All counts are of documents that hold e or t
+    occurs without e, 0 if they are independent.  A term gets its highest.  All counts are of rows that hold e or t
     anywhere, t outside the spans.  Near copies of a document count once as support.
     """
     spark = docs.sparkSession
     holders = base.select("id", "print", F.explode("entities").alias("entity"), "words")
-    entities = holders.groupBy("entity").agg(F.countDistinct("print").alias("texts"), F.countDistinct("id", "print").alias("with_entity")).filter(F.col("texts") >= MIN_CONTEXTS)
+    entities = holders.groupBy("entity").agg(F.countDistinct("print").alias("texts"), F.count("*").alias("with_entity")).filter(F.col("texts") >= MIN_CONTEXTS)
     entities = store(entities.select("entity", "with_entity"), "pii-entities")
     near = holders.join(small(entities.select("entity"), entities.count(), 16), "entity").select("id", "print", "entity", F.explode("words").alias("term"))
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("id", "print").alias("both")).filter(F.col("both") >= MIN_CONTEXTS)
+    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= MIN_CONTEXTS)
     pairs = store(pairs, "pii-pairs")
     candidates = pairs.select("term").distinct()
     passing = _sieve(candidates, candidates.count())

@@ -224,6 +224,12 @@ def test_pii_terms_of_any_length(spark):
     assert clean == "é[EMAIL] and "
 
 
+def test_pii_repeated_rows_count_on_both_sides(spark):
+    held = pii_rows([f"{APART[k]} zebrafish ann@corp.example {APART[-1 - k]}" for k in range(6)])
+    out = pii.find_spans(h.frame(spark, held[:6] * 3 + held[6:])).collect()
+    assert len(out) == 18 + 60 and sum("term" in r.spans for r in out) == 18
+
+
 def test_pii_support_over_several_splits(spark, monkeypatch):
     monkeypatch.setattr(pii, "SPLIT", 1)
     assert pii_terms(spark, [f"{APART[k]} zebrafish ann@corp.example {APART[-1 - k]}" for k in range(6)]) == {"zebrafish"}
