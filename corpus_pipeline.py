@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuemill.llm import jaccard, linededup, mixing, packing, quality
-from cuemill.llm.common import small, store, table
+from cuemill.llm.common import store, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -26,10 +26,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id.  Texts without words have no group."""
-    found = store(jaccard.near_duplicates(docs), "stage-near")
-    rest = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(rest, rest.count(), 16), F.col("doc_id") == F.col("_gone"), "left_anti").select(*COLUMNS)
+    """One row of each group of near duplicates: one with the smallest doc_id, null the smallest.  Texts without words have no group."""
+    return jaccard.one_of_each(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

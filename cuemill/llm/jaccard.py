@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import lean, small, store, table
+from .common import lean, small, store, table, with_field
 from .components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # links at an intersection of 4/5 of the union or more
@@ -290,8 +290,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = W
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of documents.
+def grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n, u (hash of the set), component_id, root (of the component, null for empty sets) of every row of documents.
 
     Documents link when their sets of shingles have a Jaccard similarity of NUMERATOR / DENOMINATOR or more; component_id
     is the smallest doc_id that links reach.  Equal sets are one node; nodes with equal size and prefix are one group.
@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     sets.  A long list of groups with one token is first linked with a few leaders, and then, once these links are known,
     by all its pairs between different components: no link between components is lost, and clusters of thousands of
     near copies need no pair for each two of them.
-    Nulls: a null text is an empty set, linked with nothing; a null doc_id is the smallest doc_id, returned as null.
+    Nulls: a null text is an empty set, linked with nothing; a null doc_id is the smallest doc_id, here the lowest long.
     Rows with one doc_id each have their set.  Other columns are not read.
     """
     spark = docs.sparkSession
@@ -358,10 +358,43 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     whole = nodes.join(roots.withColumnRenamed("node", "u"), "u", "left").select("u", "rep", F.coalesce("root", "u").alias("root"))
     least = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = whole.join(least, "root").select("u", "component_id")
-    out = found.select("doc_id", "n", "u").join(named.hint("merge"), "u", "left")
+    named = whole.join(least, "root").select("u", "component_id", "root")
+    return found.select("doc_id", "n", "u").join(named.hint("merge"), "u", "left").select("doc_id", "n", "u", "component_id", "root")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of documents, as grouped() finds them; null doc_ids are null again."""
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select(F.nullif("doc_id", F.lit(_LOWEST)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(own, F.lit(_LOWEST)).alias("component_id"))
+    return grouped(docs, words).select(F.nullif("doc_id", F.lit(_LOWEST)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(own, F.lit(_LOWEST)).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Exactly one row of each component, the least by doc_id (null first), hash of the set and columns; all rows with empty sets.
+
+    Only rows whose doc_id also belongs to a row that goes, or repeats, are told apart by their sets.
+    """
+    cols = docs.columns
+    found = store(grouped(docs, words), "jaccard-grouped").filter("n > 0")
+    rows = found.groupBy("root", "doc_id", "u").agg(F.count("*").alias("n_rows"))
+    keep = rows.groupBy("root").agg(F.min(F.struct("doc_id", "u")).alias("kept"), F.sum("n_rows").alias("n_all")).filter("n_all > 1")
+    marks = rows.join(keep, "root").select("doc_id", "u", (F.struct("doc_id", "u") == F.col("kept")).alias("stays"))
+    marks = store(marks.toDF("_id", "_u", "_stays"), "jaccard-marks")
+    ids = marks.select("_id").distinct()
+    ids = small(ids, ids.count(), 16)
+
+    @lean
+    def named(batches):
+        for b in batches:
+            us = [_print(s) for _, data, off in ta.chunks(b.column(b.schema.get_field_index("text"))) for s in shingle_sets(data, off, words)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(us, pa.int64())], names=[*b.schema.names, "_u"])
+
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)))
+    clear = keyed.join(ids, "_id", "left_anti").select(*cols)
+    met = keyed.join(ids, "_id", "left_semi")
+    met = met.mapInArrow(named, with_field(met, "_u", "long")).join(small(marks, marks.count(), 32), ["_id", "_u"], "left")
+    alone = met.filter("_stays is null").select(*cols)
+    one = met.filter("_stays").groupBy("_id", "_u").agg(F.min(F.struct(*cols)).alias("row")).select("row.*")
+    return clear.unionByName(alone).unionByName(one)
 
 
 def op4_ngram_jaccard(spark, sf_dir) -> DataFrame:

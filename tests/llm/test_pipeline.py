@@ -53,3 +53,14 @@ def test_stages(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
+
+
+def test_one_row_of_each_group_with_null_and_repeated_ids(spark):
+    say = lambda w, n=30: " ".join(f"{w}{k}" for k in range(n))
+    a, b, c, d = (say(w) for w in "abcd")
+    rows = [(None, a), (5, a), (6, a + " more"), (7, a.upper()), (7, b), (8, c), (8, c), (1, d), (1, d + " more"), (2, d), (3, say("e")), (3, say("f")), (None, None), (None, None), (7, "")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.keep_one_of_each_group(spark, docs, "")
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    got = Counter((r.doc_id, (r.text or "")[:2]) for r in out.collect())
+    assert got == Counter([(None, "a0"), (7, "b0"), (8, "c0"), (1, "d0"), (3, "e0"), (3, "f0"), (None, ""), (None, ""), (7, "")])
