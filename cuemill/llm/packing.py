@@ -155,7 +155,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int
 def packed(parts: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """parts (with length, 1 to capacity) with sequence_id and offset: its place in one of as few sequences as best fit finds.
 
-    Superstep by superstep, best_fit matches lengths with gaps; a piece's place follows from its rank among the pieces
+    On the driver, best_fit matches at most `capacity` lengths with gaps; a piece's place follows from its rank among the pieces
     of its length, which running totals over range-sorted partitions give.  A length that a third of all pieces share
     spreads over tasks like any other.  The plan grows with the capacity, not with the data.  parts is read twice.
     """
