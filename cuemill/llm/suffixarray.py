@@ -115,10 +115,10 @@ def corpus_string(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def repeated_windows(docs: DataFrame, length: int, one_task: int = ONE_TASK) -> DataFrame:
-    """doc_id, at of every window of `length` bytes that also starts earlier (unique doc_ids): adjacent suffixes are compared.
+    """doc_id, at of every window of `length` bytes that also starts earlier (unique doc_ids), by hashes of whole windows.
 
     Prefixes are compared through the names of their pieces: a window is the join of pieces of 2^k symbols, named by
-    repeated pairing, so equal names mean equal windows; runs of equal windows are neighbours in the order of suffixes.
+    repeated pairing, so equal names mean equal windows.  Neighbours in the order of suffixes are not compared yet.
     """
     symbols, places = corpus_string(docs)
     ranks = suffix_ranks(symbols, one_task)
