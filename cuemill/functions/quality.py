@@ -21,22 +21,27 @@ class Thresholds:
     min_words: int = 8
 
 
-def repeated_ngrams(w: Column, n: int) -> Column:
-    """The share of n-grams that repeat an earlier one: 1 - distinct / all; 0 for fewer than n words."""
-    last = F.greatest(F.size(w) - n + 1, F.lit(1))
-    grams = F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) < n, F.lit(0.0)).otherwise((last - F.size(F.array_distinct(grams))) / last)
+def repeated_ngrams(h: Column, n: int) -> Column:
+    """The share of n-grams that repeat an earlier one: 1 - distinct / all; 0 for fewer than n words.
+
+    h: the words' 64-bit hashes.  An n-gram is a hash of its words' hashes, so neighbours are zipped and no text is built.
+    """
+    last = F.size(h) - n + 1
+    grams = h
+    for k in range(1, n):
+        grams = F.zip_with(F.slice(grams, F.lit(1), F.greatest(last + n - 1 - k, F.lit(0))), F.slice(h, F.lit(k + 1), F.greatest(last + n - 1 - k, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+    return F.when(last < 1, F.lit(0.0)).otherwise((last - F.size(F.array_distinct(grams))) / last)
 
 
-def most_frequent(w: Column) -> Column:
-    """How often the most frequent word occurs: the longest run of the sorted words."""
-    zero = F.struct(F.lit("").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+def most_frequent(h: Column) -> Column:
+    """How often the most frequent of the hashes occurs: the longest run once they are sorted."""
+    zero = F.struct(F.lit(0).cast("long").alias("word"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(acc, x):
         run = F.when(acc["word"] == x, acc["run"] + 1).otherwise(1)
         return F.struct(x.alias("word"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    return F.aggregate(F.array_sort(w), zero, step)["best"]
+    return F.aggregate(F.sort_array(h), zero, step)["best"]
 
 
 def metrics(text: Column) -> Column:
@@ -52,7 +57,7 @@ def metrics(text: Column) -> Column:
             repeated_ngrams(w, 3).alias("trigram_ratio"),
         )
 
-    whole = let(F.transform(words(text), casefold), measured)
+    whole = let(F.transform(words(text), lambda w: F.xxhash64(casefold(w))), measured)
     return let(whole, lambda m: F.struct(*[m[k].alias(k) for k in METRICS], F.greatest(m["dominant_ratio"], m["bigram_ratio"], m["trigram_ratio"]).alias("repetition")))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .names import is_reserved
 
-# What counts as media, and which provider each scheme is for.
-MEDIA = [".mp4", ".wmv"]
+# What counts as media in archives and among raw files, and which provider each scheme is for.
+MEDIA = [".mp4", ".mp3", ".wmv", ".mov", ".mkv", ".avi"]
+RAW_MEDIA = [".mp4", ".mov", ".mkv", ".avi", ".webm", ".m4v", ".wmv"]
 SCHEMES = {"local": "local", "gdrive": "google_drive", "rclone": "rclone"}
 
 
@@ -16,10 +17,10 @@ def extension(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, r"[^/]\.[^./]+$", 0).substr(F.lit(2), F.lit(64)))
 
 
-def media_class(c: Column) -> Column:
+def media_class(c: Column, media: list[str] = MEDIA) -> Column:
     """media, nested_zip or ignored."""
     e = extension(c)
-    return F.when(e.isin(MEDIA), "media").when(e == ".zip", "nested_zip").otherwise("ignored")
+    return F.when(e.isin(media), "media").when(e == ".zip", "nested_zip").otherwise("ignored")
 
 
 def is_junk(c: Column) -> Column:

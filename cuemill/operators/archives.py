@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import tempfile
 import zipfile
 
 import pyarrow as pa
@@ -27,11 +29,10 @@ def tree(items: DataFrame, most_depth: int) -> DataFrame:
     return out
 
 
-def _members(content: bytes, path: str, depth: int, most_depth: int, most_files: int, most_bytes: int, state: dict, seen: frozenset):
-    digest = hash(content)
-    if digest in seen:
-        return
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
+def _members(source, path: str, depth: int, limits: tuple, state: dict, seen: frozenset, contents: bool):
+    """Rows of a ZIP file's members and of those of ZIP files in it; only these, and what is asked for, are inflated."""
+    most_depth, most_files, most_bytes = limits
+    with zipfile.ZipFile(source) as z:
         for info in z.infolist():
             if info.is_dir():
                 continue
@@ -39,18 +40,26 @@ def _members(content: bytes, path: str, depth: int, most_depth: int, most_files:
             state["bytes"] += info.file_size
             link = (info.external_attr >> 16) & 0o170000 == 0o120000
             fault = "files" if state["files"] > most_files else "bytes" if state["bytes"] > most_bytes else None
-            nested = info.filename.lower().endswith(".zip") and not link and fault is None
             row = (path, depth, state["files"], info.filename, bool(info.flag_bits & 0x800), info.file_size, link, fault)
             if fault:
                 state["over"] = True
                 yield row, None
                 return
-            data = z.read(info)
-            yield row, data
-            if nested and depth < most_depth:
-                yield from _members(data, f"{path}/{info.filename}", depth + 1, most_depth, most_files, most_bytes, state, seen | {digest})
-                if state["over"]:
-                    return
+            if not info.filename.lower().endswith(".zip") or link or depth == most_depth:
+                yield row, z.read(info) if contents else None
+                continue
+            with tempfile.SpooledTemporaryFile(max_size=64 << 20) as inner:
+                digest = hashlib.sha256()
+                with z.open(info) as data:
+                    while part := data.read(1 << 20):
+                        digest.update(part)
+                        inner.write(part)
+                inner.seek(0)
+                yield row, inner.read() if contents else None
+                if digest.digest() not in seen:
+                    yield from _members(inner, f"{path}/{info.filename}", depth + 1, limits, state, seen | {digest.digest()}, contents)
+                    if state["over"]:
+                        return
 
 
 def expanded(archives: DataFrame, most_depth: int = 5, most_files: int = 10_000, most_bytes: int = 10 << 30, contents: bool = False) -> DataFrame:
@@ -68,7 +77,7 @@ def expanded(archives: DataFrame, most_depth: int = 5, most_files: int = 10_000,
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 out, state = [], {"files": 0, "bytes": 0, "over": False}
                 try:
-                    for row, data in _members(content or b"", path, 0, most_depth, most_files, most_bytes, state, frozenset()):
+                    for row, data in _members(io.BytesIO(content or b""), path, 0, (most_depth, most_files, most_bytes), state, frozenset([hashlib.sha256(content or b"").digest()]), contents):
                         out.append((path, *row, None, data if contents else None))
                 except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError) as e:
                     out.append((path, path, 0, None, None, None, None, None, None, f"{type(e).__name__}: {e}", None))

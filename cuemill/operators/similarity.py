@@ -14,15 +14,27 @@ NAME_THRESHOLD = 0.82
 def name_pairs(left: DataFrame, right: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
     """left_id, right_id, similarity of names at or above threshold, without meeting every pair.
 
-    left, right: id, key (comparison keys).  The similarity is at most 0.65 * r + 0.35 * j, with r the ratio of twice the
-    common characters to all, and j the words' Jaccard similarity, so at r = 1 j must reach (threshold - 0.65) / 0.35:
-    names that pass share a word.  Pairs meet on words; j and the length bound on r, 2 min / (a + b), filter before r is
-    worked out.
+    left, right: id, key (comparison keys).  The similarity is at most 0.65 + 0.35 * j, with j the words' Jaccard
+    similarity, so names that pass have j of (threshold - 0.65) / 0.35 or more, and share one of their rarest words: of n
+    words, all but ceil(j * n) - 1 are looked up, the rarest first, so words that many titles hold seldom meet.  j itself
+    and the length bound on the sequence ratio, 2 min / (a + b), filter before the ratio is worked out.  A threshold of
+    0.65 or less would let names through that share no word, and is refused.  Empty keys pair with empty ones only.
     """
-    words = lambda df, i, k: df.select(F.col("id").alias(i), F.col("key").alias(k), F.explode(F.array_distinct(F.split("key", " "))).alias("_w"))
-    pairs = words(left, "left_id", "_a").join(words(right, "right_id", "_b"), "_w")
-    a, b = F.length("_a"), F.length("_b")
-    bound = 0.65 * (2 * F.least(a, b) / F.nullif(a + b, F.lit(0))) + 0.35 * token_jaccard(F.col("_a"), F.col("_b"))
+    least = (threshold - 0.65) / 0.35
+    if least <= 0:
+        raise ValueError("a threshold of 0.65 or less needs every pair of names")
+    split = lambda df, i, k: df.select(F.col("id").alias(i), F.col("key").alias(k), F.array_distinct(F.split("key", " ")).alias("_ws"))
+    a, b = split(left, "left_id", "_a"), split(right, "right_id", "_b")
+    held = a.select(F.explode("_ws").alias("_w")).unionAll(b.select(F.explode("_ws").alias("_w"))).groupBy("_w").agg(F.count("*").alias("_n"))
+
+    def rarest(df, i, k):
+        words = df.select(i, k, F.size("_ws").alias("_size"), F.explode("_ws").alias("_w")).join(held, "_w")
+        place = F.row_number().over(Window.partitionBy(i, k).orderBy("_n", "_w"))
+        return words.withColumn("_at", place).filter(F.col("_at") <= F.col("_size") - F.ceil(least * F.col("_size") - 1e-9) + 1).select(i, k, "_w")
+
+    pairs = rarest(a, "left_id", "_a").join(rarest(b, "right_id", "_b"), "_w")
+    m, n = F.length("_a"), F.length("_b")
+    bound = 0.65 * (2 * F.least(m, n) / F.nullif(m + n, F.lit(0))) + 0.35 * token_jaccard(F.col("_a"), F.col("_b"))
     pairs = pairs.select("left_id", "_a", "right_id", "_b").distinct().filter(F.coalesce(bound >= threshold - 1e-9, F.lit(True)))
     return pairs.withColumn("similarity", name_similarity(F.col("_a"), F.col("_b"))).filter(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")
 
@@ -51,3 +63,8 @@ def first_of(rows: DataFrame, key: str, order: list) -> DataFrame:
     """The first row of each key in a stated order: the case-blind listing choices."""
     w = Window.partitionBy(key).orderBy(*order)
     return rows.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+
+
+def by_source(rows: DataFrame, source: str = "source") -> DataFrame:
+    """rows in the order of their source, rows without one as if it were empty."""
+    return rows.orderBy(F.coalesce(F.col(source), F.lit("")))

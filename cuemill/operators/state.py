@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 RESUMABLE = ["success", "already_current", "renamed_existing"]
 
 
@@ -83,20 +85,26 @@ def reprocess_status(status: Column) -> Column:
 
 
 def unique_stems(rows: DataFrame, taken: DataFrame | None = None, stem: str = "stem", order: str = "source", digest: str = "sha256") -> DataFrame:
-    """rows with output_stem: the stem itself for the first in order if it is free, else with the content's hash, numbered
-    from _02 where that is taken as well.  taken: stem of what exists."""
-    w = Window.partitionBy(stem).orderBy(order)
-    out = rows.withColumn("_k", F.row_number().over(w))
-    if taken is not None:
-        out = out.join(taken.select(F.col("stem").alias(stem)).distinct().withColumn("_taken", F.lit(True)), stem, "left")
-    else:
-        out = out.withColumn("_taken", F.lit(None).cast("boolean"))
-    free = (F.col("_k") == 1) & F.col("_taken").isNull()
-    hashed = F.concat_ws("_", F.col(stem), F.substring(digest, 1, 8))
-    again = F.row_number().over(Window.partitionBy("_hashed", "_free").orderBy(order))
-    out = out.withColumn("_free", free).withColumn("_hashed", F.when(free, F.col(stem)).otherwise(hashed)).withColumn("_n", again)
-    name = F.when(F.col("_free") | (F.col("_n") == 1), F.col("_hashed")).otherwise(F.concat(F.col("_hashed"), F.format_string("_%02d", "_n")))
-    return out.withColumn("output_stem", name).drop("_k", "_taken", "_free", "_hashed", "_n")
+    """rows with output_stem, all different and none in taken (stem): by order, each takes the first that is free of its
+    stem, the stem with three _ and the first 8 digits of its content's hash, and that with _02, _03 and so on.
+
+    Every row asks for its first choice; of those that ask for one name the first in order keeps it, the others ask for
+    their next, until none has to: the same names as row by row.  Rows of one stem and hash ask in turn from the start, so
+    a second round is needed only where names of different stems meet.  order must tell rows apart.
+    """
+    by_stem, by_content = Window.partitionBy(stem).orderBy(order), Window.partitionBy(stem, F.substring(digest, 1, 8)).orderBy(order)
+    first = F.when(F.row_number().over(by_stem) == 1, 0).otherwise(F.greatest(F.row_number().over(by_content) - 1, F.lit(1)))
+    asking = rows.withColumn("_choice", first.cast("long"))
+    hashed = F.concat(F.col(stem), F.lit("___"), F.substring(digest, 1, 8))
+    name = F.when(F.col("_choice") == 0, F.col(stem)).when(F.col("_choice") == 1, hashed).otherwise(F.concat(hashed, F.format_string("_%02d", "_choice")))
+    held = None if taken is None else taken.select(F.col("stem").alias("output_stem")).distinct().withColumn("_held", F.lit(True))
+    while True:
+        asked = asking.withColumn("output_stem", name)
+        asked = asked.withColumn("_held", F.lit(None).cast("boolean")) if held is None else asked.join(held, "output_stem", "left")
+        asked = cut(asked.withColumn("_lost", F.col("_held").isNotNull() | (F.row_number().over(Window.partitionBy("output_stem").orderBy(order)) > 1)))
+        if asked.filter("_lost").isEmpty():
+            return asked.select(*rows.columns, "output_stem")
+        asking = asked.withColumn("_choice", F.col("_choice") + F.col("_lost").cast("long")).select(*rows.columns, "_choice")
 
 
 def within_limits(members: DataFrame, most_files: int, most_bytes: int, key: str = "archive") -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def decided(cues: DataFrame, rate: int = 24000, tolerance: float = 0.05, speed: float = 1.0, max_speed: float = 1.35) -> DataFrame:
@@ -40,3 +41,33 @@ def rendered(cues: DataFrame, key: str = "media_id") -> DataFrame:
 
     kind = cues.schema[key].dataType.simpleString()
     return cues.select(key, "seq", "start_sample", "target_samples", "audio").groupBy(key).applyInArrow(render, f"{key} {kind}, samples array<double>")
+
+
+def synthesised(cues: DataFrame, speak, rate: int = 24000) -> DataFrame:
+    """cues (text, language, voice, speed) with audio (array<double> at `rate`) and n_samples of what speak gives.
+
+    speak(text, language, voice, speed) -> (samples, its rate) is the injected model; it runs on the executors, cue by cue,
+    and not at all for blank texts, which are silence.  Another rate than asked for is resampled linearly; samples beyond
+    -1 and 1 are scaled to them.
+    """
+    schema = T.StructType([*(f for f in cues.schema.fields if f.name not in ("audio", "n_samples")), T.StructField("audio", T.ArrayType(T.DoubleType())), T.StructField("n_samples", T.LongType())])
+    names = [f.name for f in schema.fields[:-2]]
+
+    def one(text, language, voice, speed):
+        if not (text or "").strip():
+            return np.zeros(0)
+        samples, own = speak(text, language, voice, speed)
+        x = np.asarray(samples, float)
+        if own != rate and len(x):
+            n = max(1, round(len(x) * rate / own))
+            x = np.interp(np.arange(n) * (own / rate), np.arange(len(x)), x)
+        peak = np.abs(x).max(initial=0.0)
+        return x / peak if peak > 1 else x
+
+    def step(batches):
+        for b in batches:
+            said = [one(*row) for row in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in ("text", "language", "voice", "speed")), strict=True)]
+            cols = [b.column(b.schema.get_field_index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(said, pa.list_(pa.float64())), pa.array([len(x) for x in said], pa.int64())], names=schema.names)
+
+    return cues.mapInArrow(step, schema)

@@ -79,7 +79,7 @@ def registry_removal(spark, sf_dir) -> DataFrame:
 @query(f"""WITH {t.MEASURED} SELECT doc_id, word_count, round(unique_ratio, 9) AS unique_ratio, round(dominant_ratio, 9) AS dominant_ratio, round(bigram_ratio, 9) AS bigram_ratio,
   round(trigram_ratio, 9) AS trigram_ratio, round(repetition, 9) AS repetition FROM scored""")
 def word_repetition(spark, sf_dir) -> DataFrame:
-    out = t.table(spark, sf_dir, "documents").select("doc_id", quality.metrics(F.col("text")).alias("m")).select("doc_id", "m.*")
+    out = t.texts(spark, sf_dir).select("doc_id", quality.metrics(F.col("text")).alias("m")).select("doc_id", "m.*")
     return out.select("doc_id", "word_count", *[_r(k).alias(k) for k in (*quality.METRICS[1:], "repetition")])
 
 
@@ -260,7 +260,7 @@ def folder_of_source(spark, sf_dir) -> DataFrame:
 m AS (SELECT h, min(pos) AS pos, arg_min(f, pos) AS f FROM r WHERE f <> '' GROUP BY h)
 SELECT doc_id, m.pos AS duplicate_pos, m.f AS duplicate_folder FROM documents LEFT JOIN m ON sha256(text) = m.h""")
 def registry_lookup(spark, sf_dir) -> DataFrame:
-    d = t.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    d = t.texts(spark, sf_dir).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     folder = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("f"), F.col("doc_id").cast("string"))).otherwise("")
     registry = d.filter("doc_id % 2 = 0").select("sha256", F.col("doc_id").alias("pos"), folder.alias("output_folder"), F.lit("s").alias("source"))
     out = state.first_duplicates(d, registry)
@@ -269,7 +269,7 @@ def registry_lookup(spark, sf_dir) -> DataFrame:
 
 @query("""SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents r WHERE r.doc_id % 3 = 0 AND r.source = d.source AND sha256(r.text) = sha256(d.text))""")
 def unprocessed_sources(spark, sf_dir) -> DataFrame:
-    d = t.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("name"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    d = t.texts(spark, sf_dir).select("doc_id", F.col("source").alias("name"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     registry = d.withColumn("status", F.when(F.col("doc_id") % 3 == 0, "success").otherwise("error")).drop("doc_id")
     return state.unprocessed(d, registry).select("doc_id")
 
@@ -320,9 +320,11 @@ def distinct_folders(spark, sf_dir) -> DataFrame:
     return _manifest(spark, sf_dir).groupBy("source").agg(F.array_join(F.sort_array(F.collect_set("output_folder")), ",").alias("folders"))
 
 
-@query("""WITH r AS (SELECT p_partkey, p_brand AS stem, left(sha256(p_type), 8) AS d, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k, p_brand LIKE '%1' AS taken FROM part),
-h AS (SELECT *, k = 1 AND NOT taken AS free, CASE WHEN k = 1 AND NOT taken THEN stem ELSE stem || '_' || d END AS hs FROM r), n AS (SELECT *, row_number() OVER (PARTITION BY hs, free ORDER BY p_partkey) AS n FROM h)
-SELECT p_partkey, CASE WHEN free OR n = 1 THEN hs ELSE hs || printf('_%02d', n) END AS output_stem FROM n""")
+@query("""WITH p AS (SELECT p_partkey, p_brand AS stem, left(sha256(p_type), 8) AS d, p_brand LIKE '%1' AS taken FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY p_partkey) AS k, row_number() OVER (PARTITION BY stem, d ORDER BY p_partkey) AS q FROM p),
+f AS (SELECT *, first_value(d) OVER (PARTITION BY stem ORDER BY p_partkey) AS first_d FROM r)
+SELECT p_partkey, CASE WHEN k = 1 AND NOT taken THEN stem WHEN n = 1 THEN stem || '___' || d ELSE stem || '___' || d || printf('_%02d', n) END AS output_stem
+FROM (SELECT *, q - (CASE WHEN d = first_d AND NOT taken THEN 1 ELSE 0 END) AS n FROM f)""")
 def unique_stems(spark, sf_dir) -> DataFrame:
     p = t.table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("stem"), F.sha2("p_type", 256).alias("sha256"))
     return state.unique_stems(p, p.filter("stem like '%1'").select("stem"), order="p_partkey").select("p_partkey", "output_stem")
@@ -391,14 +393,14 @@ SELECT doc_id, coalesce(nullif(trim(a), ''), nullif(trim(b), ''), nullif(trim(c)
   nullif(trim(a), '') IS NULL AND nullif(trim(b), '') IS NULL AND nullif(trim(c), '') IS NULL AS failed, concat_ws(',', CASE WHEN nullif(trim(a), '') IS NULL THEN 'a: blank' END, CASE WHEN nullif(trim(a), '') IS NULL AND nullif(trim(b), '') IS NULL THEN 'b: none' END) AS errors FROM o""")
 def fallback_cascade(spark, sf_dir) -> DataFrame:
     k, s = F.col("doc_id"), F.col("doc_id").cast("string")
-    rows = t.table(spark, sf_dir, "documents").select("doc_id", "text", F.when(k % 3 == 0, "  ").when(k % 3 == 1, F.concat(F.lit("A"), s)).alias("a"), F.lit("blank").alias("ea"), F.when(k % 5 > 0, F.concat(F.lit(" B"), s)).alias("b"), F.lit("none").alias("eb"), F.when(k % 15 != 5, "").otherwise("C").alias("c"))
+    rows = t.texts(spark, sf_dir).select("doc_id", "text", F.when(k % 3 == 0, "  ").when(k % 3 == 1, F.concat(F.lit("A"), s)).alias("a"), F.lit("blank").alias("ea"), F.when(k % 5 > 0, F.concat(F.lit(" B"), s)).alias("b"), F.lit("none").alias("eb"), F.when(k % 15 != 5, "").otherwise("C").alias("c"))
     out = fallback.cascade(rows, [("a", "a", "ea"), ("b", "b", "eb"), ("c", "c", None)])
     return out.select("doc_id", "translated", "provider", "failed", F.array_join("errors", ",").alias("errors"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'one' WHEN doc_id % 2 = 0 THEN 'two' END AS provider, CASE WHEN doc_id % 3 = 1 THEN 'A' || n_chars WHEN doc_id % 2 = 0 THEN 'B' || n_chars ELSE text END AS translated, doc_id % 3 <> 1 AND doc_id % 2 <> 0 AS failed FROM documents""")
 def fallback_passes(spark, sf_dir) -> DataFrame:
-    rows = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), "text", "n_chars")
+    rows = t.texts(spark, sf_dir).select(F.col("doc_id").alias("seq"), "text", "n_chars")
     k = F.col("seq")
     one = lambda r: r.select("seq", F.when(k % 3 == 1, F.concat(F.lit("A"), F.col("n_chars").cast("string"))).otherwise(" ").alias("output"))
     two = lambda r: r.select("seq", F.when(k % 2 == 0, F.concat(F.lit("B"), F.col("n_chars").cast("string"))).alias("output"))
@@ -451,19 +453,21 @@ def option_lists(spark, sf_dir) -> DataFrame:
     arr = lambda *x: F.array(*[F.lit(v) for v in x])
     given = F.when(k % 3 == 0, arr(" DeepL", "my-memory", "deepl ", "")).when(k % 3 == 1, arr("b", "a", "B")).otherwise(arr(" "))
     options = F.when(k % 2 == 0, arr("z", "a", "y", "z")).otherwise(arr("a", "b"))
-    return t.table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.first_distinct(given), ",").alias("providers"), F.array_join(text.unknown_options(options, arr("a", "b", "c")), ",").alias("unknown"))
+    return t.texts(spark, sf_dir).select("doc_id", F.array_join(text.first_distinct(given), ",").alias("providers"), F.array_join(text.unknown_options(options, arr("a", "b", "c")), ",").alias("unknown"))
 
 
 # names and addresses
 
 
-@query("""WITH n AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'clip.MP4' WHEN 1 THEN 'a/b.zip' WHEN 2 THEN '__MACOSX/x.mp4' WHEN 3 THEN 'dir.v2/none' ELSE url END AS name FROM pages),
+@query("""WITH n AS (SELECT page_id, CASE page_id % 12 WHEN 0 THEN 'clip.MP4' WHEN 1 THEN 'a/b.zip' WHEN 2 THEN '__MACOSX/x.mp4' WHEN 3 THEN 'dir.v2/none' WHEN 4 THEN 's.mp3' WHEN 5 THEN 's.Mov' WHEN 6 THEN 's.mkv' WHEN 7 THEN 's.avi' WHEN 8 THEN 's.wmv' WHEN 9 THEN 's.webm' WHEN 10 THEN 's.m4v' ELSE url END AS name FROM pages),
 e AS (SELECT *, lower(regexp_extract(name, '[^/](\\.[^./]+)$', 1)) AS ext FROM n)
-SELECT page_id, CASE WHEN ext IN ('.mp4', '.wmv') THEN 'media' WHEN ext = '.zip' THEN 'nested_zip' ELSE 'ignored' END AS kind, starts_with(name, '__MACOSX/') OR contains(name, '/__MACOSX/') OR ends_with(name, '.DS_Store') AS junk FROM e""")
+SELECT page_id, CASE WHEN ext IN ('.mp4', '.mp3', '.wmv', '.mov', '.mkv', '.avi') THEN 'media' WHEN ext = '.zip' THEN 'nested_zip' ELSE 'ignored' END AS kind,
+  ext IN ('.mp4', '.mov', '.mkv', '.avi', '.webm', '.m4v', '.wmv') AS raw, starts_with(name, '__MACOSX/') OR contains(name, '/__MACOSX/') OR ends_with(name, '.DS_Store') AS junk FROM e""")
 def extension_classes(spark, sf_dir) -> DataFrame:
-    k = F.col("page_id") % 5
-    name = F.when(k == 0, "clip.MP4").when(k == 1, "a/b.zip").when(k == 2, "__MACOSX/x.mp4").when(k == 3, "dir.v2/none").otherwise(F.col("url"))
-    return t.table(spark, sf_dir, "pages").select("page_id", uris.media_class(name).alias("kind"), uris.is_junk(name).alias("junk"))
+    p = t.table(spark, sf_dir, "pages")
+    given = ["clip.MP4", "a/b.zip", "__MACOSX/x.mp4", "dir.v2/none", "s.mp3", "s.Mov", "s.mkv", "s.avi", "s.wmv", "s.webm", "s.m4v"]
+    name = F.coalesce(F.try_element_at(F.array(*map(F.lit, given)), (F.col("page_id") % 12 + 1).cast("int")), F.col("url"))
+    return p.select("page_id", uris.media_class(name).alias("kind"), (uris.media_class(name, uris.RAW_MEDIA) == "media").alias("raw"), uris.is_junk(name).alias("junk"))
 
 
 @query("""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN replace(url, 'https', 'local') WHEN 1 THEN 'gdrive://a%20b+' || page_id WHEN 2 THEN 'rclone://remote:%zzx' ELSE url END AS u FROM pages)
@@ -518,19 +522,57 @@ def date_artefacts(spark, sf_dir) -> DataFrame:
     return t.table(spark, sf_dir, "part").select("p_partkey", names.strip_dates(F.concat(F.lit("talk "), s, F.lit(" "), stamp, F.lit(" end"))).alias("cleaned"))
 
 
-@query()
+@query(r"""WITH k AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN 'video ' || p_name WHEN 5 THEN 'part 3 ' || p_name ELSE p_name END AS t FROM part)
+SELECT p_partkey, array_to_string([w FOR w IN regexp_split_to_array(lower(t), '[^a-z0-9]+') IF w <> '' AND w <> 'video'], ' ') AS key FROM k""")
 def comparison_keys(spark, sf_dir) -> DataFrame:
-    p = t.table(spark, sf_dir, "part")
-    return p.select("p_partkey", names.comparison_key(F.concat(F.lit("wetransfer_Video "), "p_name", F.lit(" 2024-01-05 (copy).mp4"))).alias("key"))
+    k, name = F.col("p_partkey") % 6, F.col("p_name")
+    title = (
+        F.when(k == 0, F.concat(F.lit("wetransfer_"), name, F.lit(" 2024-01-05 (copy).mp4")))
+        .when(k == 1, F.concat(F.lit("in/zip - "), name, F.lit("-copy.tar.gz")))
+        .when(k == 2, F.concat(F.lit("Video "), name, F.lit(" (2).wmv")))
+        .when(k == 3, F.concat(F.lit("unzipped_"), name, F.lit(" 20240105T101500Z.mp4")))
+        .when(k == 4, F.concat(F.lit("Files from "), name))
+        .otherwise(F.concat(F.lit("Part 3 "), name, F.lit(".mkv")))
+    )
+    return t.table(spark, sf_dir, "part").select("p_partkey", names.comparison_key(title).alias("key"))
 
 
-@query()
+_SLUG = "regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g')"
+
+
+@query(f"""WITH s AS (SELECT p_partkey, {_SLUG.format("p_type")} AS kind, {_SLUG.format("p_name")} AS name FROM part), l AS (SELECT *,
+  CASE p_partkey % 3 WHEN 0 THEN 12 END AS course, CASE p_partkey % 3 WHEN 1 THEN NULL ELSE kind END AS course_name,
+  CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 7 WHEN 2 THEN 5 END AS lesson, name AS lesson_name FROM s)
+SELECT p_partkey, course, lesson, course_name, lesson_name, lesson_name AS description,
+  concat_ws('x', nullif(concat_ws('_', course, course_name), ''), concat_ws('_', printf('%02d', lesson), lesson_name)) AS output_stem,
+  CASE WHEN course IS NOT NULL AND lesson IS NOT NULL THEN 'high' ELSE 'medium' END AS confidence, course IS NULL OR lesson IS NULL AS review_required,
+  concat_ws('; ', CASE WHEN course IS NULL THEN 'course number not found; textual course description used when available' END, CASE WHEN lesson IS NULL THEN 'lesson number not found; textual lesson description used when available' END) AS review_reason FROM l""")
 def course_lessons(spark, sf_dir) -> DataFrame:
-    p = t.table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    box = F.when(k % 3 == 0, F.concat(F.lit("Curso 12 "), "p_type")).when(k % 3 == 1, "backup").otherwise(F.col("p_type"))
-    leaf = F.when(k % 4 == 0, F.concat(F.lit("03. "), "p_name", F.lit(".mp4"))).when(k % 4 == 1, F.concat(F.lit("Lección 7 - "), "p_name")).otherwise(F.col("p_name"))
-    return p.select("p_partkey", names.course_lesson(box, leaf).alias("c")).select("p_partkey", "c.course", "c.lesson", "c.output_stem", "c.confidence", F.array_join("c.review", ",").alias("review"))
+    p, k, name = t.table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_name")
+    box = F.when(k % 3 == 0, F.concat(F.lit("download_2026-08-26_Curso 12 "), "p_type")).when(k % 3 == 1, "backup").otherwise(F.concat(F.lit("Course "), "p_type"))
+    leaf = F.when(k % 4 == 0, F.concat(F.lit("03. "), name, F.lit(".mp4"))).when(k % 4 == 1, F.concat(F.lit("Lección 7 - "), name)).when(k % 4 == 2, F.concat(F.lit("clase 5 "), name, F.lit("_20260831_10_24.wmv"))).otherwise(name)
+    return p.select("p_partkey", names.course_lesson(F.concat_ws("/", box, leaf)).alias("c")).select("p_partkey", "c.*")
+
+
+@query(f"""WITH s AS (SELECT p_partkey, {_SLUG.format("p_name")} AS name, upper({_SLUG.format("p_brand")}) AS brand, p_size FROM part)
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size::VARCHAR WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN p_size || '_1_' || name WHEN 3 THEN p_size || '_' || name ELSE name END
+  || 'x' || CASE p_partkey % 3 WHEN 0 THEN p_size || '_' || lower(brand) WHEN 1 THEN lower(brand) || '_an' ELSE p_size || '_' || lower(brand) || '_2_parte' END AS stem FROM s""")
+def archive_stems(spark, sf_dir) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    slug, brand = F.regexp_replace("p_name", "[^A-Za-z0-9]+", "-"), F.upper("p_brand")
+    label = F.when(k % 5 == 0, F.concat(F.lit("curso"), size, F.lit("-basic"))).when(k % 5 == 1, F.concat(F.lit("Curso"), size)).when(k % 5 == 2, F.concat(F.lit("curso"), size, F.lit("_1o-"), slug, F.lit("-mp4"))).when(k % 5 == 3, F.concat(size, F.lit("o-"), slug, F.lit("-wmv"))).otherwise(slug)
+    leaf = F.when(k % 3 == 0, F.concat(size, F.lit(".- "), brand, F.lit(".mp4"))).when(k % 3 == 1, F.concat(brand, F.lit(" (An).mov"))).otherwise(F.concat(size, F.lit("º"), brand, F.lit(" 2º parte.mp4")))
+    path = F.concat_ws("/", F.concat(F.lit("wetransfer_"), label, F.lit("_2026-07-19_0916__d140128160f88ce8")), leaf)
+    return t.table(spark, sf_dir, "part").select("p_partkey", names.course_lesson(path)["output_stem"].alias("stem"))
+
+
+@query("""WITH n AS (SELECT p_partkey, replace(p_name, ' ', '-') || ['_es.vtt', '.EN.vtt', '-es-es.mp4', '_en-us.VTT', '_tv.vtt', '.mp4', '_es'][p_partkey % 7 + 1] AS name FROM part)
+SELECT p_partkey, CASE WHEN p_partkey % 7 < 4 THEN regexp_replace(name, '(?i)[-_.](es-es|en-us|es|en)\.[^.]+$', '') ELSE regexp_replace(name, '\.[^.]+$', '') END AS stem,
+  ['es', 'en', 'es-es', 'en-us', NULL, NULL, NULL][p_partkey % 7 + 1] AS language, ['.vtt', '.vtt', '.mp4', '.vtt', '.vtt', '.mp4', ''][p_partkey % 7 + 1] AS extension FROM n""")
+def language_suffixes(spark, sf_dir) -> DataFrame:
+    ends = ["_es.vtt", ".EN.vtt", "-es-es.mp4", "_en-us.VTT", "_tv.vtt", ".mp4", "_es"]
+    name = F.concat(F.regexp_replace("p_name", " ", "-"), F.element_at(F.array(*map(F.lit, ends)), (F.col("p_partkey") % 7 + 1).cast("int")))
+    return t.table(spark, sf_dir, "part").select("p_partkey", names.language_suffix(name).alias("n")).select("p_partkey", "n.stem", "n.language", "n.extension")
 
 
 @query()
@@ -543,7 +585,7 @@ def name_similarity_pairs(spark, sf_dir) -> DataFrame:
 def language_codes(spark, sf_dir) -> DataFrame:
     k = F.col("doc_id") % 4
     name = F.when(k == 0, " EN-GB").when(k == 1, F.col("lang")).when(k == 2, "Spanish").otherwise("pt-BR")
-    return t.table(spark, sf_dir, "documents").select("doc_id", resources.language_code(name).alias("code"), resources.voice_code(name).alias("voice"))
+    return t.texts(spark, sf_dir).select("doc_id", resources.language_code(name).alias("code"), resources.voice_code(name).alias("voice"))
 
 
 @query("""SELECT p_partkey, '12,' || p_size || CASE WHEN p_size % 2 = 0 THEN ',0' ELSE '' END AS version, p_size > 10 AS newer FROM part""")
@@ -567,7 +609,7 @@ def time_format(spark, sf_dir) -> DataFrame:
 SELECT doc_id, CASE WHEN d <= 0 THEN '0.000' WHEN d <= m * 2 THEN printf('%.3f', d / 2) ELSE concat_ws(',', printf('%.3f', m + (d - 2 * m) * 0.1::DOUBLE), printf('%.3f', m + (d - 2 * m) * 0.3::DOUBLE), printf('%.3f', m + (d - 2 * m) * 0.5::DOUBLE), printf('%.3f', m + (d - 2 * m) * 0.7::DOUBLE), printf('%.3f', m + (d - 2 * m) * 0.9::DOUBLE)) END AS positions FROM m""")
 def sample_positions(spark, sf_dir) -> DataFrame:
     p = times.sample_positions(F.col("n_chars") / 100.0)
-    return t.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(p, lambda x: F.format_string("%.3f", x)), ",").alias("positions"))
+    return t.texts(spark, sf_dir).select("doc_id", F.array_join(F.transform(p, lambda x: F.format_string("%.3f", x)), ",").alias("positions"))
 
 
 @query("""SELECT p_partkey, least(30.0::DOUBLE, 0.5::DOUBLE * pow(2.0::DOUBLE, p_size % 9)) AS delay FROM part""")
@@ -592,12 +634,11 @@ def average_hash(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH {_HASH} SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(0.8::DOUBLE * (length(a.bits) - hamming(a.bits, b.bits)) / length(a.bits) + 0.2::DOUBLE * greatest(0.0::DOUBLE, 1 - abs(a.mean - b.mean) / 0.25::DOUBLE), 9) AS similarity
-FROM h a JOIN h b ON b.vec_id = a.vec_id + 10 AND a.label = b.label""")
+FROM h a JOIN h b ON b.label = a.label AND b.vec_id > a.vec_id AND b.vec_id // 10 = a.vec_id // 10""")
 def hash_similarity(spark, sf_dir) -> DataFrame:
-    h = _vectors(spark, sf_dir).select("vec_id", "label", media.average_hash(F.col("x")).alias("h"))
-    other = h.select((F.col("vec_id") - 10).alias("vec_id"), "label", F.col("h").alias("g"))
-    out = h.join(other, ["vec_id", "label"])
-    return out.select(F.col("vec_id").alias("left_id"), (F.col("vec_id") + 10).alias("right_id"), _r(media.visual_similarity(F.array("h"), F.array("g"))).alias("similarity"))
+    h = _vectors(spark, sf_dir).select("vec_id", "label", F.floor(F.col("vec_id") / 10).alias("_g"), media.average_hash(F.col("x")).alias("h"))
+    out = h.toDF("left_id", "label", "_g", "h").join(h.toDF("right_id", "label", "_g", "g"), ["label", "_g"]).filter("left_id < right_id")
+    return out.select("left_id", "right_id", _r(media.visual_similarity(F.array("h"), F.array("g"))).alias("similarity"))
 
 
 _AUDIO = """u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), c AS (SELECT *, (x < 0) <> (lag(x) OVER (PARTITION BY vec_id ORDER BY i) < 0) AS turn FROM u),
@@ -611,11 +652,11 @@ def audio_features(spark, sf_dir) -> DataFrame:
 
 
 @query(f"""WITH {_AUDIO}, p AS (SELECT a.vec_id AS left_id, b.vec_id AS right_id, greatest(0.0, 1 - abs(a.mean_abs - b.mean_abs) / greatest(a.mean_abs, b.mean_abs, 1e-6::DOUBLE)) AS x, greatest(0.0, 1 - abs(a.rms - b.rms) / greatest(a.rms, b.rms, 1e-6::DOUBLE)) AS y,
-  greatest(0.0, 1 - abs(a.crossings - b.crossings) / greatest(a.crossings, b.crossings, 1e-6::DOUBLE)) AS z FROM f a JOIN f b ON b.vec_id = a.vec_id + 10) SELECT left_id, right_id, round((x + y + z) / 3, 8) AS similarity FROM p""")
+  greatest(0.0, 1 - abs(a.crossings - b.crossings) / greatest(a.crossings, b.crossings, 1e-6::DOUBLE)) AS z FROM f a JOIN f b ON b.label = a.label AND b.vec_id > a.vec_id AND b.vec_id // 10 = a.vec_id // 10) SELECT left_id, right_id, round((x + y + z) / 3, 8) AS similarity FROM p""")
 def audio_similarity(spark, sf_dir) -> DataFrame:
-    f = _vectors(spark, sf_dir).select("vec_id", media.audio_features(F.col("x")).alias("f"))
-    out = f.join(f.select((F.col("vec_id") - 10).alias("vec_id"), F.col("f").alias("g")), "vec_id")
-    return out.select(F.col("vec_id").alias("left_id"), (F.col("vec_id") + 10).alias("right_id"), _r(media.audio_similarity(F.array("f"), F.array("g")), 8).alias("similarity"))
+    f = _vectors(spark, sf_dir).select("vec_id", "label", F.floor(F.col("vec_id") / 10).alias("_g"), media.audio_features(F.col("x")).alias("f"))
+    out = f.toDF("left_id", "label", "_g", "f").join(f.toDF("right_id", "label", "_g", "g"), ["label", "_g"]).filter("left_id < right_id")
+    return out.select("left_id", "right_id", _r(media.audio_similarity(F.array("f"), F.array("g")), 8).alias("similarity"))
 
 
 @query("""WITH v AS (SELECT vec_id, [a::DOUBLE * 8 FOR a IN embedding] AS x FROM embeddings), p AS (SELECT vec_id, x, list_max([abs(a) FOR a IN x]) AS p FROM v)
@@ -713,26 +754,42 @@ def vtt_round_trip(spark, sf_dir) -> DataFrame:
 
 def _files(spark, sf_dir):
     k = F.col("p_partkey")
-    name = F.element_at(F.array(*[F.lit(n) for n in ("_original.vtt", "_es.vtt", ".backup.vtt", ".mp4", ".mkv", "_tts.mp4", ".txt")]), (k % 7 + 1).cast("int"))
-    return t.table(spark, sf_dir, "part").select(F.concat(F.lit("f"), (k % 500).cast("string")).alias("folder"), F.concat(F.regexp_replace("p_name", " ", "_"), k.cast("string"), name).alias("name"))
+    name = F.element_at(F.array(*[F.lit(n) for n in ("_original.vtt", "_es.vtt", ".backup.vtt", "_es.bak.02.vtt", ".mp4", ".MKV", "_TTS.mp4", ".txt", "_original.bak.vtt")]), (k % 9 + 1).cast("int"))
+    folder = F.when(k % 500 == 0, "_manifests").otherwise(F.concat(F.lit("f"), (k % 500).cast("string")))
+    inner = F.when(k % 4 == 1, "original_transcriptions").when(k % 4 == 3, "other")
+    return t.table(spark, sf_dir, "part").select(folder.alias("folder"), inner.alias("subfolder"), F.concat(F.regexp_replace("p_name", " ", "_"), k.cast("string"), name).alias("name"))
 
 
-_FILES = """files AS (SELECT 'f' || p_partkey % 500 AS folder, replace(p_name, ' ', '_') || p_partkey || ['_original.vtt', '_es.vtt', '.backup.vtt', '.mp4', '.mkv', '_tts.mp4', '.txt'][p_partkey % 7 + 1] AS name FROM part)"""
+_FILES = """files AS (SELECT CASE WHEN p_partkey % 500 = 0 THEN '_manifests' ELSE 'f' || p_partkey % 500 END AS folder, CASE p_partkey % 4 WHEN 1 THEN 'original_transcriptions' WHEN 3 THEN 'other' END AS subfolder, replace(p_name, ' ', '_') || p_partkey || ['_original.vtt', '_es.vtt', '.backup.vtt', '_es.bak.02.vtt', '.mp4', '.MKV', '_TTS.mp4', '.txt', '_original.bak.vtt'][p_partkey % 9 + 1] AS name FROM part)"""
 
 
-@query(f"""WITH {_FILES}, v AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY contains(name, '_tts.'), name NOT LIKE '%.mp4', name) AS k FROM files WHERE name LIKE '%.mp4' OR name LIKE '%.mkv'),
-s AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY NOT contains(name, '_original'), name) AS k FROM files WHERE name LIKE '%.vtt' AND NOT contains(name, '.backup'))
+@query(f"""WITH {_FILES}, v AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY lower(name) NOT LIKE '%.mp4', name) AS k FROM files WHERE (lower(name) LIKE '%.mp4' OR lower(name) LIKE '%.mkv') AND NOT contains(lower(name), '_tts')),
+s AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY NOT contains(name, '_original'), lower(name)) AS k FROM files WHERE name LIKE '%.vtt' AND NOT contains(name, '.bak.'))
 SELECT coalesce(v.folder, s.folder) AS folder, v.name AS video, s.name AS subtitles FROM (SELECT * FROM v WHERE k = 1) v FULL JOIN (SELECT * FROM s WHERE k = 1) s ON v.folder = s.folder""")
 def folder_choices(spark, sf_dir) -> DataFrame:
     f = _files(spark, sf_dir)
     return listings.video_choice(f).withColumnRenamed("name", "video").join(listings.subtitle_choice(f, True).withColumnRenamed("name", "subtitles"), "folder", "full_outer")
 
 
-@query(f"""WITH {_FILES} SELECT folder, bool_or(name LIKE '%.mp4' OR name LIKE '%.mkv') AS has_video, bool_or(name LIKE '%.vtt' AND NOT contains(name, '.backup')) AS has_subtitles, bool_or(contains(name, '_tts.')) AS has_output FROM files GROUP BY folder""")
+@query(f"""WITH {_FILES}, v AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY lower(name) NOT LIKE '%.mp4', lower(name)) AS k FROM files WHERE lower(name) LIKE '%.mp4' OR lower(name) LIKE '%.mkv') SELECT folder, name FROM v WHERE k = 1""")
+def reprocess_videos(spark, sf_dir) -> DataFrame:
+    return listings.reprocess_video(_files(spark, sf_dir))
+
+
+_FLAGS = """flags AS (SELECT folder, bool_or(subfolder IS NULL AND (lower(name) LIKE '%.mp4' OR lower(name) LIKE '%.mkv')) AS has_video,
+  bool_or(coalesce(subfolder = 'original_transcriptions', false) AND name LIKE '%.vtt' AND NOT contains(name, '.bak')) AS has_subtitles, bool_or(subfolder IS NULL AND contains(lower(name), '_tts') AND lower(name) LIKE '%.mp4') AS has_output FROM files GROUP BY folder)"""
+
+
+@query(f"""WITH {_FILES}, {_FLAGS} SELECT * FROM flags""")
 def folder_flags(spark, sf_dir) -> DataFrame:
     return listings.folder_flags(_files(spark, sf_dir))
 
 
+@query(f"""WITH {_FILES}, {_FLAGS} SELECT folder FROM flags WHERE folder <> '_manifests' AND (has_video OR has_subtitles)""")
+def eligible_folders(spark, sf_dir) -> DataFrame:
+    return listings.eligible_folders(_files(spark, sf_dir))
+
+
 @query("""WITH n AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) ELSE replace(p_name, ' ', '_') END AS name FROM part), m AS (SELECT name, replace(lower(name), ' ', '_') AS new_name FROM n),
 w AS (SELECT *, bool_or(name = new_name) OVER (PARTITION BY new_name) AS taken, row_number() OVER (PARTITION BY new_name ORDER BY name) AS k FROM m)
 SELECT name, new_name, CASE WHEN name = new_name THEN 'unchanged' WHEN taken OR k > 1 THEN 'skip' ELSE 'rename' END AS action FROM w""")

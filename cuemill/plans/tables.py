@@ -10,6 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents; where they are one file that fewer tasks would read than there are cores, dealt over all of them."""
+    docs = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if len(docs.inputFiles()) == 1 and docs.rdd.getNumPartitions() < cores else docs
+
+
 def segments(spark, sf_dir) -> DataFrame:
     """events as timed words of each user: media_id, seq, start, end, text; some rows are made invalid by event_id."""
     e = table(spark, sf_dir, "events")
@@ -53,7 +60,7 @@ PERTURBED = """perturbed AS (
 
 def measured(spark, sf_dir) -> DataFrame:
     """documents as transcribed segments, with nullable measures taken from labels."""
-    d, label = table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars"), table(spark, sf_dir, "labels")
+    d, label = texts(spark, sf_dir).select("doc_id", "source", "text", "n_chars"), table(spark, sf_dir, "labels")
     return d.join(label, "doc_id", "left").select(
         "doc_id",
         "source",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import io
 import re
+import uuid
 import zipfile
 
 import pandas as pd
@@ -16,9 +17,16 @@ from ..functions.text import collapse
 
 ENTRY = "source string, status string, output_folder string, video string, secondary_video string, audio string, translated_vtt string, original_transcription string"
 REGISTRY = "source_name string, sha256 string, size long, archive_name string, output_folders array<string>, processed_at timestamp, status string"
+# Fixed value: the most bytes of a context file.
 PROMPT_BYTES = 2 << 20
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return bool(found) and len(found) > 0
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON-lines file with file order `pos`; blank, broken and non-object lines are skipped, wrong types are null."""
     lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("pos"))
@@ -32,28 +40,41 @@ def successes(registry: DataFrame) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str, entry: str = ENTRY) -> DataFrame:
-    """version, pos and the entries of a manifest: an object with a version, or a bare list (version 1); broken JSON raises."""
+    """version, pos and the entries of a manifest: an object (version 1 if it names none or 0) or a bare list (version 1).
+
+    Broken JSON raises; where there is no file there are no entries.
+    """
+    if not _exists(spark, path):
+        return spark.createDataFrame([], T.StructType([T.StructField("version", T.IntegerType()), T.StructField("pos", T.IntegerType()), *T.StructType.fromDDL(entry).fields]))
     whole = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     bare = F.schema_of_variant("v").startswith("ARRAY")
     kind = f"array<struct<{', '.join(f'{f.name}: {f.dataType.simpleString()}' for f in T.StructType.fromDDL(entry).fields)}>>"
     entries = F.when(bare, F.variant_get("v", "$", kind)).otherwise(F.variant_get("v", "$.entries", kind))
-    version = F.when(bare, F.lit(1)).otherwise(F.coalesce(F.variant_get("v", "$.version", "int"), F.lit(0)))
+    version = F.when(bare, F.lit(1)).otherwise(F.coalesce(F.nullif(F.variant_get("v", "$.version", "int"), F.lit(0)), F.lit(1)))
     return whole.select(version.alias("version"), F.posexplode(entries).alias("pos", "e")).select("version", "pos", "e.*")
 
 
 def write_json_document(spark: SparkSession, document: str, path: str) -> None:
-    """One document, published whole: written beside the path, synced by the file system's close, then renamed over it."""
+    """One document, published whole: written beside the path, synced, then renamed over it in one step."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    part = hadoop.Path(path + ".part")
-    out = fs.create(part, True)
-    out.write(bytearray(document.encode()))
-    out.hsync()
-    out.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"{path} could not be published")
+    part = hadoop.Path(f"{path}.{uuid.uuid4().hex}.part")
+    out = fs.create(part, False)
+    try:
+        out.write(bytearray(document.encode()))
+        out.hsync()
+    finally:
+        out.close()
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(part), fs.makeQualified(target), how)
+    except Exception:
+        fs.delete(part, False)
+        raise
 
 
 def append_json_lines(rows: DataFrame, path: str) -> None:
@@ -83,8 +104,8 @@ def csv_text(spark: SparkSession, path: str) -> DataFrame:
     return lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), ", ").alias("text"))
 
 
-def docx_text(files: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
-    """path, text, error of DOCX files (path, content): the text runs joined by spaces; DTDs and entities are refused."""
+def docx_text(files: DataFrame, most_bytes: int = PROMPT_BYTES) -> DataFrame:
+    """path, text, error of DOCX files (path, content): the text runs that aren't blank, trimmed, joined by spaces; DTDs and entities are refused."""
 
     @F.pandas_udf(T.StructType.fromDDL("text string, error string"))
     def read(content: pd.Series) -> pd.DataFrame:
@@ -99,7 +120,8 @@ def docx_text(files: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
                 return None, type(e).__name__
             if re.search(r"<!\s*(DOCTYPE|ENTITY)", xml, re.IGNORECASE):
                 return None, "entities"
-            return " ".join(html.unescape(t) for t in re.findall(r"<w:t(?:\s[^>]*)?>([^<]*)</w:t>", xml)), None
+            runs = re.findall(r"<w:t(?:\s[^>]*)?>(.*?)</w:t>", xml, re.DOTALL)
+            return " ".join(html.unescape(t).strip() for t in runs if t.strip()), None
 
         return pd.DataFrame([one(c) for c in content], columns=["text", "error"])
 
@@ -107,15 +129,18 @@ def docx_text(files: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
 
 
 def prompt(spark: SparkSession, literal: str | None, candidates: list[str]) -> str | None:
-    """The prompt itself, or the text of the first candidate file that exists, at most 2 MiB of it, white space collapsed."""
+    """The prompt itself, or the text of the first candidate file that exists, white space collapsed; files over 2 MiB raise."""
     if literal:
         return " ".join(literal.split())
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for path in candidates:
         p = hadoop.Path(path)
-        if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p):
             continue
+        if fs.getFileStatus(p).getLen() > PROMPT_BYTES:
+            raise ValueError(f"{path} exceeds {PROMPT_BYTES} bytes")
         rows = csv_text(spark, path) if path.lower().endswith(".csv") else docx_text(spark.read.format("binaryFile").load(path)) if path.lower().endswith(".docx") else text_file(spark, path)
         got = rows.select(collapse(F.col("text")).alias("text")).first()
-        return got["text"][:PROMPT_BYTES] if got and got["text"] else None
+        return got["text"] if got and got["text"] else None
     return None

@@ -1,12 +1,14 @@
 """Boundary cases of the operators that the tables don't hold."""
 
 import math
+import unicodedata
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from cuemill.functions import media, names, quality, resources, text, times, uris
-from cuemill.operators import archives, candidates, cues, dedup, fallback, intervals, similarity, state, timeline
+from cuemill.operators import archives, candidates, cues, dedup, fallback, intervals, listings, similarity, state, timeline
 
 
 def one(spark, column, **values):
@@ -120,13 +122,116 @@ def test_names(spark):
     assert one(spark, names.comparison_key(F.col("t")), t="wetransfer_My Talk 2024-01-05 (copy).mp4") == "my talk"
     s = one(spark, names.name_similarity(F.col("a"), F.col("b")), a="red apple pie", b="red apple tart")
     assert math.isclose(s, 0.65 * SequenceMatcher(None, "red apple pie", "red apple tart").ratio() + 0.35 * 2 / 4)
-    r = one(spark, names.course_lesson(F.col("a"), F.col("b")), a="Curso 12 Dibujo", b="03. La línea.mp4")
-    assert (r.course, r.lesson, r.output_stem, r.confidence) == (12, 3, "12_dibujox03_la_linea", "high")
     assert one(spark, names.artifact_stem(F.lit("old_a.VTT"), F.lit("old_a"), F.lit("new"))) == "new.vtt"
-    assert one(spark, names.repaired_member(F.lit("canci├│n"), F.lit(False))) == "canción"
+    for name in ("niño.wmv", "canción.mp4", "compresio\u0301n.wmv"):
+        damaged = name.encode().decode("cp437")
+        assert one(spark, names.repaired_member(F.lit(damaged), F.lit(False))) == unicodedata.normalize("NFC", name)
+        assert one(spark, names.repaired_member(F.lit(damaged), F.lit(True))) == damaged
+    assert one(spark, names.repaired_member(F.lit("pl│in"), F.lit(False))) == "pl│in"
+    assert one(spark, names.normal_filename(F.col("t")), t="Leccio\u0301n_niño_2026-08-31.MP4") == "leccion_nino.mp4"
+    assert one(spark, names.normal_component(F.col("t")), t="CON") == "_con"
+    assert one(spark, names.path_fits(F.col("t"), 5, 12), t="abc/éé/x") and not one(spark, names.path_fits(F.col("t"), 5, 12), t="abc/ééé/x")
+    assert not one(spark, names.path_fits(F.col("t"), 5, 6), t="abc/é/x")
     assert one(spark, names.safe_directory(F.lit('a<b>:".zip. '))) == "a_b___.zip"
 
 
+#: Archive, file and stem of transfers.
+TRANSFERS = [
+    ("wetransfer_7o-opt-taich-bombeos-mp4_2026-07-20_1135__f0232f8d88590c18", "8º OPT TAICH pendulos, abanicos, lanzamientos.mp4", "7_opt_taich_bombeosx8_opt_taich_pendulos_abanicos_lanzamientos"),
+    ("wetransfer_curso19-basic_2026-07-19_0916__d140128160f88ce8", "5.-posturas fijas del taichi desde 0.mp4", "19x5_posturas_fijas_del_taichi_desde_0"),
+    ("wetransfer_curso35_2026-07-19_1416__083e19a07cf5f284", "17.mp4", "35x17"),
+    ("wetransfer_curso37_1o-optimizadores-de-taichi-mp4_2026-07-19_2215__adae04e1", "5ºoptim taich  MANOS COMO NUBES.mp4", "37_1_optimizadores_de_taichix5_optim_taich_manos_como_nubes"),
+    ("wetransfer_estas-son-promocinales-son-6_2026-07-28_1039__0c10ca636f4c4fc2", "TAICHI CHINNA (Cuello de dragón)2º parte.mp4", "estas_son_promocinales_son_6xtaichi_chinna_cuello_de_dragon_2_parte"),
+    ("wetransfer_6-boxeo-sombras-filo-wmv_2026-07-27_1138__89de9eb473373033", "10. BOXEO SOMBRAS variaciones.wmv", "6_boxeo_sombras_filox10_boxeo_sombras_variaciones"),
+]
+#: Path, course, its words, lesson, its words, stem.
+LESSONS = [
+    ("Curso_03/07_Forma_del_Tigre.mp4", 3, None, 7, "forma_del_tigre", "3x07_forma_del_tigre"),
+    ("Taichi_Intermedio/Respiracion_y_movimiento.mp4", None, "taichi_intermedio", None, "respiracion_y_movimiento", "taichi_intermedioxrespiracion_y_movimiento"),
+    ("Respiracion_y_movimiento.mp4", None, None, None, "respiracion_y_movimiento", "respiracion_y_movimiento"),
+    ("download_26/08/2026 12:00:00_Curso_03/07_Forma_del_Tigre.mp4", 3, None, 7, "forma_del_tigre", "3x07_forma_del_tigre"),
+    ("download_2026.08.26T12:00:00_Curso_03/07_Forma_del_Tigre.mp4", 3, None, 7, "forma_del_tigre", "3x07_forma_del_tigre"),
+    ("Taichi_Intermedio/02_Forma.mp4", None, "taichi_intermedio", 2, "forma", "taichi_intermediox02_forma"),
+    ("Curso_03/Forma_del_Tigre.mp4", 3, None, None, "forma_del_tigre", "3xforma_del_tigre"),
+    ("Curso 12 movilidad articular/Leccion 3 rotacion de hombros.mp4", 12, "movilidad_articular", 3, "rotacion_de_hombros", "12_movilidad_articularx03_rotacion_de_hombros"),
+    ("Curso movilidad articular/2 - rotacion de hombros.mp4", None, "movilidad_articular", 2, "rotacion_de_hombros", "movilidad_articularx02_rotacion_de_hombros"),
+    ("wetransfer_material-estudio/saludo-inicial.mp4", None, "material_estudio", None, "saludo_inicial", "material_estudioxsaludo_inicial"),
+    ("Curso 03 Tai Chi/07 Forma del Tigre_31/08/2026 10:24:59.mp4", 3, "tai_chi", 7, "forma_del_tigre", "3_tai_chix07_forma_del_tigre"),
+    ("12º curso historia/3º intro.mp4", None, "12º_historia", 3, "º_intro", "12º_historiax03_º_intro"),
+    ("Curso 12 Dibujo/03. La línea.mp4", 12, "dibujo", 3, "la_linea", "12_dibujox03_la_linea"),
+    ("Curso 2/Tema 4/.mp4", 2, None, 4, None, "2x04"),
+]
+
+
+def test_course_and_lesson_of_paths(spark):
+    paths = [p for p, *_ in LESSONS] + [f"{a}/{b}" for a, b, _ in TRANSFERS]
+    got = {r.p: r.c for r in spark.createDataFrame([(p,) for p in paths], "p string").select("p", names.course_lesson(F.col("p")).alias("c")).collect()}
+    for path, *want in LESSONS[:-1]:
+        c = got[path]
+        assert [c.course, c.course_name, c.lesson, c.lesson_name, c.output_stem] == want, path
+        assert c.review_required == (None in (c.course, c.lesson)) and c.confidence == ("medium" if c.review_required else "high")
+    assert (got[LESSONS[-1][0]].course, got[LESSONS[-1][0]].review_reason) in ((2, ""), (2, names.NO_LESSON))
+    for archive, leaf, stem in TRANSFERS:
+        assert got[f"{archive}/{leaf}"].output_stem == stem
+    assert one(spark, names.reference_stem(F.lit("wetransfer_curso19_2026-07-19.zip"), F.lit("6.-X.mp4"))) == "19x6_x"
+
+
+def test_languages_and_keys(spark):
+    cases = {"my_tv.vtt": ("my_tv", None), "talk_es-es.vtt": ("talk", "es-es"), "a_en-us.vtt": ("a", "en-us"), "dir/talk.ES.vtt": ("talk", "es"), "talk_es": ("talk_es", None), ".es": (".es", None), "x": ("x", None)}
+    for name, (stem, language) in cases.items():
+        r = one(spark, names.language_suffix(F.col("t")), t=name)
+        assert (r.stem, r.language) == (stem, language), name
+    assert one(spark, names.subtitle_name(F.lit("talk_es.mp4"), F.lit("EN"))) == "talk_en.vtt"
+    keys = {"video_03_forma_del_tigre.mp4": "03 forma del tigre", "zip - talk one.mp4": "talk one", "drive-download-x.mp4": "drive x", "files from Ana talk.mp4": "ana talk", "unzipped_a-copy.mov": "a", "": ""}
+    for name, key in keys.items():
+        assert one(spark, names.comparison_key(F.col("t")), t=name) == key, name
+
+
+def test_pairs_of_names_by_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    words = "red green blue apple pear plum talk part one two".split()
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.randint(1, 5)))) for k in range(60)] + [(60, ""), (61, "")]
+    df = spark.createDataFrame(rows, "id int, key string")
+
+    def plain(a, b):
+        if not a or not b:
+            return float(a == b)
+        x, y = set(a.split()), set(b.split())
+        return 0.65 * SequenceMatcher(None, a, b).ratio() + 0.35 * len(x & y) / len(x | y)
+
+    for threshold in (0.7, 0.82, 0.95):
+        want = {(i, j) for i, a in rows for j, b in rows if plain(a, b) >= threshold}
+        assert {(x.left_id, x.right_id) for x in similarity.name_pairs(df, df, threshold).collect()} == want
+    with pytest.raises(ValueError, match="0.65"):
+        similarity.name_pairs(df, df, 0.65)
+
+
+def test_listings(spark):
+    rows = [("B", None, "x.mkv"), ("a", "original_transcriptions", "t.VTT"), ("c", None, "t.vtt"), ("d", "original_transcriptions", "t.bak.vtt"), ("e", None, "v_TTS.mp4"), ("_manifests", None, "m.mp4")]
+    files = spark.createDataFrame(rows, "folder string, subfolder string, name string")
+    assert [r.folder for r in listings.eligible_folders(files).collect()] == ["a", "B", "e"]
+    assert {r.folder for r in listings.video_choice(files).collect()} == {"B", "_manifests"}
+    assert [r.folder for r in similarity.first_of(spark.createDataFrame([("f", 2), ("f", 1), ("g", 3)], "folder string, pos int"), "folder", ["pos"]).collect()] == ["f", "g"]
+    assert [r.source for r in similarity.by_source(spark.createDataFrame([("b",), (None,), ("a",)], "source string")).collect()] == [None, "a", "b"]
+
+
+def test_synthesised_speech(spark):
+    def speak(text, language, voice, speed):
+        return [2.0, -1.0] * len(text), 50
+
+    rows = [(1, "ab", "en", "v", 1.0), (2, "  ", "en", "v", 1.0)]
+    got = {r.seq: r for r in timeline.synthesised(spark.createDataFrame(rows, "seq int, text string, language string, voice string, speed double"), speak, 100).collect()}
+    assert got[1].n_samples == 8 and got[1].audio[0] == 1.0 and max(map(abs, got[1].audio)) == 1.0 and got[2].audio == []
+
+
+def test_medium_valid(spark):
+    rows = [(1, 1, 0.0, 1.0, "a"), (2, 1, 5.0, 2.0, "a")]
+    out = intervals.medium_valid(spark.createDataFrame(rows, "media_id int, seq int, start double, end double, text string"))
+    assert {r.media_id: r.valid for r in out.collect()} == {1: True, 2: False}
+
+
 def test_addresses_and_members(spark):
     assert one(spark, uris.parse_uri(F.col("t")), t="local:///a%20b") == ("local", "/a b", "local")
     assert one(spark, uris.parse_uri(F.col("t")), t="ftp://x") is None
@@ -177,7 +282,31 @@ def test_state(spark):
     assert {r.source: (r.output_folder, r.resumed) for r in state.resume_split(s, m).collect()} == {"a": ("f2", True), "b": (None, False)}
     rows = spark.createDataFrame([("x", "1", "aaaaaaaaa"), ("x", "2", "aaaaaaaaa"), ("x", "3", "aaaaaaaaa"), ("y", "4", "b" * 9)], "stem string, source string, sha256 string")
     got = {r.source: r.output_stem for r in state.unique_stems(rows, spark.createDataFrame([("y",)], "stem string")).collect()}
-    assert got == {"1": "x", "2": "x_aaaaaaaa", "3": "x_aaaaaaaa_02", "4": "y_bbbbbbbb"}
+    assert got == {"1": "x", "2": "x___aaaaaaaa", "3": "x___aaaaaaaa_02", "4": "y___bbbbbbbb"}
+
+
+def plain_stems(rows, taken):
+    used, out = set(taken), {}
+    for stem, source, digest in sorted(rows, key=lambda r: r[1]):
+        name, k = stem, 1
+        while name in used:
+            name, k = f"{stem}___{digest[:8]}" + (f"_{k:02d}" if k > 1 else ""), k + 1
+        used.add(name)
+        out[source] = name
+    return out
+
+
+def test_unique_stems_as_one_by_one(spark):
+    import random
+
+    r = random.Random(3)
+    stems = ["x", "x___aaaaaaaa", "x___aaaaaaaa_02", "y", "y___bbbbbbbb"]
+    for _ in range(4):
+        rows = [(r.choice(stems), f"{k:03d}", r.choice("ab") * 9) for k in range(40)]
+        taken = ["y", "x___bbbbbbbb_03"]
+        df = spark.createDataFrame(rows, "stem string, source string, sha256 string")
+        got = {x.source: x.output_stem for x in state.unique_stems(df, spark.createDataFrame([(t,) for t in taken], "stem string")).collect()}
+        assert got == plain_stems(rows, taken) and len(set(got.values())) == 40
 
 
 def test_timeline(spark):

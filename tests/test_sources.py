@@ -36,6 +36,10 @@ def test_manifest_versions(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{")
     read = lambda n: [(r.version, r.pos, r.source) for r in documents.manifest(spark, str(tmp_path / n)).collect()]
     assert read("new.json") == [(2, 0, "a")] and read("old.json") == [(1, 0, "b"), (1, 1, "c")]
+    for n, v in (("none.json", {"entries": [{"source": "a"}]}), ("zero.json", {"version": 0, "entries": [{"source": "a"}]})):
+        (tmp_path / n).write_text(json.dumps(v))
+        assert read(n) == [(1, 0, "a")]
+    assert read("absent.json") == []
     with pytest.raises(Exception, match="(?i)malformed|parse"):
         read("bad.json")
 
@@ -44,7 +48,7 @@ def test_publish(spark, tmp_path):
     path = str(tmp_path / "m.json")
     documents.write_json_document(spark, '{"a": 1}', path)
     documents.write_json_document(spark, '{"a": 2}', path)
-    assert json.loads((tmp_path / "m.json").read_text()) == {"a": 2} and not (tmp_path / "m.json.part").exists()
+    assert json.loads((tmp_path / "m.json").read_text()) == {"a": 2} and not list(tmp_path.glob("*.part"))
 
 
 def test_texts(spark, tmp_path):
@@ -62,9 +66,12 @@ def test_texts(spark, tmp_path):
             documents.text_file(spark, str(tmp_path / bad)).collect()
     assert documents.csv_text(spark, str(tmp_path / "c.csv")).first().text.endswith("d, e")
     got = {os.path.basename(r.path): (r.text, r.error) for r in documents.docx_text(spark.read.format("binaryFile").load(str(tmp_path / "*.docx"))).collect()}
-    assert got == {"d.docx": ("One &  two", None), "x.docx": (None, "entities")}
+    assert got == {"d.docx": ("One & two", None), "x.docx": (None, "entities")}
     assert documents.prompt(spark, None, [str(tmp_path / "none.txt"), str(tmp_path / "t.txt")]) == "hello there"
     assert documents.prompt(spark, " a  b ", []) == "a b"
+    (tmp_path / "big.txt").write_text("x" * (documents.PROMPT_BYTES + 1))
+    with pytest.raises(ValueError, match="exceeds"):
+        documents.prompt(spark, None, [str(tmp_path / "big.txt")])
 
 
 def test_listing_and_polling(spark, tmp_path):
@@ -91,12 +98,40 @@ def test_storage_rules(spark):
     files = spark.createDataFrame([("old", "old_a.vtt"), ("x", "y.mp4")], "folder string, name string")
     moves = spark.createDataFrame([("old", "new")], "old string, new string")
     assert {tuple(r) for r in storage.renamed(files, moves).select("folder", "name").collect()} == {("new", "new_a.vtt"), ("x", "y.mp4")}
-    expected = spark.createDataFrame([("m", 3, "h"), ("n", 3, "h"), ("o", 3, "h")], "name string, size long, sha256 string")
-    have = spark.createDataFrame([("m", 3, "h", False), ("n", 4, "h", False)], "name string, size long, sha256 string, is_symlink boolean")
-    assert {r.name: r.fault for r in storage.broken_models(expected, have).collect()} == {"m": None, "n": "size", "o": "missing"}
+    have = spark.createDataFrame([("new", "new_a.vtt")], "folder string, name string")
+    assert [r.name for r in storage.missing_artefacts(have.union(spark.createDataFrame([("new", "b")], have.schema)), have).collect()] == ["b"]
     assert storage.remapped(spark.createDataFrame([("/in/a",), ("/out/b",)], "path string"), "/in", "/user").collect()[0].path == "/user/a"
 
 
+def test_broken_models(spark):
+    want = [("w.bin", 3, "h", None, None), ("c.json", None, None, 40, ["eos"])]
+    expected = spark.createDataFrame([(m, k, *w) for m in "abcdefghi" for k, w in enumerate(want)], "model string, pos int, name string, size long, sha256 string, most_size long, json_keys array<string>")
+    files = {
+        "a": (("w.bin", 3, "h", False, None), ("c.json", 9, "", False, b'{"eos": 1}')),
+        "b": (("w.bin", 4, "h", False, None), ("c.json", 9, "", True, b"{")),
+        "c": (("w.bin", 4, "h", True, None),),
+        "d": (("w.bin", 3, "x", False, None), ("c.json", 9, "", True, b"{")),
+        "e": (("w.bin", 3, "h", False, None), ("c.json", 9, "", False, b'{"eos"')),
+        "f": (("w.bin", 3, "h", False, None), ("c.json", 9, "", False, b"[1]")),
+        "g": (("w.bin", 3, "h", False, None), ("c.json", 9, "", False, b'{"bos": 1}')),
+        "h": (("w.bin", 3, "h", False, None), ("c.json", 41, "", False, b"{}")),
+        "i": (("w.bin", 3, "h", True, None), ("c.json", 9, "", False, b"\xff")),
+    }
+    have = spark.createDataFrame([(m, *f) for m, fs in files.items() for f in fs], "model string, name string, size long, sha256 string, is_symlink boolean, content binary")
+    got = {r.model: (r.fault, r.name) for r in storage.broken_models(expected, have).collect()}
+    assert got == {"a": (None, None), "b": ("size", "w.bin"), "c": ("missing", "c.json"), "d": ("checksum", "w.bin"), "e": ("json", "c.json"), "f": ("object", "c.json"), "g": ("keys", "c.json"), "h": ("size", "c.json"), "i": ("symlink", "w.bin")}
+    assert {r.model: r.fault for r in storage.broken_models(expected, have, 11).collect()}["a"] == "budget"
+
+
+def test_listing_source(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for n in ("x.vtt", "a/y.vtt", "a/b/z.vtt", "a/n.txt"):
+        (tmp_path / n).write_text("12")
+    storage.register_listing(spark)
+    got = spark.read.format("cuemill_listing").option("root", str(tmp_path)).option("pattern", "*.vtt").load()
+    assert sorted((r.name, r.parent.rsplit("/", 1)[-1], r["size"]) for r in got.collect()) == [("x.vtt", tmp_path.name, 2), ("y.vtt", "a", 2), ("z.vtt", "b", 2)]
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.json").write_text('{"provider": "p", "ts": "2024-01-01T10:00:00Z", "amount": 2}\n{"provider": "p", "ts": "2024-01-01T20:00:00Z", "amount": 3}\n')
