@@ -21,15 +21,20 @@ SPACE = " \t\n\x0b\f\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; where it is one file that fewer tasks would read than there are cores, dealt over all of them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) == 1 and df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this machine only where the setting is absent, as in tests."""
+    """The folder in spark.checkpoint.dir; in a local session without the setting, as in tests, one of its own."""
     got = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not got:
         got = spark.conf.get("spark.cuemill.scratch", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is to name a folder that all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="cuemill-")
         spark.conf.set("spark.cuemill.scratch", got)
     return got.rstrip("/")
@@ -103,41 +108,44 @@ def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def _running(cls: str, value: str, out: str):
+def _running(cls: str, values: list[str], outs: list[str]):
     def step(batches):
-        last, carry = None, 0
+        last, carry = None, [0] * len(values)
         for b in batches:
             if not b.num_rows:
                 continue
             c = b.column(b.schema.get_field_index(cls)).to_numpy(zero_copy_only=False)
-            v = b.column(b.schema.get_field_index(value)).to_numpy(zero_copy_only=False)
-            before = np.cumsum(v) - v
             first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-            base = np.repeat(before[first], np.diff(np.r_[first, len(c)]))
-            got = before - base
-            if last is not None and c[0] == last:
-                got[: first[1] if len(first) > 1 else len(c)] += carry
-            last, carry = c[-1], int(got[-1] + v[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.int64())], names=[*b.schema.names, out])
+            sizes, sums = np.diff(np.r_[first, len(c)]), []
+            for k, value in enumerate(values):
+                v = b.column(b.schema.get_field_index(value)).to_numpy(zero_copy_only=False)
+                before = np.cumsum(v) - v
+                got = before - np.repeat(before[first], sizes)
+                if last is not None and c[0] == last:
+                    got[: first[1] if len(first) > 1 else len(c)] += carry[k]
+                carry[k] = int(got[-1] + v[-1])
+                sums.append(pa.array(got, pa.int64()))
+            last = c[-1]
+            yield pa.RecordBatch.from_arrays([*b.columns, *sums], names=[*b.schema.names, *outs])
 
     return step
 
 
-def running_total(df: DataFrame, cls: str, order: list[str], value: str, out: str, name: str) -> DataFrame:
-    """df with `out`: the sum of `value` over the rows of the same `cls` that come before it by `order`.
+def running_total(df: DataFrame, cls: str, order: list[str], value: str | list[str], out: str | list[str], name: str) -> DataFrame:
+    """df with `out`: the sum of `value` over the rows of the same `cls` that come before it by `order`; both may be lists.
 
-    cls and value are longs without nulls.  Rows are dealt out by ranges of (cls, *order), so one class may spread over
-    any number of tasks; the sums of each task are few (one for each task and class that meet) and give the starts.
+    cls and value are longs without nulls.  Rows are dealt out by ranges of (cls, *order, place in df), so one class, and
+    any number of rows alike in cls and order, may spread over tasks; df is to be read from files, which gives rows the same
+    place each time.  The sums of each task are few (one for each task and class that meet) and give the starts.
     """
     n = partitions(df.sparkSession)
-    keys = [cls, *order]
-    cut = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_pid", F.spark_partition_id())
-    schema = with_field(cut, out, "long")
-    cut = store(cut.mapInArrow(_running(cls, value, out), schema), name)
-    sums = cut.groupBy("_pid", cls).agg(F.sum(value).alias("_sum"))
-    starts = sums.selectExpr("_pid", cls, f"sum(_sum) over (partition by {cls} order by _pid) - _sum as _start")
-    return (
-        cut.join(F.broadcast(starts), ["_pid", cls])  # a row for each task and class that meet
-        .withColumn(out, F.col(out) + F.col("_start"))
-        .drop("_pid", "_start")
-    )
+    values, outs = ([value], [out]) if isinstance(value, str) else (value, out)
+    keys = [cls, *order, "_place"]
+    cut = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_place").withColumn("_pid", F.spark_partition_id())
+    schema = T.StructType([*cut.schema.fields, *(T.StructField(o, T.LongType()) for o in outs)])
+    cut = store(cut.mapInArrow(_running(cls, values, outs), schema), name)
+    sums = store(cut.groupBy("_pid", cls).agg(*[F.sum(v).alias(f"_sum_{v}") for v in values]), f"{name}-sums")
+    before = [f"sum(_sum_{v}) over (partition by {cls} order by _pid) - _sum_{v} as _start_{v}" for v in values]
+    starts = sums.selectExpr("_pid", cls, *before)
+    met = cut.join(small(starts, sums.count(), 16 + 8 * len(values)), ["_pid", cls])  # a row for each task and class that meet
+    return met.withColumns({o: F.col(o) + F.col(f"_start_{v}") for v, o in zip(values, outs, strict=True)}).drop("_pid", *(f"_start_{v}" for v in values))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, lean, store, table
+from .common import SPACE, lean, partitions, shared_dir, store, table
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -26,25 +29,40 @@ def _keys(text: str, min_chars: int) -> tuple[list[str], list[bytes | None]]:
 
 
 class LineRuns:
-    """Levels of sorted runs (key, n_docs, max_doc) in the shared folder.
+    """Levels of sorted runs (key, n_docs, max_doc) in the shared folder, all dealt alike: bucketed by key and sorted in each bucket.
 
-    The batches come from the largest doc_ids down.  A run holds what one batch adds: the keys that no earlier run has,
-    with their largest document, which is then known for good, and the counts of the keys that one has.  When a level has
-    `fanout` runs they are merged into one run of the next level, so a key stands in few runs; its counts add up.
+    The batches come from the largest doc_ids down.  A batch is merge anti-joined with the runs: keys that none of them has
+    are new, and only their rows say which document keeps the line (max_doc); of keys that a run has, the batch adds a
+    count, and no document.  So a key has one max_doc in all the runs together - if a key were taken for new twice, the
+    later, smaller document would stand (_merge).  When a level has `fanout` runs they are merged into one of the next level.
+    Joins and merges find equal keys in equal buckets: nothing is shuffled but the batches, once.
     """
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
+        self.spark, self.fanout, self.levels, self.buckets = spark, fanout, [[]], partitions(spark)
+        self.tables: list[str] = []
+
+    def bucketed(self, df: DataFrame, name: str, by: str | None = None) -> str:
+        """Writes df, dealt by key already, as a table of one file for each bucket (and value of `by`); its name."""
+        full = f"cuemill_{name}_{uuid.uuid4().hex}"
+        writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(self.spark)}/cuemill/{full}")
+        (writer.partitionBy(by) if by else writer).bucketBy(self.buckets, "key").sortBy("key").saveAsTable(full)
+        self.tables.append(full)
+        return full
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.buckets, "key")
 
     @staticmethod
-    def _merge(runs: list[DataFrame]) -> DataFrame:
-        whole = runs[0]
-        for r in runs[1:]:
-            whole = whole.unionByName(r)
-        return whole.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+    def _merge(older: DataFrame, newer: DataFrame) -> DataFrame:
+        """Two runs as one: counts add up; the one max_doc that a key has stays."""
+        a, b = older.alias("a"), newer.hint("merge").alias("b")
+        count = F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))
+        return a.join(b, F.col("a.key") == F.col("b.key"), "full").select(F.coalesce("a.key", "b.key").alias("key"), count.alias("n_docs"), F.coalesce("b.max_doc", "a.max_doc").alias("max_doc"))
 
     def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for r in level]
+        """All runs, older ones first: a higher level holds what came before a lower one."""
+        return [self.spark.table(r) for level in reversed(self.levels) for r in level]
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows of keys that are in no run: merge anti-joins, run by run."""
@@ -54,25 +72,34 @@ class LineRuns:
 
     def add(self, keys: DataFrame) -> None:
         """Adds a batch: key, doc_id, each pair once, all doc_ids below those of earlier batches."""
-        own = store(keys.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")), "line-batch")
+        own = self.dealt(keys.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc")))
+        self.add_counted(self.spark.table(self.bucketed(own, "batch")))
+
+    def add_counted(self, own: DataFrame) -> None:
+        """Adds a batch of key, n_docs, max_doc, read from a bucketed table."""
         run = own
         if self.runs():
-            fresh = self.unseen(own)
-            known = own.join(fresh.select("key").hint("merge"), "key", "left_anti").withColumn("max_doc", F.lit(None).cast("long"))
-            run = fresh.unionByName(known)
-        self.levels[0].append(store(run.repartition("key").sortWithinPartitions("key"), "line-run-0"))
+            new = self.unseen(own).select(F.col("key").alias("_new"), F.col("max_doc").alias("_doc")).hint("merge")
+            run = own.drop("max_doc").join(new, F.col("key") == F.col("_new"), "left").select("key", "n_docs", F.col("_doc").alias("max_doc"))
+        self.levels[0].append(self.bucketed(run, "run_0"))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            merged = store(self._merge(self.levels[level]).sortWithinPartitions("key"), f"line-run-{level + 1}")
-            self.levels[level + 1].append(merged)
+            merged = reduce(self._merge, [self.spark.table(r) for r in self.levels[level]])
+            self.levels[level + 1].append(self.bucketed(merged, f"run_{level + 1}"))
             self.levels[level] = []
             level += 1
 
     def totals(self) -> DataFrame:
         """key, n_docs, max_doc over all runs."""
-        return self._merge(self.runs())
+        return reduce(self._merge, self.runs())
+
+    def close(self) -> None:
+        """Forgets the tables; their files stay for the owner of the shared folder."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = []
 
 
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -92,6 +119,31 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(find, "key binary, doc_id long")
 
 
+def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
+    """key, max_doc of the line keys that min_docs documents or more hold, found batch by batch through LineRuns.
+
+    Counts are combined in each task before the one shuffle by key, so a line that a third of all documents hold weighs as
+    much as there are tasks.  Where doc_ids repeat, the pairs are made distinct first.
+    """
+    spark = docs.sparkSession
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id"))
+    n, distinct, cuts = ids.agg(F.count("*"), F.count_distinct("doc_id"), F.percentile_approx("doc_id", [k / batches for k in range(batches - 1, 0, -1)] or [0.0])).first()
+    cuts = sorted(set(cuts or []) if batches > 1 else [], reverse=True)
+    pairs = line_keys(docs, min_chars)
+    if n > distinct:
+        pairs = pairs.distinct()
+    batch = sum((F.when(F.col("doc_id") <= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    counted = pairs.groupBy("key", batch.alias("batch")).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("max_doc"))
+    runs = LineRuns(spark, fanout)
+    try:
+        whole = spark.table(runs.bucketed(runs.dealt(counted), "batches", "batch"))
+        for k in range(len(cuts) + 1):
+            runs.add_counted(whole.filter(F.col("batch") == k).drop("batch"))
+        return store(runs.totals().filter(F.col("n_docs") >= min_docs).select("key", "max_doc"), "line-repeated")
+    finally:
+        runs.close()
+
+
 def drop_repeated_lines(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, broadcast_keys: int = BROADCAST_KEYS
 ) -> DataFrame:
@@ -99,20 +151,14 @@ def drop_repeated_lines(
 
     A line's key is the line stripped of ASCII white space, A-Z lower-cased.  A key of min_chars code points or more that
     min_docs documents (doc_ids) or more hold keeps its lines only in the largest of them.  The documents come in batches
-    of falling doc_ids; each is merged against the runs so far and adds its own.  The repeated keys then meet the lines by broadcast while there are at most
-    broadcast_keys of them, else by joins on key and doc_id.
+    of falling doc_ids; each is merge anti-joined with the runs so far and adds its own.  The repeated keys then meet the
+    lines by broadcast while there are at most broadcast_keys of them, else by joins on key and doc_id.
     Nulls: a null text is one empty line and comes back empty; a null doc_id is a document below all others.  Rows with
     one doc_id are one document.  Texts of any length are read whole.  Other columns stay; clashing ones are replaced.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_lines", "n_dropped")
-    keys = store(line_keys(docs, min_chars), "line-keys")
-    runs = LineRuns(spark, fanout)
-    cuts = keys.agg(F.percentile_approx("doc_id", [k / batches for k in range(batches - 1, 0, -1)])).first()[0] or []
-    for above, low in zip([None, *cuts], [*cuts, None], strict=True):
-        batch = keys if low is None else keys.filter(F.col("doc_id") > low)
-        runs.add((batch if above is None else batch.filter(F.col("doc_id") <= above)).distinct())
-    repeated = store(runs.totals().filter(F.col("n_docs") >= min_docs), "line-repeated")
+    repeated = repeated_keys(docs, min_chars, min_docs, batches, fanout)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     names = docs.columns
 
@@ -139,7 +185,7 @@ def drop_repeated_lines(
 
         return docs.mapInArrow(by_broadcast, schema)
 
-    drops = keys.distinct().join(repeated, "key").filter("doc_id <> max_doc").groupBy("doc_id").agg(F.collect_list("key").alias("_drop"))
+    drops = line_keys(docs, min_chars).distinct().join(repeated, "key").filter("doc_id <> max_doc").groupBy("doc_id").agg(F.collect_list("key").alias("_drop"))
     whole = docs.join(drops.withColumnRenamed("doc_id", "_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)) == F.col("_doc"), "left").drop("_doc")
 
     @lean

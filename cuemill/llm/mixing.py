@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .common import lean, running_total, store, table
+from .common import lean, partitions, running_total, store, table
 
 BLOCK_WORDS = 64
+LEAST_BLOCKS = 128  # blocks of a source at least, as far as its words go: what a target is missed by is a part of a block
 SHARDS = 64
 MOST_REPEATS = 3
 WEIGHTS = (5, 2, 1)
 SEED = 20240601
+SPLITS = 16  # parts of a source where its rows meet a catalogue that is too long to broadcast
+_ROW = "_row"
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -32,38 +35,34 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(count, T.StructType([*docs.schema.fields, T.StructField("size", T.LongType())]))
 
 
-def fill(sizes: list[int], weights: list[float], most: float = MOST_REPEATS) -> list[float]:
-    """Targets that share sum(sizes) by weight, none above `most` times its size; the excess goes to the others by weight."""
-    left, free, out = float(sum(sizes)), set(range(len(sizes))), [0.0] * len(sizes)
-    while free:
-        whole = sum(weights[i] for i in free)
-        over = [i for i in free if left * weights[i] / whole > most * sizes[i]]
-        for i in over:
-            out[i] = most * float(sizes[i])
-        if not over:
-            for i in free:
-                out[i] = left * weights[i] / whole
-            break
-        left -= sum(out[i] for i in over)
-        free -= set(over)
-    return out
+def catalogue(sizes: DataFrame, weights: tuple = WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
+    """source, rank, source_size, target of each source of sizes (source, size); no row of it comes to the driver.
 
-
-def draw(quotas: list[int], shards: int, seed: int) -> np.ndarray:
-    """[shard, source] counts: each shard draws a multinomial by what is left of the quotas, which the last one empties.
-
-    A draw above what is left is cut to it, and the next shards draw the rest, so the columns sum to the quotas.
+    rank is the source's place by code point, null last; weights[rank % len] is its weight.  Targets share the sum of all
+    sizes by weight, none above `most` times its source's size, the excess reshared among the others: target = min(most *
+    size, level * weight).  In the order of size / weight the sources that are capped come first, so the level follows from
+    the running totals of sizes and weights: it is what the rest has left, at the first source that stays below its cap.
     """
-    left, out = np.array(quotas, np.int64), np.zeros((shards, len(quotas)), np.int64)
-    for k in range(shards):
-        total = int(left.sum())
-        size = total // (shards - k)
-        if k == shards - 1 or not total:
-            out[k] = left
-        else:
-            out[k] = np.minimum(np.random.default_rng([seed, k]).multinomial(size, left / total), left)
-        left = left - out[k]
-    return out
+    rows = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
+    rows = store(rows.withColumn("_all", F.lit(0).cast("long")).withColumn("_one", F.lit(1).cast("long")).withColumn("_null", F.col("source").isNull()), "mix-sources")
+    ranked = running_total(rows, "_all", ["_null", "source"], "_one", "rank", "mix-ranks")
+    weight = F.element_at(F.array(*[F.lit(int(w)).cast("long") for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = store(ranked.withColumn("weight", weight).withColumn("_order", F.col("source_size") / weight), "mix-weights")
+    total, whole = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    below = running_total(ranked, "_all", ["_order", "rank"], ["source_size", "weight"], ["_sizes", "_weights"], "mix-below")
+    # if all sources before this one are capped: what a unit of weight gets of the rest, which includes this source
+    level = (F.lit(float(total)) - most * F.col("_sizes")) / (F.lit(whole) - F.col("_weights"))
+    levels = below.withColumn("_level", level).filter(F.col("_level") * F.col("weight") <= most * F.col("source_size"))
+    first = levels.agg(F.min_by("_level", F.struct("_order", "rank"))).first()[0]
+    cap = F.lit(float(most)) * F.col("source_size")
+    target = cap if first is None else F.least(cap, F.lit(first) * F.col("weight"))
+    return store(ranked.select("source", "rank", "source_size", target.alias("target")), "mix-catalogue")
+
+
+def draw(quota: int, shards: int, key: list[int]) -> np.ndarray:
+    """How many of a source's slots each output shard has: a multinomial draw, so that a shard's counts of all sources are
+    multinomial by what the sources give in all, and the totals are met."""
+    return np.random.default_rng(key).multinomial(quota, np.full(shards, 1 / shards))
 
 
 def permuted(i: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -82,51 +81,77 @@ def permuted(i: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def plan(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED, keep_text: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _with_blocks(sources: DataFrame, block: int) -> DataFrame:
+    """sources with blocks (how many), low (words of a block; the first `longer` blocks have one more) and quota (slots)."""
+    n = F.col("source_size")
+    blocks = F.greatest(F.ceil(n / block), F.least(n, F.lit(LEAST_BLOCKS))).cast("long")
+    out = sources.withColumn("blocks", blocks)
+    some = F.greatest(F.col("blocks"), F.lit(1))
+    low = F.expr("source_size div greatest(blocks, 1)")
+    quota = F.least(MOST_REPEATS * F.col("blocks"), F.round(F.col("target") / F.greatest(n, F.lit(1)) * F.col("blocks")).cast("long"))
+    return out.withColumn("low", low).withColumn("longer", n % some).withColumn("quota", quota)
+
+
+def _met(sizes: DataFrame, sources: DataFrame, n_sources: int) -> DataFrame:
+    """sizes with the columns of their source; a long catalogue meets each source's rows in SPLITS parts."""
+    s = sources.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull()).drop("source")
+    d = sizes.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull())
+    if n_sources * 160 <= 32 << 20:
+        return d.join(F.broadcast(s), ["_s", "_n"]).drop("_s", "_n")
+    s = s.withColumn("_k", F.explode(F.expr(f"sequence(0, {SPLITS - 1})")))
+    d = d.withColumn("_k", F.pmod(F.xxhash64("doc_id", "size", F.monotonically_increasing_id()), F.lit(SPLITS)).cast("int"))
+    return d.join(s.hint("merge"), ["_s", "_n", "_k"]).drop("_s", "_n", "_k")
+
+
+def plan(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK_WORDS, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(placed, pieces, slots) of the mix.
 
-    placed: the columns of docs, with size, rank, source_size, target and at (the words of its source before it).
-    pieces: the parts of documents that make up each block of `block` words of a source: rank, at, block, first (word
-    in the document), words.  slots: the blocks of each output shard in order: shard, slot, rank, block.
+    placed: the columns of docs but text, with size, rank, source_size, target and at (the words of its source before it).
+    pieces: the parts of documents that make up each block: rank, at, block, first (word in the document), words.
+    slots: the blocks of each output shard in order: shard, slot, rank, block.
 
-    The words of a source, by doc_id, are cut into blocks; a source's last block may be short.  Each source gets
-    target / block slots; its i-th slot takes the block that a permutation, another one for each pass through the
-    source, gives for i.  No block is taken more than MOST_REPEATS times.  The sources (a short catalogue, with
-    one row each) are the only rows on the driver.
+    The words of a source, by doc_id and size, are cut into blocks of `block` words (shorter by at most one word where they
+    don't come out even; a source of less than LEAST_BLOCKS such blocks has shorter ones, down to a word, so that its target
+    is met as well).  Each source gets target / size of its blocks as slots, and each output shard draws how many of them it
+    holds; a source's i-th slot takes the block that a permutation, another one for each pass through the source, gives for
+    i.  No block is taken more than MOST_REPEATS times.
     Nulls: a null text has no words; a null source is a source, the last; a null doc_id is a document.  Repeated rows
-    are documents of their own.  docs has doc_id, source and text, or size in place of text; a clashing column is replaced.
+    are documents of their own; which of two that are alike in doc_id and size comes first is settled by their place in the
+    files.  Texts are counted whole, whatever their length.  No documents, no rows.  docs has doc_id, source and text, or
+    size in place of text; a clashing column is replaced.
     """
-    spark = docs.sparkSession
-    sizes = (docs if "text" not in docs.columns else word_counts(docs.drop("size"))).drop("rank", "source_size", "target", "at")
-    if not keep_text:
-        sizes = store(sizes.drop("text"), "mix-sizes")
-    catalogue = sorted(
-        ((r["source"], int(r["size"])) for r in sizes.groupBy("source").agg(F.sum("size").alias("size")).collect()),
-        key=lambda r: (r[0] is None, r[0] or ""),  # str sorts by code point
-    )
-    targets = fill([n for _, n in catalogue], [weights[i % len(weights)] for i in range(len(catalogue))])
-    blocks = [-(-n // block) for _, n in catalogue]
-    quotas = [min(MOST_REPEATS * b, round(t / n * b)) if n else 0 for (_, n), t, b in zip(catalogue, targets, blocks, strict=True)]
-    counts = draw(quotas, shards, seed)
-    ranks = spark.createDataFrame(
-        [(s, i, n, t) for i, ((s, n), t) in enumerate(zip(catalogue, targets, strict=True))],
-        "source string, rank long, source_size long, target double",
-    )
-    sizes = sizes.join(F.broadcast(ranks.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    placed = running_total(sizes, "rank", ["doc_id", "size"], "size", "at", "mix-at")
+    sizes = (docs if "text" not in docs.columns else word_counts(docs.drop("size"))).drop("rank", "source_size", "target", "at", "blocks", "low", "longer", "quota")
+    sizes = store(sizes.drop("text"), "mix-sizes")
+    sources = store(_with_blocks(catalogue(sizes, weights), block), "mix-blocks")
+    n_sources = sources.count()
+    met = _met(sizes, sources.select("source", "rank", "source_size", "target", "blocks", "low", "longer"), n_sources)
+    order = ["doc_id", "size"] + [_ROW] * (_ROW in met.columns)
+    placed = running_total(store(met, "mix-met"), "rank", order, "size", "at", "mix-at")
+    edge = "longer * (low + 1)"  # the words in the longer blocks
+    of = lambda w: f"if({w} < {edge}, ({w}) div (low + 1), longer + ({w} - {edge}) div greatest(low, 1))"
+    start = lambda b: F.expr(f"{b} * low + least({b}, longer)")
     pieces = (
         placed.filter("size > 0")
-        .select("rank", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
-        .withColumn("first", F.greatest(F.lit(0), F.col("block") * block - F.col("at")))
-        .withColumn("words", F.least(F.col("size"), (F.col("block") + 1) * block - F.col("at")) - F.col("first"))
-        .drop("size")
+        .select("rank", "at", "size", "low", "longer", F.explode(F.expr(f"sequence({of('at')}, {of('at + size - 1')})")).alias("block"))
+        .withColumn("first", F.greatest(F.lit(0), start("block") - F.col("at")))
+        .withColumn("words", F.least(F.col("size"), start("(block + 1)") - F.col("at")) - F.col("first"))
+        .select("rank", "at", "block", "first", "words")
     )
-    starts = np.cumsum(counts, axis=0) - counts
-    shard_at = np.cumsum(counts, axis=1) - counts
-    runs = [(k, int(shard_at[k, s]), s, int(starts[k, s]), int(counts[k, s]), blocks[s]) for k in range(shards) for s in range(len(catalogue)) if counts[k, s]]
+
+    def runs(batches):
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                n = draw(r["quota"], shards, [seed, r["rank"]])
+                out += [(k, r["rank"], int(i - c), int(c), r["blocks"]) for k, (c, i) in enumerate(zip(n, np.cumsum(n), strict=True)) if c]
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["shard", "rank", "first", "n", "blocks"])
+
+    drawn = sources.select("rank", "blocks", "quota").filter("quota > 0").mapInArrow(runs, "shard long, rank long, first long, n long, blocks long")
+    drawn = running_total(store(drawn, "mix-draws"), "shard", ["rank"], "n", "at", "mix-shards")
     per_row = 1 << 16
-    runs = spark.createDataFrame(runs, "shard int, at long, rank long, first long, n long, blocks long")
-    runs = runs.withColumn("part", F.explode(F.expr(f"sequence(0L, (n - 1) div {per_row}L)"))).repartition(min(256, 4 * spark.sparkContext.defaultParallelism))
+    spark = docs.sparkSession
+    drawn = drawn.withColumn("part", F.explode(F.expr(f"sequence(0L, (n - 1) div {per_row}L)"))).repartition(partitions(spark), "shard", "rank", "part")
 
     def slots(batches):
         for b in batches:
@@ -141,7 +166,7 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, block: int = BLOCK_WORDS, sh
                     names=["shard", "slot", "rank", "block"],
                 )
 
-    return placed, pieces, runs.mapInArrow(slots, "shard int, slot long, rank long, block long")
+    return placed.drop("blocks", "low", "longer"), pieces, drawn.mapInArrow(slots, "shard int, slot long, rank long, block long")
 
 
 def taken_blocks(slots: DataFrame) -> DataFrame:
@@ -160,13 +185,22 @@ def op9_mixing(spark, sf_dir) -> DataFrame:
 
 @lean
 def _cut(batches):
+    """texts of rows with text and parts (first, words, times): the c-th holds the words that are taken c times or more, each
+    with the space that follows it, and the space before the first word."""
     for b in batches:
-        out = []
-        for text, parts in zip(b.column(b.schema.get_field_index("text")).to_pylist(), b.column(b.schema.get_field_index("parts")).to_pylist(), strict=True):
-            w = text.encode().split()
-            parts.sort(key=lambda p: p["first"])
-            most = max(p["times"] for p in parts)
-            out.append([b" ".join(x for p in parts if p["times"] >= c for x in w[p["first"] : p["first"] + p["words"]]).decode() for c in range(1, most + 1)])
+        out, all_parts = [], b.column(b.schema.get_field_index("parts")).to_pylist()
+        for i, data, off in ta.chunks(b.column(b.schema.get_field_index("text"))):
+            starts, _, before = ta.words(data, off)
+            for k in range(len(off) - 1):
+                raw, parts = data[off[k] : off[k + 1]], sorted(all_parts[i + k], key=lambda p: p["first"])
+                at = np.r_[starts[before[k] : before[k + 1]] - off[k], len(raw)]
+                at[0] = 0
+                out.append(
+                    [
+                        b"".join(raw[at[p["first"]] : at[p["first"] + p["words"]]].tobytes() for p in parts if p["times"] >= c).decode()
+                        for c in range(1, max(p["times"] for p in parts) + 1)
+                    ]
+                )
         keep = [n for n in b.schema.names if n not in ("text", "parts")]
         yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in keep] + [pa.array(out, pa.list_(pa.string()))], names=[*keep, "texts"])
 
@@ -174,11 +208,15 @@ def _cut(batches):
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """The mix as rows of documents (doc_id, text, lang, source, n_chars): a row for each time that some of its words are taken.
 
-    Row c of a document holds, in order and joined by spaces, the words of its blocks that are taken at least c times.
-    A document of which nothing is taken has no row.
+    Row c of a document holds, in order, the words of its blocks that are taken at least c times, with the white space that
+    follows them: a document that is taken whole has its text.  A document of which nothing is taken has no row.  Rows are
+    placed and drawn by their sizes; the texts are moved once, to the rows that are taken.
     """
-    placed, pieces, slots = plan(docs.select("doc_id", "text", "lang", "source"), keep_text=True, **options)
+    docs = docs.select("doc_id", "text", "lang", "source")
+    whole = store(word_counts(docs).withColumn(_ROW, F.monotonically_increasing_id()), "mix-texts")
+    placed, pieces, slots = plan(whole.select(_ROW, "doc_id", "source", "size"), **options)
     parts = pieces.join(taken_blocks(slots).hint("merge"), ["rank", "block"]).groupBy("rank", "at").agg(F.collect_list(F.struct("first", "words", "times")).alias("parts"))
-    cut = placed.filter("size > 0").join(parts, ["rank", "at"]).select("doc_id", "lang", "source", "text", "parts")
+    taken = placed.filter("size > 0").select(_ROW, "rank", "at").join(parts.hint("merge"), ["rank", "at"]).select(_ROW, "parts")
+    cut = whole.drop("size").join(taken.hint("merge"), _ROW).select("doc_id", "lang", "source", "text", "parts")
     schema = T.StructType([f for f in cut.schema.fields if f.name not in ("text", "parts")]).add("texts", T.ArrayType(T.StringType()))
     return cut.mapInArrow(_cut, schema).select("doc_id", F.explode("texts").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long"))

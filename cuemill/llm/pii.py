@@ -10,7 +10,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,9 @@ MIN_CONTEXTS = 3  # documents, no two of them near copies, in which a term must
 NEAR, OF = 2, 5  # near copies share 2/5 of the terms that either has
 SPLIT = 512  # documents of an entity that one task compares
 GENERALISE, REMOVE = 0.93, 0.97  # thresholds of disclosure
+KIND_GENERALISE = 0.85  # the same for kinds of data, which are less than one person's
+EVIDENCE = 20.7  # ln(10^6 terms / 10^-3): how unlikely by chance the company of a term and a kind must be
+ANY = "any"
 EXACT_TERMS = 200_000
 BITS = 24
 _LOWEST = -(2**63)
@@ -81,6 +84,13 @@ def _entity(kind: str, value: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}:{value}") - (1 << 63)
 
 
+def _kind(kind: str) -> int:
+    return xxhash.xxh64_intdigest(f"kind:{kind}") - (1 << 63)
+
+
+KIND_IDS = tuple(_kind(k) for k in (*KINDS, ANY))
+
+
 def _free(spans):
     """A test whether no span covers any of [s, e)."""
     covered = sorted((s, e) for _, s, e in spans)
@@ -97,7 +107,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """id, print (of the text), n_email ... n_phone, base (spans), base_sha256, entities, words (the terms of a text with entities)."""
+    """id, print (of the text), n_email ... n_phone, base (spans), base_sha256, entities (the values of base spans, their kinds,
+    and that there is any), words (the terms of a text with entities)."""
 
     @lean
     def find(batches):
@@ -108,8 +119,9 @@ def find_base(docs: DataFrame) -> DataFrame:
                 spans = base_spans(text)
                 base = _joined(spans)
                 n = [sum(k == kind for k, _, _ in spans) for kind in KINDS]
-                held = sorted({_entity(k, text[s:e]) for k, s, e in spans})
-                out.append([d, _fingerprint(text), *n, base, hashlib.sha256(base.encode()).hexdigest(), held, sorted(_terms(text, spans)) if spans else []])
+                held = {_entity(k, text[s:e]) for k, s, e in spans}
+                held |= {_kind(k) for k, _, _ in spans} | ({_kind(ANY)} if spans else set())
+                out.append([d, _fingerprint(text), *n, base, hashlib.sha256(base.encode()).hexdigest(), sorted(held), sorted(_terms(text, spans)) if spans else []])
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names=names)
 
     kinds = [pa.int64()] * 6 + [pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())]
@@ -190,17 +202,18 @@ def _leaders(batches):
     yield from led()
 
 
-def supported(pairs: DataFrame, near: DataFrame, base: DataFrame) -> DataFrame:
+def supported(pairs: DataFrame, near: DataFrame, holders: DataFrame) -> DataFrame:
     """The pairs (entity, term) that stand together in MIN_CONTEXTS documents of which no two are near copies.
 
-    near: entity, term, print.  An entity with many documents is split over tasks, whose leaders then meet by term.
+    near: entity, term, print.  holders: print, words, a row for each text.  An entity with many documents is split over
+    tasks, whose leaders then meet by term.
     """
     shape = "entity long, term string, print long, words array<string>"
     keys = pairs.select("entity", "term")
     found = near.select("entity", "term", "print").join(small(keys, keys.count(), 64), ["entity", "term"]).groupBy("entity", "print").agg(F.collect_set("term").alias("terms"))
     found = store(found, "pii-found")
     many = found.groupBy("entity").agg(F.ceil(F.count("*") / SPLIT).alias("splits"))
-    words = base.filter(F.size("words") > 0).select("print", "words").dropDuplicates(["print"])
+    words = holders.select("print", "words")
     rows = found.join(many.hint("merge"), "entity").join(words.hint("merge"), "print").withColumn("split", F.pmod(F.xxhash64("print"), F.col("splits")))
     dealt = rows.select("entity", "split", "splits", "print", "words", "terms").repartition("entity", "split").sortWithinPartitions("entity", "split", "print")
     led = store(dealt.mapInArrow(_leaders, shape), "pii-leaders")
@@ -210,19 +223,34 @@ def supported(pairs: DataFrame, near: DataFrame, base: DataFrame) -> DataFrame:
     return whole.groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= MIN_CONTEXTS).select("entity", "term")
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """term, disclosure, for terms at or above GENERALISE.
+def _evidence(texts: Column, share: Column, base_rate: Column) -> Column:
+    """How far from chance it is that of texts / share documents `share` are of an entity that `base_rate` of all are of:
+    the exponent of the Chernoff bound, n times the divergence of the two rates."""
+    away = F.greatest(F.lit(1e-12), 1 - share)
+    divergence = share * F.log(share / base_rate) + F.when(share < 1, away * F.log(away / F.greatest(F.lit(1e-12), 1 - base_rate))).otherwise(0.0)
+    return F.when(share > base_rate, texts / share * divergence).otherwise(0.0)
+
 
-    The disclosure of entity e by term t is PMI(e, t) / -log p(e), with probabilities over all documents: 1 if t never
-    occurs without e, 0 if they are independent.  A term gets its highest.  All counts are of rows that hold e or t
-    anywhere, t outside the spans.  Near copies of a document count once as support.
+def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """term, disclosure, for terms at or above their threshold.
+
+    Entities are the values of base spans, each of the four kinds, and personal data of any kind.  The disclosure of entity
+    e by term t is PMI(e, t) / -log p(e), with probabilities over all documents: 1 if t never occurs without e, 0 if they are
+    independent.  A term gets its highest.  All counts are of rows that hold e or t anywhere, t outside the spans; repeated
+    rows change no share.  A value is disclosed at GENERALISE; a kind at KIND_GENERALISE, if chance can't explain the
+    company: among a million terms, none would meet a kind so often in so many different texts.  For either, near copies of
+    a document count once as support.
     """
     spark = docs.sparkSession
-    holders = base.select("id", "print", F.explode("entities").alias("entity"), "words")
-    entities = holders.groupBy("entity").agg(F.countDistinct("print").alias("texts"), F.count("*").alias("with_entity")).filter(F.col("texts") >= MIN_CONTEXTS)
+    kind = F.col("entity").isin(*KIND_IDS)
+    holders = base.filter(F.size("entities") > 0).groupBy("print").agg(F.count("*").alias("rows"), F.first("entities").alias("entities"), F.first("words").alias("words"))
+    holders = store(holders, "pii-holders")
+    held = holders.select("print", "rows", F.explode("entities").alias("entity"))
+    entities = held.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("rows").alias("with_entity")).filter(F.col("texts") >= MIN_CONTEXTS)
     entities = store(entities.select("entity", "with_entity"), "pii-entities")
-    near = holders.join(small(entities.select("entity"), entities.count(), 16), "entity").select("id", "print", "entity", F.explode("words").alias("term"))
-    pairs = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= MIN_CONTEXTS)
+    near = holders.select("print", "rows", F.explode("entities").alias("entity"), "words").join(small(entities.select("entity"), entities.count(), 16), "entity")
+    near = near.select("print", "rows", "entity", F.explode("words").alias("term"))
+    pairs = near.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count("*").alias("texts")).filter(F.col("texts") >= MIN_CONTEXTS)
     pairs = store(pairs, "pii-pairs")
     candidates = pairs.select("term").distinct()
     passing = _sieve(candidates, candidates.count())
@@ -243,10 +271,12 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     seen = docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
     total = base.count()
     p = pairs.join(seen, "term").join(entities, "entity")
-    rarity = -F.log(F.col("with_entity") / F.lit(float(total)))
-    p = p.withColumn("disclosure", F.when(rarity > 0, 1 + F.log(F.least(F.lit(1.0), F.col("both") / F.col("with_term"))) / rarity).otherwise(0.0))
-    p = store(p.filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure"), "pii-disclosing")
-    p = p.join(supported(p, near, base), ["entity", "term"])
+    rate = F.col("with_entity") / F.lit(float(max(total, 1)))
+    share = F.least(F.lit(1.0), F.col("both") / F.col("with_term"))
+    p = p.withColumn("disclosure", F.when(rate < 1, 1 - F.log(share) / F.log(rate)).otherwise(0.0))
+    reached = F.when(kind, (F.col("disclosure") >= KIND_GENERALISE) & (_evidence(F.col("texts"), share, rate) >= EVIDENCE)).otherwise(F.col("disclosure") >= GENERALISE)
+    p = store(p.filter(reached).select("entity", "term", "disclosure"), "pii-disclosing")
+    p = p.join(supported(p, near, holders), ["entity", "term"])
     return p.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
 

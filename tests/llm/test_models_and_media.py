@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,15 +15,12 @@ from . import helpers as h
 
 
 def plain_top(rows, k=5):
-    ok = {}
-    for i, e in rows:
-        if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
-            ok.setdefault(i, []).append([int(np.floor(256.0 * float(np.float32(x)))) for x in e])
-    out = set()
-    for q in (i for i in ok if i % 50 == 0):
-        v = min(ok[q])
-        near = sorted((-min(2**63 - 1, sum(a * b for a, b in zip(v, c, strict=True))), i) for i, cs in ok.items() if i != q for c in cs if len(c) == len(v))
-        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(near[:k])}
+    ok = [(i, [int(np.floor(256.0 * float(np.float32(x)))) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    out = Counter()
+    for n, (q, v) in enumerate(ok):
+        if q % 50 == 0:
+            near = sorted((-min(2**63 - 1, sum(a * b for a, b in zip(v, c, strict=True))), i) for m, (i, c) in enumerate(ok) if m != n and len(c) == len(v))
+            out.update((q, r + 1, i, -s) for r, (s, i) in enumerate(near[:k]))
     return out
 
 
@@ -32,17 +30,24 @@ def test_top_k(spark, block):
     rows = [(i, [r.choice([-1.5, -0.25, 0.0, 0.5, 1.0, r.gauss(0, 1)]) for _ in range(6)]) for i in range(301)]
     rows += [(400 + i, [1.0] * 6) for i in range(40)]  # ties
     rows += [(500, None), (501, [None, 1.0, 1.0, 1.0, 1.0, 1.0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (None, [1.0] * 6), (550, [1.0, 2.0]), (551, [3.0, 2.0]), (600, [])]
-    rows += [(7, rows[7][1])]  # a repeated row counts again
-    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4))
+    rows += [(7, rows[7][1]), (50, [0.5] * 6), (50, rows[50][1])]  # repeated rows, and queries, count again and meet each other
+    vectors = topk.numbered(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4))
     got = topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), block=block, query_block=3).collect()
-    assert {(x.query_id, x.rank, x.vec_id, x.score) for x in got} == plain_top(rows)
+    assert Counter((x.query_id, x.rank, x.vec_id, x.score) for x in got) == plain_top(rows)
+
+
+def test_top_k_of_repeated_queries(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 3.0]), (1, [1.0, 1.0])]
+    vectors = topk.numbered(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = Counter((x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_k(vectors, vectors.filter("vec_id = 50")).collect())
+    assert got == plain_top(rows) and got.total() == 4
 
 
 def test_top_k_exact_beyond_doubles(spark):
     rows = [(0, [3e9, 1.0, -7.0])] + [(i, [3e9 + i * 1024, float(i), 2.0]) for i in range(1, 20)]
-    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    vectors = topk.numbered(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
     got = topk.top_k(vectors, vectors.filter("vec_id = 0"))
-    assert {(x.query_id, x.rank, x.vec_id, x.score) for x in got.collect()} == plain_top(rows)
+    assert Counter((x.query_id, x.rank, x.vec_id, x.score) for x in got.collect()) == plain_top(rows)
     none = vectors.limit(0)
     assert topk.top_k(none, none).count() == 0
 
@@ -50,7 +55,7 @@ def test_top_k_exact_beyond_doubles(spark):
 def test_walk_stops_early():
     rng = np.random.default_rng(1)
     x = np.floor(np.r_[rng.normal(0, 1, (2000, 3)), np.full((8, 3), 900.0)] * 10)
-    lists = topk.SortedLists(np.arange(len(x)), x)
+    lists = topk.SortedLists(np.arange(len(x)), np.arange(len(x)), x)
     touched = []
     plain = lists.x
 
@@ -62,7 +67,7 @@ def test_walk_stops_early():
     lists.x = plain.view(Counting)
     ids, scores = lists.search(np.array([5.0, 3.0, 1.0]), -1, 5)
     assert ids.tolist() == [2000, 2001, 2002, 2003, 2004] and len(set(scores.tolist())) == 1
-    assert sum(touched) < 300
+    assert sum(touched) < 300 and lists.scored < 300
 
 
 def test_quality_held_out_accuracy(spark):
