@@ -18,8 +18,9 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # links at an intersection of 4/5 of th
 WIDTH = 1 << 20
 PARTS = 64
 SHORT_LIST = 16
+TILE = 2048  # groups of a part of a long list
 LEADERS = 2
-TURNS = 2
+TURNS = 1
 PAIRS_A_TASK = 512
 _LOWEST = -(2**63)
 
@@ -51,6 +52,21 @@ def _print(a: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(a.tobytes(), len(a)) - (1 << 63)
 
 
+def _second(a: np.ndarray) -> int:
+    """A print that is independent of the first: the two together tell sets apart by 128 bits."""
+    return xxhash.xxh64_intdigest(a.tobytes(), 0x5EED ^ len(a)) - (1 << 63)
+
+
+def _namer(met: frozenset):
+    """What names a set: its print, or, where different sets are known to share that, its second print."""
+
+    def name(a: np.ndarray) -> int:
+        u = _print(a)
+        return _second(a) if u in met else u
+
+    return name
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -79,7 +95,7 @@ def shingle_counts(docs: DataFrame, width: int = WIDTH, words: int = WORDS) -> b
 
 
 def prefixes(docs: DataFrame, counts: bytes, words: int = WORDS) -> DataFrame:
-    """doc_id, n (set size), u (hash of the set), g (hash of size and prefix), prefix (tokens, bytes).
+    """doc_id, n (set size), u and w (two hashes of the set), g (hash of size and prefix), prefix (tokens, bytes).
 
     Tokens are ordered by how many documents hold their class, then by value: any one order over all documents makes
     the prefix filter exact, and rare tokens first make it sharp.
@@ -91,17 +107,18 @@ def prefixes(docs: DataFrame, counts: bytes, words: int = WORDS) -> DataFrame:
         order = np.frombuffer(held.value, "<u4")
         mask = ta.U(len(order) - 1)
         for b in batches:
-            sizes, us, gs, out = [], [], [], []
+            sizes, us, ws, gs, out = [], [], [], [], []
             for _, data, off in ta.chunks(b.column(1)):
                 for s in shingle_sets(data, off, words):
                     p = s[np.lexsort((s, order[(s & mask).astype(np.int64)]))][: len(s) // DENOMINATOR + 1] if len(s) else s
                     sizes.append(len(s))
                     us.append(_print(s))
+                    ws.append(_second(s))
                     gs.append(xxhash.xxh3_64_intdigest(p.tobytes(), len(s)) - (1 << 63))
                     out.append(p.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (sizes, us, gs)), pa.array(out, pa.binary())], names=["doc_id", "n", "u", "g", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (sizes, us, ws, gs)), pa.array(out, pa.binary())], names=["doc_id", "n", "u", "w", "g", "prefix"])
 
-    return docs.mapInArrow(find, "doc_id long, n long, u long, g long, prefix binary")
+    return docs.mapInArrow(find, "doc_id long, n long, u long, w long, g long, prefix binary")
 
 
 @lean
@@ -152,130 +169,91 @@ def _lists(batches, names):
         yield held
 
 
-def _first_pairs(batches):
-    """Pairs of groups from the lists of one task, and the members of long lists.
+def _flushed(a: list, b: list):
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in _unique_pairs(a, b)], names=["a", "b"])
 
-    Lists of up to SHORT_LIST groups give all pairs that pass the filters.  Longer ones give each group's pairs with the
-    one before it by size and with the list's LEADERS, in whose sets the token comes earliest - the copies with the
-    fewest tokens of their own, likeliest to link with others; and all their members, for the passes that follow.
-    """
-    a, b, held = [], [], 0
-
-    def flush():
-        x, y = _unique_pairs(a, b)
-        z = np.zeros(len(x), np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in (z.astype(np.int64), x, y, z, z)], names=["token", "a", "b", "n", "pos"])
 
+def _short_pairs(batches):
+    """Pairs of groups that pass the filters, from whole lists of at most SHORT_LIST groups."""
+    a, b, held = [], [], 0
     for token, g, n, pos in _lists(batches, ("token", "g", "n", "pos")):
         n, pos = n.astype(np.int64), pos.astype(np.int64)
-        start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        size = np.diff(np.r_[start, len(token)])
-        of = np.repeat(size, size)
         for k in range(1, SHORT_LIST):
-            i = np.flatnonzero((token[k:] == token[:-k]) & ((of[k:] <= SHORT_LIST) | (k == 1)))
+            i = np.flatnonzero(token[k:] == token[:-k])
             if not len(i):
                 break
             i = i[_possible(n, pos, i, i + k)]
             a.append(g[i])
             b.append(g[i + k])
             held += len(i)
-        for s, m in zip(start[size > SHORT_LIST], size[size > SHORT_LIST], strict=True):
-            i = np.arange(s, s + m)
-            leaders = i[np.lexsort((g[i], pos[i]))][:LEADERS]
-            left, right = np.tile(i, len(leaders)), np.repeat(leaders, m)
-            ok = _possible(n, pos, left, right)
-            a.append(g[left[ok]])
-            b.append(g[right[ok]])
-            held += int(ok.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(token[i]), pa.array(g[i]), pa.array(np.full(m, 1)), pa.array(n[i].astype(np.int32)), pa.array((pos[i] + 1).astype(np.int32))], names=["token", "a", "b", "n", "pos"])
         if held > 1 << 20:
-            yield flush()
+            yield _flushed(a, b)
             a, b, held = [], [], 0
     if a:
-        yield flush()
-
-
-def _leader_pairs(turn: int):
-    """From long lists whose groups carry their component: pairs with the turn's LEADERS that are of another component."""
-
-    def step(batches):
-        a, b, held = [], [], 0
-        for token, g, n, pos, root in _lists(batches, ("token", "g", "n", "pos", "root")):
-            order = np.lexsort((g, pos, token))
-            token, g, n, pos, root = token[order], g[order], n[order].astype(np.int64), pos[order].astype(np.int64), root[order]
-            start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            size = np.diff(np.r_[start, len(token)])
-            at, i = np.repeat(start, size), np.arange(len(token))
-            for k in range(turn * LEADERS, (turn + 1) * LEADERS):
-                own = k < np.repeat(size, size)
-                x, y = i[own], at[own] + k
-                ok = (root[x] != root[y]) & _possible(n, pos, x, y)
-                a.append(g[x[ok]])
-                b.append(g[y[ok]])
-                held += int(ok.sum())
-            if held > 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unique_pairs(a, b)], names=["a", "b"])
-                a, b, held = [], [], 0
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unique_pairs(a, b)], names=["a", "b"])
-
-    return step
-
-
-def _later_pairs(batches):
-    """From long lists whose groups carry the component found so far: all pairs of different components that pass the filters."""
+        yield _flushed(a, b)
+
+
+def _block_pairs(batches):
+    """From tiles of long lists - the groups of one part of a list, or of two - whose groups carry the component found so
+    far: all pairs of different components that pass the filters, of one part with the other, or within the one."""
     a, b, held = [], [], 0
-    for token, g, n, pos, root in _lists(batches, ("token", "g", "n", "pos", "root")):
+    for tile, g, n, pos, root, side in _lists(batches, ("tile", "g", "n", "pos", "root", "side")):
         n, pos = n.astype(np.int64), pos.astype(np.int64)
-        start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        for s, m in zip(start, np.diff(np.r_[start, len(token)]), strict=True):
-            if (root[s : s + m] == root[s]).all():
-                continue
-            for i in range(s, s + m - 1):
-                end = s + int(np.searchsorted(n[s : s + m] * NUMERATOR, n[i] * DENOMINATOR, side="right"))
-                j = np.arange(i + 1, max(i + 1, end))
-                j = j[(root[j] != root[i])]
+        start = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+        for s, m in zip(start, np.diff(np.r_[start, len(tile)]), strict=True):
+            own, side_ = np.arange(s, s + m), side[s : s + m]
+            left, right = own[side_ != 1], own[side_ != 0]  # side 2: one part with itself
+            for k, i in enumerate(left):
+                j = right[k + 1 :] if side[i] == 2 else right
+                j = j[root[j] != root[i]]
                 j = j[_possible(n, pos, np.full(len(j), i), j)]
-                a.append(np.full(len(j), g[i]))
-                b.append(g[j])
-                held += len(j)
+                if len(j):
+                    a.append(np.full(len(j), g[i]))
+                    b.append(g[j])
+                    held += len(j)
                 if held > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unique_pairs(a, b)], names=["a", "b"])
+                    yield _flushed(a, b)
                     a, b, held = [], [], 0
     if a:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unique_pairs(a, b)], names=["a", "b"])
+        yield _flushed(a, b)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = WORDS, met: frozenset = frozenset()) -> DataFrame:
     """The pairs (a, b) of sets that link, by the sets themselves.
 
-    The texts of each b come to the task of its a, with a's own; an a with many pairs is split over tasks.
+    The set of each pair's less busy side travels to tasks that hold the busier one's; a set with many pairs is split over
+    tasks, so neither a task nor a shuffled key gathers all pairs of one set.
     """
-    spark = docs.sparkSession
     ids = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct().join(nodes, "u").select("u", F.col("rep").alias("doc_id"))
     ids = store(ids, "jaccard-ids")
     need = ids.select("doc_id").distinct()
     texts = docs.join(small(need, need.count(), 16), "doc_id", "left_semi")
 
+    name = _namer(met)
+
     @lean
     def named(batches):
         for b in batches:
-            us = [_print(s) for _, data, off in ta.chunks(b.column(1)) for s in shingle_sets(data, off, words)]
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), b.column(1)], names=["u", "text"])
-
-    texts = texts.select("doc_id", "text").mapInArrow(named, "u long, text string").dropDuplicates(["u"])
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).alias("splits"))
-    left = pairs.join(many.hint("merge"), "a").withColumn("split", F.pmod(F.xxhash64("b"), F.col("splits")))
-    heads = many.withColumn("split", F.explode(F.expr("sequence(0L, splits - 1)"))).select("a", "split", F.col("a").alias("u"), F.lit(0).alias("other"))
-    rows = heads.union(left.select("a", "split", F.col("b"), F.lit(1))).toDF("a", "split", "u", "other").join(texts.hint("merge"), "u")
+            sets = [s for _, data, off in ta.chunks(b.column(0)) for s in shingle_sets(data, off, words)]
+            yield pa.RecordBatch.from_arrays([pa.array([name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["u", "set"])
+
+    sets = texts.select("text").mapInArrow(named, "u long, set binary").join(small(ids.select("u"), ids.count(), 16), "u", "left_semi").dropDuplicates(["u"])
+    busy = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).groupBy("u").agg(F.count("*").alias("busy"))
+    busy = store(busy, "jaccard-busy")
+    met_by = pairs.join(busy.toDF("a", "na").hint("merge"), "a").join(busy.toDF("b", "nb").hint("merge"), "b")
+    swap = (F.col("nb") > F.col("na")) | ((F.col("nb") == F.col("na")) & (F.col("b") < F.col("a")))
+    turned = met_by.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"), F.ceil(F.greatest("na", "nb") / PAIRS_A_TASK).alias("splits"))
+    turned = turned.withColumn("split", F.pmod(F.xxhash64("b"), F.col("splits"))).drop("splits")
+    heads = turned.select("a", "split").distinct().select("a", "split", F.col("a").alias("u"), F.lit(0).alias("other"))
+    rows = heads.union(turned.select("a", "split", F.col("b"), F.lit(1))).toDF("a", "split", "u", "other").join(sets.hint("merge"), "u")
 
     @lean
     def compare(batches):
         key, head = None, None
         for b in batches:
             out = [], []
-            sets = [s for _, data, off in ta.chunks(b.column(4)) for s in shingle_sets(data, off, words)]
-            for x, split, u, other, s in zip(*(b.column(k).to_pylist() for k in range(4)), sets, strict=True):
+            for x, split, u, other, raw in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                s = np.frombuffer(raw, np.uint64)
                 if not other:
                     key, head = (x, split), s
                 elif key == (x, split):
@@ -285,33 +263,60 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = W
                         out[1].append(u)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
-    cols = ["a", "split", "u", "other", "text"]
+    cols = ["a", "split", "u", "other", "set"]
     dealt = rows.select(*cols).repartition("a", "split").sortWithinPartitions("a", "split", "other")
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n, u (hash of the set), component_id, root (of the component, null for empty sets) of every row of documents.
+def leaders(lists: DataFrame) -> DataFrame:
+    """token, lead (g, n, pos, root) of the LEADERS of each list, the groups in whose sets the token comes earliest - the
+    copies with the fewest tokens of their own, likeliest to link with others; combined before the shuffle."""
+    first = F.struct("pos", "g", "n", "root")
+    out = lists.groupBy("token").agg(F.min(first).alias("lead"))
+    for _ in range(LEADERS - 1):
+        more = lists.join(out.groupBy("token").agg(F.max("lead").alias("_last")).hint("merge"), "token").filter(first > F.col("_last"))
+        out = out.unionByName(more.groupBy("token").agg(F.min(first).alias("lead")))
+    return out
+
+
+def named_sets(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, frozenset]:
+    """(found, nodes, met): prefixes of docs with u the name of their set; u, rep (least doc_id), g of each set; and the prints
+    that different sets share, whose sets go by their second print - a few at most, by the odds of 64 bits."""
+    found = store(prefixes(docs, shingle_counts(docs, words=words), words), "jaccard-prefixes")
+    full = found.filter("n > 0")
+    by_print = store(full.groupBy("u").agg(F.min("doc_id").alias("rep"), F.first("g").alias("g"), F.min("w").alias("low"), F.max("w").alias("high")), "jaccard-nodes")
+    met = frozenset(r[0] for r in by_print.filter("low <> high").select("u").collect())
+    if not met:
+        return found.drop("w"), by_print.select("u", "rep", "g"), met
+    found = found.withColumn("u", F.when(F.col("u").isin(*met), F.col("w")).otherwise(F.col("u"))).drop("w")
+    return found, store(found.filter("n > 0").groupBy("u").agg(F.min("doc_id").alias("rep"), F.first("g").alias("g")), "jaccard-nodes"), met
+
+
+def grouped(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, frozenset]:
+    """doc_id, n, u (hash of the set), component_id, root (of the component, null for empty sets) of every row of documents;
+    and the prints that named_sets found to be shared.
 
     Documents link when their sets of shingles have a Jaccard similarity of NUMERATOR / DENOMINATOR or more; component_id
     is the smallest doc_id that links reach.  Equal sets are one node; nodes with equal size and prefix are one group.
     Prefix tokens pair groups; sizes and positions filter the pairs; members of the pairs left are verified by their
     sets.  A long list of groups with one token is first linked with a few leaders, and then, once these links are known,
-    by all its pairs between different components: no link between components is lost, and clusters of thousands of
-    near copies need no pair for each two of them.
+    by all its pairs between different components, tile by tile: no link between components is lost, clusters of thousands
+    of near copies need no pair for each two of them, and no task holds more than two parts of a list.
     Nulls: a null text is an empty set, linked with nothing; a null doc_id is the smallest doc_id, here the lowest long.
-    Rows with one doc_id each have their set.  Other columns are not read.
+    Texts of any length are taken whole, one at a time.  Rows with one doc_id each have their set; ties among documents of a
+    component go to the smallest doc_id.  No documents, no rows.  Other columns are not read.
     """
-    spark = docs.sparkSession
     docs = _keyed(docs)
-    found = store(prefixes(docs, shingle_counts(docs, words=words), words), "jaccard-prefixes")
+    found, nodes, met = named_sets(docs, words)
     full = found.filter("n > 0")
-    nodes = store(full.groupBy("u").agg(F.min("doc_id").alias("rep"), F.first("g").alias("g")), "jaccard-nodes")
     groups = full.groupBy("g").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = groups.mapInArrow(_explode, "token long, g long, n int, pos int")
-    first = postings.repartition("token").sortWithinPartitions("token", "n", "g").mapInArrow(_first_pairs, "token long, a long, b long, n int, pos int")
-    first = store(first, "jaccard-lists")
-    group_pairs = first.filter("pos = 0").select("a", "b").distinct()
+    postings = store(groups.mapInArrow(_explode, "token long, g long, n int, pos int"), "jaccard-postings")
+    lengths = store(postings.groupBy("token").agg(F.count("*").alias("length")).filter("length > 1"), "jaccard-lengths")
+    held = lengths.filter(F.col("length") > SHORT_LIST)
+    n_long = held.count()
+    short = postings.join(lengths.filter(F.col("length") <= SHORT_LIST).select("token").hint("merge"), "token", "left_semi")
+    long = store(postings.join(small(held, n_long, 24), "token"), "jaccard-long")
+    short_pairs = short.repartition("token").sortWithinPartitions("token", "n", "g").mapInArrow(_short_pairs, "a long, b long")
     heads = store(nodes.groupBy("g").agg(F.min("u").alias("head"), F.count("*").alias("size")), "jaccard-groups")
 
     def by_head(pairs):
@@ -319,33 +324,54 @@ def grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
         b = a.join(heads.select(F.col("g").alias("b"), F.col("head").alias("v")).hint("merge"), "b")
         return b.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
+    def with_leaders(lists):
+        """Pairs of each group of a list with the list's leaders that are of another component and pass the filters."""
+        lead = leaders(lists)
+        lead = store(lead, "jaccard-leaders")
+        both = lists.join(small(lead, lead.count(), 48), "token").filter((F.col("g") != F.col("lead.g")) & (F.col("root") != F.col("lead.root")))
+        bound = F.least(F.col("n") - F.col("pos"), F.col("lead.n") - F.col("lead.pos"))
+        fits = (DENOMINATOR * F.least("n", "lead.n") >= NUMERATOR * F.greatest("n", "lead.n")) & ((NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (F.col("n") + F.col("lead.n")))
+        return both.filter(fits).select(F.least("g", "lead.g").alias("a"), F.greatest("g", "lead.g").alias("b"))
+
+    group_pairs = short_pairs.union(with_leaders(long.withColumn("root", F.col("g")))).distinct()
+    group_pairs = store(group_pairs, "jaccard-group-pairs")
     stars = nodes.join(heads.filter("size > 1"), "g").filter("u <> head").select(F.least("u", "head").alias("a"), F.greatest("u", "head").alias("b"))
     pairs = store(by_head(group_pairs).union(stars).distinct(), "jaccard-pairs")
-    links = store(verified(pairs, nodes, docs, words), "jaccard-links")
+    links = store(verified(pairs, nodes, docs, words, met), "jaccard-links")
     roots = components(links)
 
     def rooted():
         return nodes.join(roots.withColumnRenamed("node", "u"), "u", "left").select("u", "g", F.coalesce("root", "u").alias("root"))
 
-    def from_long_lists(find):
+    def open_lists():
+        """long with each group's component; a group of several components has one of its own.  Lists of one component are done."""
         marks = rooted().groupBy("g").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        marks = marks.select(F.col("g").alias("a"), F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("g", F.lit(1))).alias("root"))
-        dealt = long.join(marks.hint("merge"), "a").withColumnRenamed("a", "g").repartition("token").sortWithinPartitions("token", "n", "g")
-        return dealt.mapInArrow(find, "a long, b long").distinct()
-
-    # turns of further leaders join most of what long lists hold together, at a few pairs for each posting
-    long = first.filter("pos > 0").select("token", "a", "n", (F.col("pos") - 1).alias("pos"))
-    tried = pairs
-    for turn in range(1, TURNS):
-        new = by_head(from_long_lists(_leader_pairs(turn))).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
+        marks = marks.select("g", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("g", F.lit(1))).alias("root"))
+        lists = store(long.join(marks.hint("merge"), "g"), "jaccard-open")
+        many = lists.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("token")
+        return store(lists.join(many.hint("merge"), "token", "left_semi"), "jaccard-lists")
+
+    # turns with the leaders of what is not yet linked with the first ones join most of what long lists hold together
+    tried, lists = pairs, open_lists()
+    for _ in range(TURNS):
+        first = leaders(lists).groupBy("token").agg(F.collect_set("lead.root").alias("_of"))
+        rest = lists.join(first.hint("merge"), "token").filter(~F.array_contains("_of", F.col("root"))).drop("_of")
+        new = by_head(with_leaders(store(rest, "jaccard-rest")).distinct()).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
         new = store(new, "jaccard-turn")
         if new.isEmpty():
             break
-        roots = components(roots.toDF("a", "b").union(verified(new, nodes, docs, words)))
-        tried = tried.union(new)
-
-    # then all pairs that are left between different components, of long lists and of groups of several sets
-    later = store(from_long_lists(_later_pairs), "jaccard-later")
+        roots = components(roots.toDF("a", "b").union(verified(new, nodes, docs, words, met)))
+        tried, lists = tried.union(new), open_lists()
+
+    # then all pairs that are left between different components, of long lists and of groups of several sets.  A list is
+    # cut into parts by hash; each two parts, and each part by itself, are a tile of bounded size in a task of its own
+    counts = lists.groupBy("token").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    cut = lists.join(counts.hint("merge"), "token").withColumn("part", F.pmod(F.xxhash64("g", F.lit(7)), F.col("parts")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    i, j = F.least("part", "other"), F.greatest("part", "other")
+    side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
+    tiles = cut.select(F.xxhash64("token", i, j).alias("tile"), "g", "n", "pos", "root", side.alias("side"))
+    later = tiles.repartition("tile").sortWithinPartitions("tile", "n", "g").mapInArrow(_block_pairs, "a long, b long")
     multi = heads.filter("size > 1").select("g")
     of_multi = group_pairs.join(multi.withColumnRenamed("g", "a"), "a", "left_semi").union(group_pairs.join(multi.withColumnRenamed("g", "b"), "b", "left_semi").select("a", "b"))
     of_multi = of_multi.union(multi.select(F.col("g").alias("a"), F.col("g").alias("b")))
@@ -354,18 +380,18 @@ def grouped(docs: DataFrame, words: int = WORDS) -> DataFrame:
     more = more.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
     more = store(more, "jaccard-more")
     if not more.isEmpty():
-        roots = components(roots.toDF("a", "b").union(verified(more, nodes, docs, words)))
+        roots = components(roots.toDF("a", "b").union(verified(more, nodes, docs, words, met)))
 
     whole = nodes.join(roots.withColumnRenamed("node", "u"), "u", "left").select("u", "rep", F.coalesce("root", "u").alias("root"))
     least = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = whole.join(least, "root").select("u", "component_id", "root")
-    return found.select("doc_id", "n", "u").join(named.hint("merge"), "u", "left").select("doc_id", "n", "u", "component_id", "root")
+    return found.select("doc_id", "n", "u").join(named.hint("merge"), "u", "left").select("doc_id", "n", "u", "component_id", "root"), met
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of documents, as grouped() finds them; null doc_ids are null again."""
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return grouped(docs, words).select(F.nullif("doc_id", F.lit(_LOWEST)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(own, F.lit(_LOWEST)).alias("component_id"))
+    return grouped(docs, words)[0].select(F.nullif("doc_id", F.lit(_LOWEST)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(own, F.lit(_LOWEST)).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -374,7 +400,8 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     Only rows whose doc_id also belongs to a row that goes, or repeats, are told apart by their sets.
     """
     cols = docs.columns
-    found = store(grouped(docs, words), "jaccard-grouped").filter("n > 0")
+    found, met_prints = grouped(docs, words)
+    found = store(found, "jaccard-grouped").filter("n > 0")
     rows = found.groupBy("root", "doc_id", "u").agg(F.count("*").alias("n_rows"))
     keep = rows.groupBy("root").agg(F.min(F.struct("doc_id", "u")).alias("kept"), F.sum("n_rows").alias("n_all")).filter("n_all > 1")
     marks = rows.join(keep, "root").select("doc_id", "u", (F.struct("doc_id", "u") == F.col("kept")).alias("stays"))
@@ -382,10 +409,12 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     ids = marks.select("_id").distinct()
     ids = small(ids, ids.count(), 16)
 
+    name = _namer(met_prints)
+
     @lean
     def named(batches):
         for b in batches:
-            us = [_print(s) for _, data, off in ta.chunks(b.column(b.schema.get_field_index("text"))) for s in shingle_sets(data, off, words)]
+            us = [name(s) for _, data, off in ta.chunks(b.column(b.schema.get_field_index("text"))) for s in shingle_sets(data, off, words)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(us, pa.int64())], names=[*b.schema.names, "_u"])
 
     keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)))

@@ -97,12 +97,45 @@ def test_jaccard(docs, rows):
 
 
 def test_jaccard_long_lists(docs, rows, spark, monkeypatch):
-    """Long lists from two members on: leaders, turns and later pairs give the same components."""
+    """Long lists from two members on, tiles of a few: leaders, turns and tiles give the same components."""
     want = {tuple(r) for r in jaccard.near_duplicates(docs).collect()}
     monkeypatch.setattr(jaccard, "SHORT_LIST", 2)
-    monkeypatch.setattr(jaccard, "LEADERS", 1)
-    monkeypatch.setattr(jaccard, "TURNS", 1)
     monkeypatch.setattr(jaccard, "PAIRS_A_TASK", 2)
+    for leaders, turns, tile in ((1, 1, 3), (2, 0, 5)):
+        monkeypatch.setattr(jaccard, "LEADERS", leaders)
+        monkeypatch.setattr(jaccard, "TURNS", turns)
+        monkeypatch.setattr(jaccard, "TILE", tile)
+        assert {tuple(r) for r in jaccard.near_duplicates(docs).collect()} == want
+
+
+def test_jaccard_tiles_hold_all_pairs(spark, rows, monkeypatch):
+    """Different texts over a few words share tokens without being near copies; some are: tiles find what leaders miss."""
+    import random
+
+    r = random.Random(11)
+    base = [[f"w{r.randrange(12)}" for _ in range(30)] for _ in range(4)]
+    texts = []
+    for k in range(60):
+        w = list(base[k % 4])
+        for _ in range(r.randrange(4)):
+            w[r.randrange(30)] = f"x{r.randrange(6)}"
+        texts.append(" ".join(w))
+    some = [(k, t, "en", "s", 1, 1, "", "", "", 1) for k, t in enumerate(texts)]
+    monkeypatch.setattr(jaccard, "SHORT_LIST", 2)
+    monkeypatch.setattr(jaccard, "LEADERS", 1)
+    monkeypatch.setattr(jaccard, "TURNS", 0)
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    sets = {d: h.shingles(t) for d, t, *_ in some}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert {x.doc_id: x.component_id for x in jaccard.near_duplicates(h.frame(spark, some)).collect()} == h.components(sets, links)
+
+
+def test_jaccard_prints_that_collide(spark, docs, rows, monkeypatch):
+    want = {tuple(r) for r in jaccard.near_duplicates(docs).collect()}
+    full = jaccard._print
+    few = lambda a: (full(a) >> 59) if len(a) > 1 else full(a)  # 32 values
+    monkeypatch.setattr(jaccard, "_print", few)
+    assert jaccard.named_sets(jaccard._keyed(docs))[2]
     assert {tuple(r) for r in jaccard.near_duplicates(docs).collect()} == want
 
 
