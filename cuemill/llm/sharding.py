@@ -26,7 +26,8 @@ def shuffled_shards(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = B
     seeded hash of (doc_id, text) over as many buckets as its bytes need to stay near bucket_bytes; pass two sorts each
     bucket, shuffles it (Fisher-Yates, seeded by seed and bucket) and numbers its rows after the buckets before it.
     Nulls: a null text has size 1 and checksum 0; null doc_ids hash as one key.  Repeated rows are rows of their own; rows
-    alike in doc_id and text are interchangeable.  Other columns are not read.
+    alike in doc_id and text are interchangeable, and stay in one bucket.  A text longer than bucket_bytes is moved whole, so
+    a bucket that holds it is larger by that.  No documents, no rows.  Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     size = (F.octet_length(text_of()) + 1).cast("long")
@@ -55,9 +56,9 @@ def shuffled_shards(docs: DataFrame, shards: int = SHARDS, bucket_bytes: int = B
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """The shuffled shards as Parquet, a folder for each shard, its files in the order of slot."""
-    out = shuffled_shards(docs, **options)
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """The shuffled shards as Parquet, a folder for each shard, in it a file for each bucket: what pass two has shuffled is
+    written where it is, and not dealt again.  Within a file rows are in the order of slot, and buckets follow each other."""
+    shuffled_shards(docs, **options).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def op5_sharding(spark, sf_dir) -> DataFrame:

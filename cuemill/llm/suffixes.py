@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,47 +139,69 @@ def _sampled(length, gram):
 def _named(batches):
     """Of cells sorted by (key, c, doc, a): later cells of a name are gone; the firsts of a gram with several names go on.
 
-    In the rows that go on, c is the number of names that their gram has.
+    In the rows that go on, c is the number of names that their gram has, or HOT_CLASS + 1 if there are more: once that many
+    are held for one gram they leave as they come, so what is held does not grow with a gram's names.
     """
-    held = None
+    held, hot = None, None
 
-    def settle(cols):
+    def gone(cols):
+        """Passes on what is known to be gone, drops later cells of a name, and gives the firsts."""
         kind, key, c, doc, a, b, p = cols
         cell = kind == CELL
-        yield _rows(GONE, key[~cell], c[~cell], doc[~cell], a[~cell], b[~cell], p[~cell])
-        key, c, doc, a, b, p = (x[cell] for x in (key, c, doc, a, b, p))
-        if not len(key):
-            return
-        new = np.r_[True, key[1:] != key[:-1]]
-        first = new | np.r_[True, c[1:] != c[:-1]]
-        yield _gone(doc[~first], a[~first], b[~first])
-        start = np.flatnonzero(new)
-        names = np.add.reduceat(first.astype(np.int64), start)
-        many = np.repeat(names, np.diff(np.r_[start, len(key)]))
-        go = first & (many > 1)
-        yield _rows(CELL, key[go], many[go], doc[go], a[go], b[go], p[go])
+        out = [_rows(GONE, *(x[~cell] for x in cols[1:]))]
+        cols = [x[cell] for x in cols]
+        key, c = cols[1], cols[2]
+        first = np.r_[True, (key[1:] != key[:-1]) | (c[1:] != c[:-1])] if len(key) else np.zeros(0, bool)
+        out.append(_gone(*(cols[k][~first] for k in (3, 4, 5))))
+        return out, [x[first] for x in cols]
+
+    def go(cols, many):
+        _, key, _, doc, a, b, p = cols
+        return _rows(CELL, key, many, doc, a, b, p)
 
     for batch in batches:
         cols = [batch.column(k).to_numpy() for k in range(7)]
         if held is not None:
             cols = [np.r_[h, x] for h, x in zip(held, cols, strict=True)]
+        if not len(cols[0]):
+            continue
+        out, cols = gone(cols)
+        yield from out
         key = cols[1]
         if not len(key):
+            held = cols
             continue
-        cut = int(np.searchsorted(key, key[-1], side="left"))
-        held = [x[cut:] for x in cols]
-        if cut == 0 and len(key) > FLUSH:  # one gram fills the batch: what is certain leaves, one row a name stays
-            first = np.r_[True, (cols[2][1:] != cols[2][:-1])] | (cols[0] != CELL)
-            yield _gone(cols[3][~first], cols[4][~first], cols[5][~first])
-            held = [x[first] for x in held]
-        if cut:
-            yield from settle([x[:cut] for x in cols])
-    if held is not None:
-        yield from settle(held)
+        if hot is not None:  # names of a gram that is known to be hot; its last one stays, to know it again
+            end = int(np.searchsorted(key, hot, side="right"))
+            if end:
+                yield go([x[1:end] for x in cols], np.full(end - 1, HOT_CLASS + 1))
+                cols = [np.r_[x[end - 1 : end], x[end:]] for x in cols]
+                if end < len(key):
+                    cols = [x[1:] for x in cols]
+                    hot = None
+            key = cols[1]
+        if hot is None and len(key):
+            cut = int(np.searchsorted(key, key[-1], side="left"))
+            if cut:
+                start = np.flatnonzero(np.r_[True, key[1:cut] != key[: cut - 1]])
+                names = np.diff(np.r_[start, cut])
+                many = np.minimum(np.repeat(names, names), HOT_CLASS + 1)
+                yield go([x[:cut][many > 1] for x in cols], many[many > 1])
+                cols = [x[cut:] for x in cols]
+            if len(cols[0]) > max(HOT_CLASS, 1):
+                hot = cols[1][-1]
+                yield go(cols, np.full(len(cols[0]), HOT_CLASS + 1))
+                cols = [x[-1:] for x in cols]
+        held = cols
+    if held is not None and len(held[0]) and hot is None:
+        many = np.full(len(held[0]), min(len(held[0]), HOT_CLASS + 1))
+        if len(held[0]) > 1:
+            yield go(held, many)
 
 
 def _contents(length):
-    """Text rows with their open cells: the bytes of each cell under its gram's name; the windows of hot grams one by one."""
+    """Text rows with their open cells: the bytes of each cell under its gram's name; the windows of hot grams one by one, by
+    two hashes of 64 bits."""
     names = ["kind", "key", "doc", "a", "content"]
 
     def step(batches):
@@ -200,8 +223,10 @@ def _contents(length):
                     i = np.arange(len(part) - length + 1)
                     with np.errstate(over="ignore"):
                         h = _hashes(_prefix_sums(part), i, i + length).view(np.int64)
-                    for col, v in zip(out, ([GONE] * len(i), h.tolist(), [doc] * len(i), (i + x["a"]).tolist(), [None] * len(i)), strict=True):
-                        col.extend(v)
+                    for k, w in zip(i.tolist(), h.tolist(), strict=True):
+                        own = xxhash.xxh3_64_digest(part[k : k + length].tobytes())
+                        for col, v in zip(out, (GONE, w, doc, k + x["a"], own), strict=True):
+                            col.append(v)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             for s in range(0, len(out[0]), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c[s : s + (1 << 16)], t) for c, t in zip(out, kinds, strict=True)], names=names)
@@ -217,7 +242,7 @@ def _compared(length):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, lo, hi)], names=["doc", "a", "b"])
 
     def step(batches):
-        held, last = None, None
+        held, last, met = None, None, set()
 
         def settle(key, doc, a, content):
             sizes = np.array([len(x) for x in content], np.int64)
@@ -240,8 +265,12 @@ def _compared(length):
             single = kind == GONE
             if single.any():
                 k, d, s = key[single], doc[single], a[single]
-                again = np.r_[k[0] == last, k[1:] == k[:-1]]
-                last = k[-1]
+                again = np.zeros(len(k), bool)
+                for i, (w, own) in enumerate(zip(k.tolist(), batch.column(4).filter(pa.array(single)).to_pylist(), strict=True)):
+                    if w != last:
+                        last, met = w, set()
+                    again[i] = own in met
+                    met.add(own)  # one, but for windows whose first hashes collide
                 yield ranges(d[again], s[again])
             if not single.all():
                 now = [key[~single], doc[~single], a[~single], [x for x, y in zip(batch.column(4).to_pylist(), single, strict=True) if not y]]
@@ -258,22 +287,24 @@ def _compared(length):
 
 
 def _apply(length):
+    """Texts without their gone ranges, joined range by range: nothing as long as a text but the text is held."""
+
     def step(batches):
         for batch in batches:
             at = batch.schema.get_field_index
             out = []
             texts, lists = batch.column(at("text")), batch.column(at("ranges")).to_pylist()
             for k, found in enumerate(lists):
-                raw = np.frombuffer((texts[k].as_py() or "").encode(), np.uint8)
-                if not found:
-                    out.append((len(raw), 0, [], raw.tobytes()))
-                    continue
-                edge = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(edge, [x["a"] for x in found], 1)
-                np.add.at(edge, [x["b"] + length for x in found], -1)
-                covered = np.cumsum(edge)[:-1] > 0
-                turns = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
-                out.append((len(raw), int(covered.sum()), [{"start": s, "end": e} for s, e in turns.reshape(-1, 2).tolist()], raw[~covered].tobytes()))
+                raw = (texts[k].as_py() or "").encode()
+                spans: list[list[int]] = []
+                for x in sorted((x["a"], x["b"] + length) for x in found or ()):
+                    if spans and x[0] <= spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], x[1])
+                    else:
+                        spans.append(list(x))
+                edges = [0, *(e for s in spans for e in s), len(raw)]
+                kept = b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))
+                out.append((len(raw), len(raw) - len(kept), [{"start": s, "end": e} for s, e in spans], kept))
             cols = list(zip(*out, strict=True)) or [()] * 4
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(at("doc_id")), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), span, pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
@@ -291,9 +322,10 @@ def drop_repeated_substrings(docs: DataFrame, length: int = LENGTH, gram: int =
     3. Only samples whose gram has several names are open: their windows are compared in the order of their place, a
        gram's class together, or one by one where the class is hot.
     Equal cells of one task leave one row before the shuffle, so passages that a third of all documents share weigh as
-    much as there are tasks.  The text is shuffled by document once, for the open cells and for the cut.
+    much as there are tasks.  The text is shuffled by document twice: to its open cells, and to what is cut from it.
     Nulls: a null text is empty; a null doc_id is the smallest.  Rows with one doc_id are documents ordered by a hash of
-    their text; equal ones, in any order, repeat each other.  Other columns are not read.
+    their text; equal ones, in any order, repeat each other.  Long texts are searched in overlapping segments.  No
+    documents, no rows.  Other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc"))
     n, distinct = rows.agg(F.count("*"), F.count_distinct("doc")).first()

@@ -173,6 +173,35 @@ def test_substring_dedup(docs, rows, monkeypatch, hot):
     assert got == plain_substrings(rows)
 
 
+def test_names_of_a_hot_gram_leave_as_they_come(monkeypatch):
+    """The step over sorted cells, in batches of any size, against a plain count of each gram's names."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffixes, "HOT_CLASS", 3)
+    r = random.Random(6)
+    cells = sorted((r.choice([1, 1, 1, 2, 5, 9]), r.randrange(14), doc, r.randrange(50)) for doc in range(120))
+    names = defaultdict(set)
+    for key, c, *_ in cells:
+        names[key].add(c)
+    firsts, want, gone = set(), set(), set()
+    for key, c, doc, a in cells:
+        if (key, c) in firsts:
+            gone.add((doc, a, a + 3))
+        elif len(names[key]) > 1:
+            want.add((key, min(len(names[key]), 4), doc, a, a + 3))
+        firsts.add((key, c))
+    for size in (1, 2, 7, 40, 200):
+        cols = [np.array(x) for x in zip(*((suffixes.CELL, k, c, d, a, a + 3, a) for k, c, d, a in cells), strict=True)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + size]) for x in cols], names=suffixes._NAMES) for i in range(0, len(cells), size)]
+        got = [row for b in suffixes._named(iter(batches)) for row in b.to_pylist()]
+        assert {(x["key"], x["c"], x["doc"], x["a"], x["b"]) for x in got if x["kind"] == suffixes.CELL} == want
+        assert sum(x["kind"] == suffixes.CELL for x in got) == len(want)
+        assert {(x["doc"], x["a"], x["b"]) for x in got if x["kind"] == suffixes.GONE} == gone
+
+
 def test_substring_dedup_long_text_in_segments(spark, monkeypatch):
     import cuemill.llm.suffixes as s
 
@@ -457,6 +486,20 @@ def test_sharding(docs, rows, empty, spark):
     assert sharding.shuffled_shards(empty).count() == 0
 
 
+def test_shards_are_written_in_order(docs, rows, spark, tmp_path):
+    sharding.write_shards(docs, str(tmp_path / "s"), shards=3, bucket_bytes=4000)
+    slots = defaultdict(dict)
+    for r in sharding.shuffled_shards(docs, shards=3, bucket_bytes=4000).collect():
+        slots[r.shard][r.slot] = (r.doc_id, r.text)
+    read = 0
+    for f in (tmp_path / "s").glob("shard=*/*.parquet"):
+        got = spark.read.parquet(str(f)).collect()
+        read += len(got)
+        assert [r.slot for r in got] == sorted(r.slot for r in got)
+        assert all(slots[int(f.parent.name[6:])][r.slot] == (r.doc_id, r.text) for r in got)
+    assert read == len(rows)
+
+
 def test_empty_tables(empty):
     assert linededup.drop_repeated_lines(empty).count() == 0
     assert jaccard.near_duplicates(empty).count() == 0
