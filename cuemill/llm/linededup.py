@@ -127,7 +127,8 @@ def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int, batches: int,
     """
     spark = docs.sparkSession
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc_id"))
-    n, distinct, cuts = ids.agg(F.count("*"), F.count_distinct("doc_id"), F.percentile_approx("doc_id", [k / batches for k in range(batches - 1, 0, -1)] or [0.0])).first()
+    n, distinct = ids.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    cuts = ids.agg(F.percentile_approx("doc_id", [k / batches for k in range(batches - 1, 0, -1)] or [0.0])).first()[0]
     cuts = sorted(set(cuts or []) if batches > 1 else [], reverse=True)
     pairs = line_keys(docs, min_chars)
     if n > distinct:
