@@ -18,11 +18,14 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # links at an intersection of 4/5 of th
 WIDTH = 1 << 20
 PARTS = 64
 SHORT_LIST = 16
+HOT_LIST = 1024  # documents that hold a token's class, beyond which its list is not brought to one task
+PARTS_OF_LIST = 64
 TILE = 2048  # groups of a part of a long list
 LEADERS = 2
 TURNS = 1
 PAIRS_A_TASK = 512
 _LOWEST = -(2**63)
+PAIR, LONG = 0, 1
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -121,18 +124,28 @@ def prefixes(docs: DataFrame, counts: bytes, words: int = WORDS) -> DataFrame:
     return docs.mapInArrow(find, "doc_id long, n long, u long, w long, g long, prefix binary")
 
 
-@lean
-def _explode(batches):
-    for b in batches:
-        g, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-        raw = [np.frombuffer(p, np.int64) for p in b.column(2).to_pylist()]
-        sizes = np.array([len(p) for p in raw], np.int64)
-        if not sizes.sum():
-            continue
-        pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        cols = [np.concatenate(raw), np.repeat(g, sizes), np.repeat(n, sizes).astype(np.int32), pos.astype(np.int32)]
-        for k in range(0, len(pos), 1 << 17):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 17)]) for c in cols], names=["token", "g", "n", "pos"])
+def _explode(counts, hot: bool, most: int):
+    """The postings (token, g, n, pos) of groups (g, n, prefix): those of tokens whose class more than `most` documents hold,
+    or those of the others, whose lists are then no longer than that."""
+
+    @lean
+    def explode(batches):
+        order = np.frombuffer(counts.value, "<u4")
+        mask = ta.U(len(order) - 1)
+        for b in batches:
+            g, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            raw = [np.frombuffer(p, np.int64) for p in b.column(2).to_pylist()]
+            sizes = np.array([len(p) for p in raw], np.int64)
+            if not sizes.sum():
+                continue
+            pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            token = np.concatenate(raw)
+            own = (order[(token.view(np.uint64) & mask).astype(np.int64)] > most) == hot
+            cols = [c[own] for c in (token, np.repeat(g, sizes), np.repeat(n, sizes).astype(np.int32), pos.astype(np.int32))]
+            for k in range(0, len(cols[0]), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + (1 << 17)]) for c in cols], names=["token", "g", "n", "pos"])
+
+    return explode
 
 
 def _unique_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -174,9 +187,25 @@ def _flushed(a: list, b: list):
 
 
 def _short_pairs(batches):
-    """Pairs of groups that pass the filters, from whole lists of at most SHORT_LIST groups."""
+    """Pairs (kind PAIR) of groups that pass the filters, from whole lists of at most SHORT_LIST groups; the postings of longer
+    lists (kind LONG) as they are."""
     a, b, held = [], [], 0
+    none = lambda m: [pa.array(np.zeros(m, t)) for t in (np.int64, np.int32, np.int32)]
+
+    def flushed():
+        x, y = _unique_pairs(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), PAIR, np.int32)), pa.array(x), pa.array(y), *none(len(x))], names=names)
+
+    names = ["kind", "a", "b", "token", "n", "pos"]
     for token, g, n, pos in _lists(batches, ("token", "g", "n", "pos")):
+        start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        size = np.diff(np.r_[start, len(token)])
+        long = np.repeat(size > SHORT_LIST, size)
+        if long.any():
+            m = int(long.sum())
+            z = np.zeros(m, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(m, LONG, np.int32), g[long], z, token[long], n[long], pos[long])], names=names)
+            token, g, n, pos = (x[~long] for x in (token, g, n, pos))
         n, pos = n.astype(np.int64), pos.astype(np.int64)
         for k in range(1, SHORT_LIST):
             i = np.flatnonzero(token[k:] == token[:-k])
@@ -187,10 +216,10 @@ def _short_pairs(batches):
             b.append(g[i + k])
             held += len(i)
         if held > 1 << 20:
-            yield _flushed(a, b)
+            yield flushed()
             a, b, held = [], [], 0
     if a:
-        yield _flushed(a, b)
+        yield flushed()
 
 
 def _block_pairs(batches):
@@ -268,21 +297,34 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = W
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def with_token(lists: DataFrame, of: DataFrame, how: str = "inner") -> DataFrame:
+    """lists joined with `of`, which has a row for each token (or LEADERS of them): a broadcast while it is small; beyond that
+    each token's list meets its row in PARTS_OF_LIST parts, so no task gets a whole list."""
+    rows = of.count()
+    if rows * 64 <= 32 << 20:
+        return lists.join(F.broadcast(of), "token", how)
+    parts = of.withColumn("_part", F.explode(F.expr(f"sequence(0, {PARTS_OF_LIST - 1})")))
+    cut = lists.withColumn("_part", F.pmod(F.xxhash64("g", F.lit(3)), F.lit(PARTS_OF_LIST)).cast("int"))
+    return cut.join(parts.hint("merge"), ["token", "_part"], how).drop("_part")
+
+
 def leaders(lists: DataFrame) -> DataFrame:
-    """token, lead (g, n, pos, root) of the LEADERS of each list, the groups in whose sets the token comes earliest - the
+    """token, lead (pos, g, n, root) of the LEADERS of each list, the groups in whose sets the token comes earliest - the
     copies with the fewest tokens of their own, likeliest to link with others; combined before the shuffle."""
     first = F.struct("pos", "g", "n", "root")
-    out = lists.groupBy("token").agg(F.min(first).alias("lead"))
+    out = store(lists.groupBy("token").agg(F.min(first).alias("lead")), "jaccard-leaders")
+    last = out
     for _ in range(LEADERS - 1):
-        more = lists.join(out.groupBy("token").agg(F.max("lead").alias("_last")).hint("merge"), "token").filter(first > F.col("_last"))
-        out = out.unionByName(more.groupBy("token").agg(F.min(first).alias("lead")))
+        more = with_token(lists, last.withColumnRenamed("lead", "_last")).filter(first > F.col("_last"))
+        last = store(more.groupBy("token").agg(F.min(first).alias("lead")), "jaccard-leaders")
+        out = out.unionByName(last)
     return out
 
 
-def named_sets(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, frozenset]:
+def named_sets(docs: DataFrame, counts: bytes, words: int = WORDS) -> tuple[DataFrame, DataFrame, frozenset]:
     """(found, nodes, met): prefixes of docs with u the name of their set; u, rep (least doc_id), g of each set; and the prints
     that different sets share, whose sets go by their second print - a few at most, by the odds of 64 bits."""
-    found = store(prefixes(docs, shingle_counts(docs, words=words), words), "jaccard-prefixes")
+    found = store(prefixes(docs, counts, words), "jaccard-prefixes")
     full = found.filter("n > 0")
     by_print = store(full.groupBy("u").agg(F.min("doc_id").alias("rep"), F.first("g").alias("g"), F.min("w").alias("low"), F.max("w").alias("high")), "jaccard-nodes")
     met = frozenset(r[0] for r in by_print.filter("low <> high").select("u").collect())
@@ -306,17 +348,20 @@ def grouped(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, frozenset]:
     Texts of any length are taken whole, one at a time.  Rows with one doc_id each have their set; ties among documents of a
     component go to the smallest doc_id.  No documents, no rows.  Other columns are not read.
     """
+    spark = docs.sparkSession
     docs = _keyed(docs)
-    found, nodes, met = named_sets(docs, words)
+    counts = shingle_counts(docs, words=words)
+    found, nodes, met = named_sets(docs, counts, words)
     full = found.filter("n > 0")
     groups = full.groupBy("g").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = store(groups.mapInArrow(_explode, "token long, g long, n int, pos int"), "jaccard-postings")
-    lengths = store(postings.groupBy("token").agg(F.count("*").alias("length")).filter("length > 1"), "jaccard-lengths")
-    held = lengths.filter(F.col("length") > SHORT_LIST)
-    n_long = held.count()
-    short = postings.join(lengths.filter(F.col("length") <= SHORT_LIST).select("token").hint("merge"), "token", "left_semi")
-    long = store(postings.join(small(held, n_long, 24), "token"), "jaccard-long")
-    short_pairs = short.repartition("token").sortWithinPartitions("token", "n", "g").mapInArrow(_short_pairs, "a long, b long")
+    groups = store(groups.select("g", "n", "prefix"), "jaccard-grouped-sets")
+    held = spark.sparkContext.broadcast(counts)
+    shape = "token long, g long, n int, pos int"
+    cold = groups.mapInArrow(_explode(held, False, HOT_LIST), shape).repartition("token").sortWithinPartitions("token", "n", "g")
+    first = store(cold.mapInArrow(_short_pairs, "kind int, a long, b long, token long, n int, pos int"), "jaccard-first")
+    short_pairs = first.filter(F.col("kind") == PAIR).select("a", "b")
+    hot = groups.mapInArrow(_explode(held, True, HOT_LIST), shape)
+    long = store(first.filter(F.col("kind") == LONG).select("token", F.col("a").alias("g"), "n", "pos").unionByName(hot), "jaccard-long")
     heads = store(nodes.groupBy("g").agg(F.min("u").alias("head"), F.count("*").alias("size")), "jaccard-groups")
 
     def by_head(pairs):
@@ -326,9 +371,7 @@ def grouped(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, frozenset]:
 
     def with_leaders(lists):
         """Pairs of each group of a list with the list's leaders that are of another component and pass the filters."""
-        lead = leaders(lists)
-        lead = store(lead, "jaccard-leaders")
-        both = lists.join(small(lead, lead.count(), 48), "token").filter((F.col("g") != F.col("lead.g")) & (F.col("root") != F.col("lead.root")))
+        both = with_token(lists, leaders(lists)).filter((F.col("g") != F.col("lead.g")) & (F.col("root") != F.col("lead.root")))
         bound = F.least(F.col("n") - F.col("pos"), F.col("lead.n") - F.col("lead.pos"))
         fits = (DENOMINATOR * F.least("n", "lead.n") >= NUMERATOR * F.greatest("n", "lead.n")) & ((NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (F.col("n") + F.col("lead.n")))
         return both.filter(fits).select(F.least("g", "lead.g").alias("a"), F.greatest("g", "lead.g").alias("b"))
@@ -349,13 +392,13 @@ def grouped(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, frozenset]:
         marks = marks.select("g", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("g", F.lit(1))).alias("root"))
         lists = store(long.join(marks.hint("merge"), "g"), "jaccard-open")
         many = lists.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low < _high").select("token")
-        return store(lists.join(many.hint("merge"), "token", "left_semi"), "jaccard-lists")
+        return store(with_token(lists, store(many, "jaccard-many"), "left_semi"), "jaccard-lists")
 
     # turns with the leaders of what is not yet linked with the first ones join most of what long lists hold together
     tried, lists = pairs, open_lists()
     for _ in range(TURNS):
-        first = leaders(lists).groupBy("token").agg(F.collect_set("lead.root").alias("_of"))
-        rest = lists.join(first.hint("merge"), "token").filter(~F.array_contains("_of", F.col("root"))).drop("_of")
+        led = leaders(lists).groupBy("token").agg(F.collect_set("lead.root").alias("_of"))
+        rest = with_token(lists, store(led, "jaccard-led")).filter(~F.array_contains("_of", F.col("root"))).drop("_of")
         new = by_head(with_leaders(store(rest, "jaccard-rest")).distinct()).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti")
         new = store(new, "jaccard-turn")
         if new.isEmpty():
@@ -365,8 +408,8 @@ def grouped(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, frozenset]:
 
     # then all pairs that are left between different components, of long lists and of groups of several sets.  A list is
     # cut into parts by hash; each two parts, and each part by itself, are a tile of bounded size in a task of its own
-    counts = lists.groupBy("token").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    cut = lists.join(counts.hint("merge"), "token").withColumn("part", F.pmod(F.xxhash64("g", F.lit(7)), F.col("parts")).cast("int"))
+    parts = store(lists.groupBy("token").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")), "jaccard-parts")
+    cut = with_token(lists, parts).withColumn("part", F.pmod(F.xxhash64("g", F.lit(7)), F.col("parts")).cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     i, j = F.least("part", "other"), F.greatest("part", "other")
     side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)

@@ -101,7 +101,8 @@ def test_jaccard_long_lists(docs, rows, spark, monkeypatch):
     want = {tuple(r) for r in jaccard.near_duplicates(docs).collect()}
     monkeypatch.setattr(jaccard, "SHORT_LIST", 2)
     monkeypatch.setattr(jaccard, "PAIRS_A_TASK", 2)
-    for leaders, turns, tile in ((1, 1, 3), (2, 0, 5)):
+    for leaders, turns, tile, hot in ((1, 1, 3, 4), (2, 0, 5, 0)):
+        monkeypatch.setattr(jaccard, "HOT_LIST", hot)
         monkeypatch.setattr(jaccard, "LEADERS", leaders)
         monkeypatch.setattr(jaccard, "TURNS", turns)
         monkeypatch.setattr(jaccard, "TILE", tile)
@@ -135,7 +136,7 @@ def test_jaccard_prints_that_collide(spark, docs, rows, monkeypatch):
     full = jaccard._print
     few = lambda a: (full(a) >> 59) if len(a) > 1 else full(a)  # 32 values
     monkeypatch.setattr(jaccard, "_print", few)
-    assert jaccard.named_sets(jaccard._keyed(docs))[2]
+    assert jaccard.named_sets(jaccard._keyed(docs), bytes(4 << 20))[2]
     assert {tuple(r) for r in jaccard.near_duplicates(docs).collect()} == want
 
 
