@@ -1,11 +1,15 @@
 """The pipeline's stages against plain versions, on a small corpus."""
 
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cuemill.llm import quality
+from cuemill.llm import packing, quality
 
 from . import helpers as h
 from .test_text_operators import plain_lines
@@ -49,6 +53,46 @@ def test_stages(spark, folder):
 
     packed = f[names[4]](spark, mixed, folder).collect()
     assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r[0] for r in rows(mixed))
+    assert tokens(packed) == plain_pieces(rows(mixed))
+
+
+def plain_pieces(rows):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    out = Counter()
+    for d, t, *_ in rows:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        out.update((d, s // 2048, zlib.crc32(ids[s : s + 2048].tobytes())) for s in range(0, len(ids), 2048))
+    return out
+
+
+def tokens(packed):
+    """The pieces as the training sequences hold them: each sequence joined by offset, then cut at the pieces' places."""
+    sequences = defaultdict(list)
+    for r in packed:
+        sequences[r.sequence_id].append(r)
+    out = Counter()
+    for parts in sequences.values():
+        whole = b"".join(bytes(r.ids) for r in sorted(parts, key=lambda r: r.offset))
+        assert len(whole) <= 4 * 2048
+        out.update((r.doc_id, r.piece, zlib.crc32(whole[4 * r.offset : 4 * (r.offset + r.length)])) for r in parts)
+    return out
+
+
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    say = lambda w, n: " ".join(f"{w}{k}" for k in range(n))
+    rows = [(None, say("a", 40)), (None, say("b", 50)), (5, say("c", 60) + "\n\n" + say("d", 20)), (5, say("e", 30)), (5, say("e", 30)), (6, None), (7, ""), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", None if k == 5 else "s", len(t or ""), "extra", 1.0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long, features string, score double").repartition(3)
+    spark.createDataFrame([(5, 1, 0), (6, 0, 0), (7, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    f = dict(corpus_pipeline.STAGES)
+    assert corpus_pipeline.keep_quality(spark, docs, str(tmp_path)).columns == list(corpus_pipeline.COLUMNS)
+    lines = f["line dedup"](spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in lines.collect()) == Counter((k, t or "") for k, t in rows)
+    one = f["n-gram Jaccard join"](spark, lines, "").cache()
+    assert Counter((r.doc_id, r.text) for r in one.collect()) == Counter((k, t or "") for k, t in rows) - Counter([(5, say("e", 30))])
+    mixed = f["mixing sources to target weights"](spark, one, "").cache()
+    assert (5, say("c", 60) + "\n\n" + say("d", 20)) in {(r.doc_id, r.text) for r in mixed.collect()} or mixed.filter("doc_id = 5").count()
+    assert {r.doc_id for r in mixed.collect()} <= {None, 5}
+    assert tokens(f["best-fit packing"](spark, mixed, "").collect()) == plain_pieces([(r.doc_id, r.text) for r in mixed.collect()])
 
 
 def test_run(spark, folder):
