@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import time
@@ -22,13 +23,25 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
 KNOWN_CHUNKS, LONGEST_KNOWN = 600_000, 48
 MARKS = b".,!?;:$%&*#"
+WORDS_AND_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"  # a fixed value: the split that Chunks relies on
 
 
 _LETTER = re.compile(rb"(?:[A-Za-z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc5-\xc8][\x80-\xbf])\Z")  # at the end: ASCII, or a letter below U+0240 but U+0130, whose small form ends in a mark
 
 
+def splits_at_space(plan: dict) -> bool:
+    """Whether a tokenizer's file says what Chunks relies on: lower case, white space dropped, words and runs of marks apart,
+    no marks of its own around a text, and special tokens that keep to themselves."""
+    normal = [n.get("type") for n in (plan.get("normalizer") or {}).get("normalizers", [])]
+    split = (plan.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    own = all(not (t["lstrip"] or t["rstrip"] or t["normalized"]) and re.fullmatch(r"<\|[a-z]+\|>", t["content"]) for t in plan.get("added_tokens", []))
+    words = (split.get("pattern") or {}).get("Regex") == WORDS_AND_MARKS and split.get("behavior") == "Removed" and split.get("invert")
+    return normal == ["NFC", "Replace", "Lowercase"] and bool(words) and own and plan.get("post_processor") is None and plan["model"]["type"] == "BPE"
+
+
 class Chunks(dict):
-    """Token ids (little-endian 32 bits) of chunks between ASCII white space, which this tokenizer never joins.
+    """Token ids (little-endian 32 bits) of chunks between ASCII white space, where the tokenizer never joins them; another
+    tokenizer (splits_at_space) is run on whole texts.
 
     A chunk not met before is made of its stem - the chunk without the marks at its end, A-Z lower-cased, as the tokenizer
     splits and normalises it - and of these marks; the tokenizer runs only on new stems.  The last KNOWN_CHUNKS to twice
@@ -41,6 +54,9 @@ class Chunks(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.old: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            plan = json.load(f)
+        self.apart = splits_at_space(plan)
 
     def __missing__(self, c: bytes) -> bytes:
         got = self.old.get(c)
@@ -62,6 +78,8 @@ class Chunks(dict):
         return got
 
     def ids(self, text: str) -> bytes:
+        if not self.apart:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, text.encode().split()))
 
 
@@ -188,8 +206,9 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] =
 def packed_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset of all pieces of documents.
 
-    Nulls: a null doc_id is a document; repeated rows are documents of their own.  No documents, no rows.  Other columns
-    are not read.
+    Nulls: a null doc_id is a document; an empty or null text is END_ID alone; repeated rows are documents of their own, and
+    pieces alike in doc_id, piece and length take their places in the order of the files.  A text of any length is tokenised
+    whole.  No documents, no rows.  Other columns are not read.
     """
     return packed(store(pieces(docs, vocabulary, capacity, with_ids), "pack-pieces"), capacity)
 

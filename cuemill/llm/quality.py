@@ -172,6 +172,9 @@ def _held_out(doc_id):
 
 
 def with_features(docs: DataFrame) -> DataFrame:
+    """docs with features (of each whole text; a null one is empty) in place of text; a column of that name is replaced."""
+    docs = docs.drop("features")
+
     @lean
     def find(batches):
         for b in batches:
@@ -206,7 +209,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Additive:
 
 
 def scored(docs: DataFrame, model: Additive) -> DataFrame:
-    """docs with score (0 to 1, higher: better), by additions of table entries; a null text is empty.  Other columns stay."""
+    """docs with score (0 to 1, higher: better), by additions of table entries.
+
+    Nulls: a null text is empty; a null doc_id is a document (op2_quality counts it as held out: its label could not be used).
+    Texts of any length are scored whole, one at a time; equal texts have equal scores, and repeated rows a row each.  No
+    documents, no rows.  Other columns stay; one named score is replaced.
+    """
     docs = docs.drop("score")
 
     @lean

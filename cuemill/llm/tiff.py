@@ -313,7 +313,8 @@ def text_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each whole text as a one-page TIFF, 64 bytes a row, padded with 0.
 
     The text's checksum chooses how it is stored: deflated strips with horizontal differences, PackBits tiles, or LZW
-    strips; equal texts give equal files.  A null text is empty.
+    strips; equal texts give equal files.  A null text is empty; repeated rows have a file each.  Texts are stored whole, up
+    to what the format's 32-bit offsets reach (4 GiB; a Spark string ends at 2).  No documents, no rows.
     """
 
     @lean

@@ -70,6 +70,23 @@ def test_walk_stops_early():
     assert sum(touched) < 300 and lists.scored < 300
 
 
+def test_quality_scores_equal_plain_additions(spark):
+    """A score is the constant, one entry of each feature's table and one of each pair's, looked up one by one."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["river", "stone!!", "a$", "WORD", "x1"]) for _ in range(r.randint(0, 80))) for _ in range(200)] + [None, "", "long " * 30000]
+    rows = [(k, t, "en", "s", 1, 1, "", "", "", 1) for k, t in enumerate(texts)]
+    docs = h.frame(spark, rows).withColumnRenamed("slot", "features")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    got = {x.doc_id: x.score for x in quality.scored(docs, model).collect()}
+    for x in quality.with_features(docs).collect():
+        at = [sum(edge <= v for edge in e) for e, v in zip(model.edges, x.features, strict=True)]
+        margin = model.constant + sum(t[a] for t, a in zip(model.tables, at, strict=True))
+        for (i, j), t in zip(model.pairs, model.pair_tables, strict=True):
+            margin += t[model.coarse[i][at[i]], model.coarse[j][at[j]]]
+        assert abs(got[x.doc_id] - 1 / (1 + np.exp(-margin))) < 1e-9
+
+
 def test_quality_held_out_accuracy(spark):
     r = random.Random(3)
     good = lambda: " ".join(r.choice(["the", "river", "stone", "walks", "quiet", "under", "light"]) + str(r.randrange(90)) for _ in range(60)) + "."

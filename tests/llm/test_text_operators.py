@@ -340,6 +340,23 @@ def test_tokens_equal_the_tokenizers(rows):
         assert known.ids(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_other_tokenizers_see_whole_texts(spark):
+    import json
+    import os
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    folder = os.path.dirname(public_tokenizers.path(packing.VOCABULARY))
+    assert packing.splits_at_space(json.load(open(public_tokenizers.path(packing.VOCABULARY))))
+    path = f"{folder}/byte_bpe_50k.json"
+    plain, text = Tokenizer.from_file(path), "Two  words,\n\tand MORE."
+    assert packing.Chunks(path).ids(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert bytes(packing.pieces(docs, path).first().ids)[:-4] == packing.Chunks(path).ids(text)
+
+
 def test_packing(docs, rows, empty):
     got = packing.packed_documents(docs, capacity=64).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
