@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Language names that stand for a code, and GB of memory a speech model takes.
 LANGUAGES = {"spanish": "es", "es-es": "es", "english": "en", "en-gb": "en", "en-us": "en"}
 VOICES = {"en-us": "en-us", "en": "en-us", "es-es": "es", "es": "es", "fr-fr": "fr-fr", "fr": "fr-fr", "de-de": "de", "de": "de", "it-it": "it", "it": "it", "pt-br": "pt-br", "ja": "ja", "zh": "zh"}
+GPU_MODEL_GB, OTHER_MODEL_GB, GPU_SHARE, LEAST_GPU_GB, LEAST_GB, SYSTEM_GB, CUDA_GB = 1.5, 3.0, 0.85, 2.0, 0.5, 2.0, 3.0
 MODEL_GB = {"tiny": 0.8, "base": 1.0, "small": 1.6, "medium": 3.0, "large": 5.5, "large-v3": 5.5}
 
 
@@ -35,12 +36,12 @@ def version_tuple(c: Column) -> Column:
 
 
 def gpu_memory(shared: Column, free: Column, available: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.when(shared, available - 2.0).otherwise(free))
+    return F.greatest(F.lit(0.0), F.when(shared, available - SYSTEM_GB).otherwise(free))
 
 
 def whisper_device(requested: Column, usable: Column, gpu_gb: Column) -> Column:
     """cuda or cpu; null where cuda is asked for and can't be had, or nothing known is asked for."""
-    ask, fits = F.lower(F.trim(requested)), usable & (gpu_gb >= 3.0)
+    ask, fits = F.lower(F.trim(requested)), usable & (gpu_gb >= CUDA_GB)
     return F.when(ask == "cuda", F.when(fits, "cuda")).when(ask == "cpu", "cpu").when(ask == "auto", F.when(fits, "cuda").otherwise("cpu"))
 
 
@@ -54,12 +55,12 @@ def whisper_compute(requested: Column, device: Column) -> Column:
 def safe_parallelism(cpus: Column, available_gb: Column, gpu_gb: Column, device: Column, model: Column, threads: Column, requested: Column) -> Column:
     """How many media to work on at once: the least of what processors, memory and the GPU hold, at most what is asked for (0: all)."""
     t = F.when(threads > 0, threads).otherwise(F.greatest(F.lit(2), F.least(F.lit(8), F.floor(cpus / 2)))).cast("long")
-    ram = lookup(MODEL_GB, F.lower(model), F.lit(3.0))
+    ram = lookup(MODEL_GB, F.lower(model), F.lit(OTHER_MODEL_GB))
     on_gpu = device == "cuda"
     by_cpu = F.greatest(F.lit(1), F.floor(F.greatest(F.lit(1), cpus - 2) / F.greatest(F.lit(1), t)))
-    need = F.when(on_gpu, F.lit(1.5)).otherwise(ram)
-    by_ram = F.greatest(F.lit(1), F.floor(F.greatest(F.lit(1.0), available_gb - 2.0) / F.greatest(F.lit(0.5), need)))
-    by_gpu = F.when(on_gpu, F.greatest(F.lit(1), F.floor(gpu_gb / F.greatest(F.lit(0.5), F.greatest(F.lit(2.0), ram * 0.85))))).otherwise(F.lit(2**31 - 1))
+    need = F.when(on_gpu, F.lit(GPU_MODEL_GB)).otherwise(ram)
+    by_ram = F.greatest(F.lit(1), F.floor(F.greatest(F.lit(1.0), available_gb - SYSTEM_GB) / F.greatest(F.lit(LEAST_GB), need)))
+    by_gpu = F.when(on_gpu, F.greatest(F.lit(1), F.floor(gpu_gb / F.greatest(F.lit(LEAST_GB), F.greatest(F.lit(LEAST_GPU_GB), ram * GPU_SHARE))))).otherwise(F.lit(2**31 - 1))
     cap = F.greatest(F.lit(1), F.least(by_cpu, by_ram, by_gpu))
     return F.when(requested <= 0, cap).otherwise(F.least(F.greatest(F.lit(1), requested), cap)).cast("long")
 

@@ -566,7 +566,7 @@ def archive_stems(spark, sf_dir) -> DataFrame:
     return t.table(spark, sf_dir, "part").select("p_partkey", names.course_lesson(path)["output_stem"].alias("stem"))
 
 
-@query("""WITH n AS (SELECT p_partkey, replace(p_name, ' ', '-') || ['_es.vtt', '.EN.vtt', '-es-es.mp4', '_en-us.VTT', '_tv.vtt', '.mp4', '_es'][p_partkey % 7 + 1] AS name FROM part)
+@query(r"""WITH n AS (SELECT p_partkey, replace(p_name, ' ', '-') || ['_es.vtt', '.EN.vtt', '-es-es.mp4', '_en-us.VTT', '_tv.vtt', '.mp4', '_es'][p_partkey % 7 + 1] AS name FROM part)
 SELECT p_partkey, CASE WHEN p_partkey % 7 < 4 THEN regexp_replace(name, '(?i)[-_.](es-es|en-us|es|en)\.[^.]+$', '') ELSE regexp_replace(name, '\.[^.]+$', '') END AS stem,
   ['es', 'en', 'es-es', 'en-us', NULL, NULL, NULL][p_partkey % 7 + 1] AS language, ['.vtt', '.vtt', '.mp4', '.vtt', '.vtt', '.mp4', ''][p_partkey % 7 + 1] AS extension FROM n""")
 def language_suffixes(spark, sf_dir) -> DataFrame:
@@ -683,17 +683,33 @@ def _identities(spark, sf_dir):
     return v.select("vec_id", identity.alias("identity"))
 
 
-@query()
+_IDENTITY = f"""hv AS (SELECT vec_id, label, [floor(a::DOUBLE * 4) FOR a IN embedding] AS x FROM embeddings), hm AS (SELECT *, list_reduce(x, lambda a, b: a + b) / len(x) AS m FROM hv),
+hh AS (SELECT vec_id, round_even(m / 255, 6) AS mean, array_to_string([CASE WHEN a >= m THEN '1' ELSE '0' END FOR a IN x], '') AS bits FROM hm), {_AUDIO},
+i AS (SELECT hh.vec_id, hh.vec_id // 10 AS g, CASE WHEN hh.vec_id % 23 <> 4 THEN (hh.vec_id // 10) * 7.0::DOUBLE + (hh.vec_id % 10) * 0.4::DOUBLE END AS duration, hh.vec_id % 6 <> 5 AS video, hh.vec_id % 5 <> 1 AS sound,
+  CASE WHEN hh.vec_id % 4 = 0 THEN 44100 ELSE 48000 END AS rate, mean, bits, mean_abs, rms, crossings FROM hh JOIN f ON f.vec_id = hh.vec_id),
+s AS (SELECT a.vec_id AS id, b.vec_id AS pos, a.video, a.rate = b.rate AS same_rate, a.sound AND b.sound AS heard, coalesce(abs(a.duration - b.duration) <= greatest(1.5::DOUBLE, a.duration * 0.005::DOUBLE), false) AS near,
+  0.8::DOUBLE * (length(a.bits) - hamming(a.bits, b.bits)) / length(a.bits) + 0.2::DOUBLE * greatest(0.0::DOUBLE, 1 - abs(a.mean - b.mean) / 0.25::DOUBLE) AS v,
+  (greatest(0.0, 1 - abs(a.mean_abs - b.mean_abs) / greatest(a.mean_abs, b.mean_abs, 1e-6::DOUBLE)) + greatest(0.0, 1 - abs(a.rms - b.rms) / greatest(a.rms, b.rms, 1e-6::DOUBLE)) + greatest(0.0, 1 - abs(a.crossings - b.crossings) / greatest(a.crossings, b.crossings, 1e-6::DOUBLE))) / 3 AS u
+  FROM i a JOIN i b ON a.g = b.g),
+scores AS (SELECT id, pos, CASE WHEN NOT near OR (video AND v < 0.91::DOUBLE) OR (heard AND u < 0.82::DOUBLE) THEN 0.0::DOUBLE
+  ELSE least(1.0::DOUBLE, 0.25::DOUBLE + 0.15::DOUBLE + CASE WHEN video THEN 0.40::DOUBLE * v ELSE 0 END + CASE WHEN heard THEN 0.20::DOUBLE * u ELSE 0.10::DOUBLE END + 0.05::DOUBLE + CASE WHEN same_rate THEN 0.05::DOUBLE ELSE 0 END) END AS score FROM s)"""
+
+
+@query(f"WITH {_IDENTITY} SELECT id, pos, round(score, 6) AS score FROM scores")
 def identity_scores(spark, sf_dir) -> DataFrame:
     m = _identities(spark, sf_dir)
     pairs = m.select(F.col("vec_id").alias("id"), F.floor(F.col("vec_id") / 10).alias("_g"), F.col("identity").alias("current")).join(m.select(F.col("vec_id").alias("pos"), F.floor(F.col("vec_id") / 10).alias("_g"), F.col("identity").alias("candidate")), "_g")
     return pairs.select("id", "pos", _r(media.identity_score("current", "candidate"), 6).alias("score"))
 
 
-@query()
+# names of one group are equal and of different groups less alike than the threshold, so candidates are the group's registry rows
+@query(f"""WITH {_IDENTITY}, exact AS (SELECT a.vec_id AS id, min(b.vec_id) AS pos FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = b.vec_id % 100 AND b.vec_id % 3 = 0 WHERE a.vec_id % 3 <> 0 GROUP BY a.vec_id),
+near AS (SELECT id, pos, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS k FROM scores WHERE id % 3 <> 0 AND pos % 3 = 0 AND score >= 0.90::DOUBLE AND id NOT IN (SELECT id FROM exact))
+SELECT id, pos, 'duplicate_exact' AS status, 1.0::DOUBLE AS score FROM exact UNION ALL SELECT id, pos, 'duplicate_probable', round(score, 6) FROM near WHERE k = 1""")
 def duplicate_cascade(spark, sf_dir) -> DataFrame:
     m = _identities(spark, sf_dir)
-    key = F.concat_ws(" ", F.lit("talk"), (F.floor(F.col("vec_id") / 10)).cast("string"), F.lit("part"))
+    k = F.floor(F.col("vec_id") / 10)
+    key = F.concat_ws(" ", F.sha2(k.cast("string"), 256), F.md5(k.cast("string").cast("binary")))
     rows = m.select("vec_id", F.sha2((F.col("vec_id") % 100).cast("string"), 256).alias("sha256"), key.alias("key"), "identity")
     registry = rows.filter("vec_id % 3 = 0").withColumn("output_folder", F.lit("f")).withColumnRenamed("vec_id", "pos")
     out = similarity.cascade(rows.filter("vec_id % 3 <> 0").withColumnRenamed("vec_id", "id"), registry)
