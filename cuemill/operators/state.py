@@ -84,9 +84,10 @@ def reprocess_status(status: Column) -> Column:
     return F.when(failed > 0, F.when(done + partial > 0, "partial_failure").otherwise("error")).when(partial > 0, "partial_translation").otherwise("success")
 
 
-def unique_stems(rows: DataFrame, taken: DataFrame | None = None, stem: str = "stem", order: str = "source", digest: str = "sha256") -> DataFrame:
+def unique_stems(rows: DataFrame, taken: DataFrame | None = None, stem: str = "stem", order: str = "source", digest: str = "sha256", joint: str = "___", own: str | None = None) -> DataFrame:
     """rows with output_stem, all different and none in taken (stem): by order, each takes the first that is free of its
-    stem, the stem with three _ and the first 8 digits of its content's hash, and that with _02, _03 and so on.
+    stem, the stem with three _ (or another joint) and the first 8 characters of its content's hash, and that with _02, _03
+    and so on.  A name in taken is free for the row whose column `own` has it.
 
     Every row asks for its first choice; of those that ask for one name the first in order keeps it, the others ask for
     their next, until none has to: the same names as row by row.  Rows of one stem and hash ask in turn from the start, so
@@ -95,18 +96,57 @@ def unique_stems(rows: DataFrame, taken: DataFrame | None = None, stem: str = "s
     by_stem, by_content = Window.partitionBy(stem).orderBy(order), Window.partitionBy(stem, F.substring(digest, 1, 8)).orderBy(order)
     first = F.when(F.row_number().over(by_stem) == 1, 0).otherwise(F.greatest(F.row_number().over(by_content) - 1, F.lit(1)))
     asking = rows.withColumn("_choice", first.cast("long"))
-    hashed = F.concat(F.col(stem), F.lit("___"), F.substring(digest, 1, 8))
+    hashed = F.concat(F.col(stem), F.lit(joint), F.substring(digest, 1, 8))
     name = F.when(F.col("_choice") == 0, F.col(stem)).when(F.col("_choice") == 1, hashed).otherwise(F.concat(hashed, F.format_string("_%02d", "_choice")))
     held = None if taken is None else taken.select(F.col("stem").alias("output_stem")).distinct().withColumn("_held", F.lit(True))
     while True:
         asked = asking.withColumn("output_stem", name)
         asked = asked.withColumn("_held", F.lit(None).cast("boolean")) if held is None else asked.join(held, "output_stem", "left")
-        asked = cut(asked.withColumn("_lost", F.col("_held").isNotNull() | (F.row_number().over(Window.partitionBy("output_stem").orderBy(order)) > 1)))
+        others = F.col("_held").isNotNull() if own is None else F.col("_held").isNotNull() & ~F.coalesce(F.col("output_stem") == F.col(own), F.lit(False))
+        asked = cut(asked.withColumn("_lost", others | (F.row_number().over(Window.partitionBy("output_stem").orderBy(order)) > 1)))
         if asked.filter("_lost").isEmpty():
             return asked.select(*rows.columns, "output_stem")
         asking = asked.withColumn("_choice", F.col("_choice") + F.col("_lost").cast("long")).select(*rows.columns, "_choice")
 
 
+def renames(sources: DataFrame, manifest: DataFrame, folders: DataFrame) -> DataFrame:
+    """What a run that only renames does with each source (source, desired): status, output_folder, old_folder.
+
+    The source's last successful or renamed entry gives its folder.  Without an entry: not_found_in_previous_manifest; a
+    folder that is not among folders (folder) has no status.  A folder that has its desired name is already_current; another
+    is renamed_existing, to the desired name, or with _ and the first 8 characters of the old one where that is taken,
+    numbered from _02.  What is taken is what was there at the start, and the names given by order of source.
+    """
+    entry = last_entries(manifest.select("source", "pos", "status", "output_folder"), ["success", "renamed_existing"])
+    out = sources.join(entry.select("source", F.col("output_folder").alias("old_folder")), "source", "left")
+    have = folders.select(F.col("folder").alias("old_folder"), F.lit(True).alias("_there")).distinct()
+    out = out.join(have, "old_folder", "left")
+    there, same = F.col("_there").isNotNull(), F.col("old_folder") == F.col("desired")
+    status = F.when(F.col("old_folder").isNull(), "not_found_in_previous_manifest").when(there & same, "already_current").when(there, "renamed_existing")
+    out = out.withColumn("status", status).drop("_there")
+    moving = out.filter("status = 'renamed_existing'")
+    named = unique_stems(moving.withColumn("_digest", F.when(F.col("old_folder") == "", "legacy").otherwise(F.col("old_folder"))), folders.select(F.col("folder").alias("stem")), "desired", "source", "_digest", "_", "old_folder")
+    rest = out.filter("status is null or status <> 'renamed_existing'").withColumn("output_folder", F.when(F.col("status") == "already_current", F.col("old_folder")))
+    return named.drop("_digest").withColumnRenamed("output_stem", "output_folder").unionByName(rest).select("source", "status", "old_folder", "output_folder")
+
+
+def planned(sources: DataFrame, manifest: DataFrame, registry: DataFrame, folders: DataFrame, artefacts: DataFrame | None = None) -> DataFrame:
+    """What a run does with each source (source, sha256, desired): status and output_folder.
+
+    Resumed sources, all of whose artefacts are there, stay (already_current) or are to be renamed (renamed_existing).  Of the
+    others, those whose content the registry has are renamed_existing if its folder is still among folders (folder), else
+    skipped_duplicate.  The rest is pending, each with a folder name of its own.
+    """
+    resumed = resume_split(sources, manifest, artefacts).withColumnRenamed("output_folder", "_own")
+    known = first_duplicates(resumed, registry).join(folders.select(F.col("folder").alias("_folder"), F.lit(True).alias("_there")).distinct(), F.col("duplicate.output_folder") == F.col("_folder"), "left")
+    folder = F.when(F.col("resumed"), F.col("_own")).when(F.col("_there"), F.col("_folder"))
+    rows = known.select("source", "sha256", "desired", "resumed", F.col("duplicate").isNotNull().alias("duplicate"), folder.alias("folder"), F.lit(False).alias("failed"))
+    rows = source_status(rows)
+    new = unique_stems(rows.filter("status = 'success'"), folders.select(F.col("folder").alias("stem")), "desired")
+    new = new.select("source", F.lit("pending").alias("status"), F.col("output_stem").alias("output_folder"))
+    return new.unionByName(rows.filter("status <> 'success'").select("source", "status", F.col("folder").alias("output_folder")))
+
+
 def within_limits(members: DataFrame, most_files: int, most_bytes: int, key: str = "archive") -> DataFrame:
     """members with running totals in archive order, and fault at each that exceeds a limit; the first one is what counts."""
     w = Window.partitionBy(key).orderBy("depth", "pos").rowsBetween(Window.unboundedPreceding, 0)

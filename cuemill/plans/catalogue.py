@@ -385,6 +385,41 @@ def source_statuses(spark, sf_dir) -> DataFrame:
     return state.source_status(rows).select("k", "status")
 
 
+_RENAMES = f"""{_MANIFEST}, s AS (SELECT DISTINCT o_orderkey % 9500 AS source, 'out_' || o_orderkey % 9500 % 1400 AS desired FROM orders), folders AS (SELECT DISTINCT output_folder AS folder FROM manifest WHERE output_folder NOT LIKE '%7')"""
+
+
+def _renamed(spark, sf_dir):
+    k = F.col("o_orderkey") % 9500
+    sources = t.table(spark, sf_dir, "orders").select(k.alias("source"), F.concat(F.lit("out_"), (k % 1400).cast("string")).alias("desired")).distinct()
+    m = _manifest(spark, sf_dir)
+    return sources, m, m.select(F.col("output_folder").alias("folder")).distinct().filter("folder not like '%7'")
+
+
+@query(f"""WITH {_RENAMES}, e AS (SELECT source, arg_max(output_folder, pos) AS old_folder FROM manifest WHERE status IN ('success', 'renamed_existing') GROUP BY source),
+r AS (SELECT s.source, desired, old_folder, CASE WHEN old_folder IS NULL THEN 'not_found_in_previous_manifest' WHEN f.folder IS NULL THEN NULL WHEN old_folder = desired THEN 'already_current' ELSE 'renamed_existing' END AS status,
+  desired IN (SELECT folder FROM folders) AS taken FROM s LEFT JOIN e USING (source) LEFT JOIN folders f ON f.folder = e.old_folder),
+m AS (SELECT *, row_number() OVER (PARTITION BY desired ORDER BY source) AS k, row_number() OVER (PARTITION BY desired, left(old_folder, 8) ORDER BY source) AS q, first_value(left(old_folder, 8)) OVER (PARTITION BY desired ORDER BY source) AS fd FROM r WHERE status = 'renamed_existing'),
+n AS (SELECT *, q - (CASE WHEN left(old_folder, 8) = fd AND NOT taken THEN 1 ELSE 0 END) AS n FROM m)
+SELECT source, status, old_folder, CASE WHEN k = 1 AND NOT taken THEN desired ELSE desired || '_' || left(old_folder, 8) || CASE WHEN n > 1 THEN printf('_%02d', n) ELSE '' END END AS output_folder FROM n
+UNION ALL SELECT source, status, old_folder, CASE WHEN status = 'already_current' THEN old_folder END FROM r WHERE status IS NULL OR status <> 'renamed_existing'""")
+def rename_plan(spark, sf_dir) -> DataFrame:
+    return state.renames(*_renamed(spark, sf_dir))
+
+
+@query(f"""WITH {_RENAMES}, e AS (SELECT source, arg_max(output_folder, pos) AS own FROM manifest WHERE status IN ('success', 'already_current', 'renamed_existing') GROUP BY source),
+g AS (SELECT sha256((source % 1000)::VARCHAR) AS h, arg_min(output_folder, pos) AS dup FROM manifest WHERE pos % 3 = 0 GROUP BY h),
+r AS (SELECT s.source, desired, sha256((s.source % 1000)::VARCHAR) AS h, own, dup, f.folder AS there FROM s LEFT JOIN e USING (source) LEFT JOIN g ON g.h = sha256((s.source % 1000)::VARCHAR) LEFT JOIN folders f ON f.folder = dup),
+p AS (SELECT *, desired IN (SELECT folder FROM folders) AS taken, row_number() OVER (PARTITION BY desired ORDER BY source) AS k, row_number() OVER (PARTITION BY desired, h ORDER BY source) AS q, first_value(h) OVER (PARTITION BY desired ORDER BY source) AS fh FROM r WHERE own IS NULL AND dup IS NULL),
+n AS (SELECT *, q - (CASE WHEN h = fh AND NOT taken THEN 1 ELSE 0 END) AS n FROM p)
+SELECT source, 'pending' AS status, CASE WHEN k = 1 AND NOT taken THEN desired ELSE desired || '___' || left(h, 8) || CASE WHEN n > 1 THEN printf('_%02d', n) ELSE '' END END AS output_folder FROM n
+UNION ALL SELECT source, CASE WHEN own IS NOT NULL THEN CASE WHEN own = desired THEN 'already_current' ELSE 'renamed_existing' END WHEN there IS NOT NULL THEN 'renamed_existing' ELSE 'skipped_duplicate' END, coalesce(own, there) FROM r WHERE own IS NOT NULL OR dup IS NOT NULL""")
+def run_plan(spark, sf_dir) -> DataFrame:
+    sources, m, folders = _renamed(spark, sf_dir)
+    digest = F.sha2((F.col("source") % 1000).cast("string"), 256)
+    registry = m.filter("pos % 3 = 0").select(digest.alias("sha256"), "output_folder", "source", "pos")
+    return state.planned(sources.withColumn("sha256", digest), m, registry, folders)
+
+
 # fallback and quotas
 
 
