@@ -251,6 +251,10 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
     near = holders.select("print", "rows", F.explode("entities").alias("entity"), "words").join(small(entities.select("entity"), entities.count(), 16), "entity")
     near = near.select("print", "rows", "entity", F.explode("words").alias("term"))
     pairs = near.groupBy("entity", "term").agg(F.sum("rows").alias("both"), F.count("*").alias("texts")).filter(F.col("texts") >= MIN_CONTEXTS)
+    total = base.count()
+    for entity, n in entities.filter(kind).select("entity", "with_entity").collect():  # five at most
+        # the evidence grows with the share and is texts * -log(rate) where a term is never without the kind
+        pairs = pairs.filter((F.col("entity") != entity) | (F.col("texts") * float(-np.log(n / total)) >= EVIDENCE))
     pairs = store(pairs, "pii-pairs")
     candidates = pairs.select("term").distinct()
     passing = _sieve(candidates, candidates.count())
@@ -269,7 +273,6 @@ def disclosing_terms(docs: DataFrame, base: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["term", "n"])
 
     seen = docs.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("with_term"))
-    total = base.count()
     p = pairs.join(seen, "term").join(entities, "entity")
     rate = F.col("with_entity") / F.lit(float(max(total, 1)))
     share = F.least(F.lit(1.0), F.col("both") / F.col("with_term"))
