@@ -130,6 +130,9 @@ def test_names(spark):
     assert one(spark, names.repaired_member(F.lit("pl│in"), F.lit(False))) == "pl│in"
     assert one(spark, names.normal_filename(F.col("t")), t="Leccio\u0301n_niño_2026-08-31.MP4") == "leccion_nino.mp4"
     assert one(spark, names.normal_component(F.col("t")), t="CON") == "_con"
+    stem = lambda t, *a: one(spark, names.fit_stem(F.col("t"), *a), t=t)
+    assert stem("Curso-03: Niño / CON?") == "curso_03_nino_con" and stem("CON") == "_con" and stem("19x2-POSTURAS (FIJAS)") == "19x2_posturas_fijas"
+    assert stem("x" * 300, 20, "ab12cd34") == "x" * 9 + "___ab12cd34" and stem("ab cd ef", 19, "", ["_original.vtt"]) == "ab_cd" and stem("?", 20) == "_"
     assert one(spark, names.path_fits(F.col("t"), 5, 12), t="abc/éé/x") and not one(spark, names.path_fits(F.col("t"), 5, 12), t="abc/ééé/x")
     assert not one(spark, names.path_fits(F.col("t"), 5, 6), t="abc/é/x")
     assert one(spark, names.safe_directory(F.lit('a<b>:".zip. '))) == "a_b___.zip"

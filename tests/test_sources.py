@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuemill.sources import documents, storage, vtt
 from cuemill.streaming import polling
+from cuemill.streaming.stages import Cancelled, Stages
 
 
 def test_vtt(spark, tmp_path):
@@ -139,3 +140,28 @@ def test_stream(spark, tmp_path):
     q = polling.stream(spark, str(tmp_path / "src"), "provider string, ts timestamp, amount long", lambda df, _: seen.extend(polling.quota_windows(df).collect()), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert [(r.provider, r.used) for r in seen] == [("p", 5)]
+
+
+def test_stages_tell_and_stop(spark, tmp_path):
+    events = []
+    stages = Stages(events.append)
+    out = stages.run(spark.range(3), [("converting", lambda d: d.filter("id > 0")), ("translating", lambda d: d.filter("id > 1"))])
+    assert [r.id for r in out.collect()] == [2]
+    assert [(e["stage"], e["percent"], e["completed"], e["total"]) for e in events] == [("converting", 10, 0, 2), ("translating", 65, 1, 2)]
+
+    def cancelling(d):
+        stages.cancel.set()
+        return d
+
+    with pytest.raises(Cancelled):
+        stages.run(spark.range(3), [("converting", cancelling), ("translating", lambda d: 1 / 0)])
+    assert events[-1]["stage"] == "cancelled" and events[-1]["completed"] == 1
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.json").write_text('{"provider": "p"}\n')
+    seen, live = [], Stages(events.append)
+    start = lambda every=None: polling.stream(spark, str(tmp_path / "src"), "provider string", live.batches(lambda d, _: seen.extend(d.collect())), str(tmp_path / "cp"), every)
+    assert live.watch(start()) and len(seen) == 1 and live.completed == 1
+    query = start("1 second")
+    live.cancel.set()
+    assert not live.watch(query) and not query.isActive and events[-1]["stage"] == "cancelled"
