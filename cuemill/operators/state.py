@@ -91,13 +91,15 @@ def unique_stems(rows: DataFrame, taken: DataFrame | None = None, stem: str = "s
 
     Every row asks for its first choice; of those that ask for one name the first in order keeps it, the others ask for
     their next, until none has to: the same names as row by row.  Rows of one stem and hash ask in turn from the start, so
-    a second round is needed only where names of different stems meet.  order must tell rows apart.
+    a second round is needed only where names of different stems meet.  order must tell rows apart.  A null stem or hash is
+    an empty one.
     """
     by_stem, by_content = Window.partitionBy(stem).orderBy(order), Window.partitionBy(stem, F.substring(digest, 1, 8)).orderBy(order)
     first = F.when(F.row_number().over(by_stem) == 1, 0).otherwise(F.greatest(F.row_number().over(by_content) - 1, F.lit(1)))
     asking = rows.withColumn("_choice", first.cast("long"))
-    hashed = F.concat(F.col(stem), F.lit(joint), F.substring(digest, 1, 8))
-    name = F.when(F.col("_choice") == 0, F.col(stem)).when(F.col("_choice") == 1, hashed).otherwise(F.concat(hashed, F.format_string("_%02d", "_choice")))
+    own_stem = F.coalesce(F.col(stem).cast("string"), F.lit(""))
+    hashed = F.concat(own_stem, F.lit(joint), F.substring(F.coalesce(digest, F.lit("")), 1, 8))
+    name = F.when(F.col("_choice") == 0, own_stem).when(F.col("_choice") == 1, hashed).otherwise(F.concat(hashed, F.format_string("_%02d", "_choice")))
     held = None if taken is None else taken.select(F.col("stem").alias("output_stem")).distinct().withColumn("_held", F.lit(True))
     while True:
         asked = asking.withColumn("output_stem", name)

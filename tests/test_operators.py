@@ -288,6 +288,14 @@ def test_state(spark):
     assert got == {"1": "x", "2": "x___aaaaaaaa", "3": "x___aaaaaaaa_02", "4": "y___bbbbbbbb"}
 
 
+def test_unique_stems_of_nulls(spark):
+    rows = [(None, "1", None), (None, "2", None), ("", "3", "abc"), ("x", "4", None), ("x", "5", None)]
+    df = spark.createDataFrame(rows, "stem string, source string, sha256 string")
+    got = {x.source: x.output_stem for x in state.unique_stems(df).collect()}
+    assert got == {"1": "", "2": "___", "3": "___abc", "4": "x", "5": "x___"}
+    assert state.unique_stems(df.limit(0)).count() == 0
+
+
 def plain_stems(rows, taken):
     used, out = set(taken), {}
     for stem, source, digest in sorted(rows, key=lambda r: r[1]):
