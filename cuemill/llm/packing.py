@@ -44,11 +44,12 @@ class Chunks(dict):
     tokenizer (splits_at_space) is run on whole texts.
 
     A chunk not met before is made of its stem - the chunk without the marks at its end, A-Z lower-cased, as the tokenizer
-    splits and normalises it - and of these marks; the tokenizer runs only on new stems.  The last KNOWN_CHUNKS to twice
-    as many chunks stay in memory.
+    splits and normalises it - and of these marks; the tokenizer runs only on new stems.  The last `most` to twice as many
+    chunks stay in memory.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = KNOWN_CHUNKS):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -71,7 +72,7 @@ class Chunks(dict):
                 if len(body) < len(c):
                     got += self[c[len(body) :]]
         if len(c) <= LONGEST_KNOWN:
-            if len(self) >= KNOWN_CHUNKS:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[c] = got
@@ -86,18 +87,19 @@ class Chunks(dict):
 _tokenizers: dict[str, Chunks] = {}
 
 
-def chunks_of(path: str) -> Chunks:
+def chunks_of(path: str, most: int = KNOWN_CHUNKS) -> Chunks:
     if path not in _tokenizers:
         _tokenizers[path] = Chunks(path)
+    _tokenizers[path].most = most
     memories["chunks"] = time.monotonic(), _tokenizers.clear
     return _tokenizers[path]
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: bool = True, known_chunks: int = KNOWN_CHUNKS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (32-bit little-endian) of the pieces of documents.
 
     A document is the ids of its whole text and END_ID; one longer than capacity is cut into pieces of that length and
-    a rest.  vocabulary: the tokenizer's file, as the executors see it.  A null text is empty: END_ID alone.
+    a rest.  vocabulary: the tokenizer's file, as the executors see it.  known_chunks: how many chunks a worker remembers.  A null text is empty: END_ID alone.
     """
 
     @lean
@@ -110,7 +112,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
             path = vocabulary
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
-            known, out = chunks_of(path), []
+            known, out = chunks_of(path, known_chunks), []
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = known.ids(text or "") + end
                 for k in range(0, len(ids), 4 * capacity):
@@ -203,14 +205,14 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] =
     return ranked.mapInArrow(place, schema)
 
 
-def packed_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+def packed_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, with_ids: bool = True, known_chunks: int = KNOWN_CHUNKS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset of all pieces of documents.
 
     Nulls: a null doc_id is a document; an empty or null text is END_ID alone; repeated rows are documents of their own, and
     pieces alike in doc_id, piece and length take their places in the order of the files.  A text of any length is tokenised
     whole.  No documents, no rows.  Other columns are not read.
     """
-    return packed(store(pieces(docs, vocabulary, capacity, with_ids), "pack-pieces"), capacity)
+    return packed(store(pieces(docs, vocabulary, capacity, with_ids, known_chunks), "pack-pieces"), capacity)
 
 
 def op8_packing(spark, sf_dir) -> DataFrame:
