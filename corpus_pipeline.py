@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the mixed documents, their token ids (32-bit little-endian) and their places in sequences: the ids of a
     sequence_id by offset are a training sequence."""
-    return packing.packed_documents(docs)
+    return packing.packed_documents(docs, known_chunks=300_000)
 
 
 STAGES = [
