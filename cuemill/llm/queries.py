@@ -1,5 +1,6 @@
 """The queries of the corpus operators and, where SQL can express them, their oracles."""
 
+from .cohorts import OP13_SQL, op13_cohort_retention
 from .jaccard import op4_ngram_jaccard
 from .linededup import OP3_SQL, op3_line_dedup
 from .mixing import op9_mixing
@@ -22,9 +23,11 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
+    "op13_cohort_retention": op13_cohort_retention,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
+    "op13_cohort_retention": OP13_SQL,
 }
