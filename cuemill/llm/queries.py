@@ -1,6 +1,7 @@
 """The queries of the corpus operators and, where SQL can express them, their oracles."""
 
 from .cohorts import OP13_SQL, op13_cohort_retention
+from .divergence import OP11_SQL, op11_source_divergence
 from .jaccard import op4_ngram_jaccard
 from .linededup import OP3_SQL, op3_line_dedup
 from .mixing import op9_mixing
@@ -23,11 +24,13 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
+    "op11_source_divergence": op11_source_divergence,
     "op13_cohort_retention": op13_cohort_retention,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_topk": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
+    "op11_source_divergence": OP11_SQL,
     "op13_cohort_retention": OP13_SQL,
 }
