@@ -9,6 +9,7 @@ from .packing import op8_packing
 from .pii import op10_pii
 from .quality import op2_quality
 from .sharding import op5_sharding
+from .simhash import op12_simhash
 from .suffixes import op7_suffix_dedup
 from .tiff import op6_tiff
 from .topk import OP1_SQL, op1_topk
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_pii": op10_pii,
     "op11_source_divergence": op11_source_divergence,
+    "op12_simhash": op12_simhash,
     "op13_cohort_retention": op13_cohort_retention,
 }
 
