@@ -18,7 +18,8 @@ WORDS, SEED, BITS = 4, 42, 64
 DISTANCE = 4  # fingerprints link at so many differing bits, or fewer
 TREES = 4  # each for a quarter of the bits
 SAMPLE = 1 << 16  # fingerprints that the trees are grown from, at most; and an eighth of all, at most
-SHARD = 1 << 13  # fingerprints of a leaf, as the sample tells; what a side of a tile holds
+SHARD = 1 << 13  # fingerprints that live in a leaf, as the sample tells
+TILE = 4 * SHARD  # those of a leaf with its visitors, beyond which it is cut into parts
 LEAST_SAMPLE = 16
 LEAF = 1 << 16  # pairs that a task compares without growing its own tree any further
 VANTAGES = 6
@@ -206,12 +207,12 @@ def linked(x: np.ndarray, left: np.ndarray, right: np.ndarray, tree: int, distan
     return root
 
 
-def shards(nodes: DataFrame, total: int, sample: int = SAMPLE, shard: int = SHARD, distance: int = DISTANCE) -> DataFrame:
+def shards(nodes: DataFrame, total: int, sample: int = SAMPLE, shard: int = SHARD, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
     """tile, role, fp of the distinct fingerprints (fp) of nodes: in each tile those of role 0 or 2 are to be met with those of
     role 1 or 2; of any two that link one tile has both, so met.
 
     The trees are grown on the driver from at most `sample` fingerprints (and an eighth of all), chosen by hash; every
-    fingerprint is placed by them.  A leaf that got more than `shard` of them is cut by hash into parts, each two of which
+    fingerprint is placed by them.  A leaf that got more than `tile` of them, visitors included, is cut by hash into parts, each two of which
     are a tile.
     """
     spark = nodes.sparkSession
@@ -230,7 +231,7 @@ def shards(nodes: DataFrame, total: int, sample: int = SAMPLE, shard: int = SHAR
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, leaf * TREES + k, np.int32)), pa.array(np.full(n, own)), pa.array(x[i].view(np.int64))], names=["leaf", "own", "fp"])
 
     found = store(nodes.select("fp").mapInArrow(place, "leaf int, own boolean, fp long"), "simhash-placed")
-    leaves = found.groupBy("leaf").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts"))  # as many rows as the sample allows
+    leaves = found.groupBy("leaf").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))  # as many rows as the sample allows
     met = found.join(F.broadcast(leaves), "leaf").withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int"))
     # tile (i, j): own ones of part i, with the visitors of part j, and with its own ones if i <= j
     every = F.sequence(F.lit(0), F.col("parts") - 1)
