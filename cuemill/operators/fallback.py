@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import blank_to_null
+from . import running
 
 # What providers give for free.
 LIMITS = {"deepl": ("month", 500_000, "characters"), "mymemory": ("day", 100, "requests"), "my_memory": ("day", 100, "requests")}
@@ -114,32 +115,70 @@ def quota_usage(requests: DataFrame, amount: str = "amount") -> DataFrame:
     return requests.withColumn("window", quota_window()).groupBy("provider", "window").agg(F.sum(amount).alias("used"))
 
 
-def _reserve(batches):
-    at, used = None, 0
-    for b in batches:
-        key = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        amount, limit = b.column(3).to_pylist(), b.column(4).to_pylist()
-        ok, after = [], []
-        for k, n, most in zip(key, amount, limit, strict=True):
-            if k != at:
-                at, used = k, 0
-            fits = most is None or used + n <= most
-            if fits and most is not None:
-                used += n
-            ok.append(fits)
-            after.append(used if most is not None else None)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ok, pa.bool_()), pa.array(after, pa.int64())], names=[*b.schema.names, "accepted", "used"])
-
-
 def reserved(requests: DataFrame) -> DataFrame:
     """provider, window, req_id, amount, limit, accepted, used: each request in order takes its amount, or nothing.
 
-    requests: provider, window, req_id, amount, limit (null: unmetered).  A request above what is left is refused and takes
-    nothing, so this is no running sum.  The state of a window is one number that streams past the sorted rows of its task.
+    requests: provider, window, req_id, amount (0 or more), limit (null: unmetered).  A request above what is left is refused
+    and takes nothing, so this is no running sum; but it is one of few.  While half of what is left, or more, is still
+    left, requests of at most that half are all accepted; so a round takes the running sums of these alone, up to the
+    first place where they exceed the half, or where a larger request fits what is left then: that one is accepted too,
+    and either way at most half of the rest is left.  What no longer fits the rest is never looked at again.  A limit of L
+    takes log2(L) rounds at most, and as many jobs twice, however many requests and windows there are; all windows go side
+    by side, and one window is spread over blocks of requests, each the work of one task.
+
+    The state of a window is a row for each round: up to where it decides, and which amounts it accepts.  Only these rows
+    meet the requests.  Nothing is decided in Python.  Unmetered requests are accepted as they are, without a shuffle.
+    Ties of req_id go by amount.  A null amount is 0.  A request without a window of its own, but with a limit, counts in
+    the null window.
     """
-    rows = requests.select("provider", "window", "req_id", F.col("amount").cast("long"), F.col("limit").cast("long"))
-    dealt = rows.repartition("provider", "window").sortWithinPartitions("provider", "window", "req_id")
-    return dealt.mapInArrow(_reserve, T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField("used", T.LongType())]))
+    rows = requests.select("provider", "window", "req_id", F.coalesce(F.col("amount").cast("long"), F.lit(0)).alias("amount"), F.col("limit").cast("long").alias("limit"))
+    free = rows.filter("limit is null").select("*", F.lit(True).alias("accepted"), F.lit(None).cast("long").alias("used"))
+    # (p, w) names a window; a window's limit is the least that its requests state
+    keys, order = ["p", "w"], ["req_id", "amount", "_tie"]
+    metered = rows.filter("limit is not null").withColumns({"p": F.coalesce("provider", F.lit("")), "w": F.coalesce("window", F.lit("")), "_tie": F.monotonically_increasing_id()})
+    base = running.blocks(metered, keys, order, "quota-requests")
+    place = F.struct("block", *order)
+    start = F.struct(F.lit(-1).alias("block"), *[F.lit(None).cast(base.schema[c].dataType).alias(c) for c in order])
+    state = base.groupBy(*keys).agg(F.min("limit").alias("rest")).withColumn("at", start)
+    state = running.stored(state, "quota-state")
+    rounds, last = None, 0
+    while n := state.count():
+        open_rows = running.met(base, state, keys, n).filter((place > F.col("at")) & (F.col("amount") <= F.col("rest")))
+        half = F.expr("rest div 2")
+        small = F.when(F.col("amount") <= half, F.col("amount")).otherwise(0)
+        offsets = running.stored(running.before_blocks(open_rows, keys, small, "_before"), "quota-offsets")
+        upto = running.in_block(keys, order, small) + F.col("_before")
+        summed = running.met(open_rows, offsets, [*keys, "block"], offsets.count()).withColumn("_upto", upto)
+        large = F.col("amount") > half
+        turn = F.when(large, F.col("_upto") + F.col("amount") <= F.col("rest")).otherwise(F.col("_upto") > half)
+        event = F.when(turn, place)
+        took = F.col("_upto") + F.when(large, F.col("amount")).otherwise(0)
+        found = summed.groupBy(*keys, "rest", "at").agg(
+            F.min(event).alias("to"),
+            F.min_by(took, event).alias("took"),
+            F.min_by(large, event).alias("by_large"),
+        )
+        found = found.select(*keys, F.struct("at", "to", half.alias("half"), F.coalesce("by_large", F.lit(False)).alias("by_large"), F.lit(last).alias("round")).alias("round"), (F.col("rest") - F.col("took")).alias("rest"), F.col("to").alias("_next"))
+        found = running.stored(found, "quota-round")
+        one = found.select(*keys, "round")
+        rounds = one if rounds is None else rounds.unionByName(one)
+        # a window without an event has all its small requests accepted and is done
+        state = running.stored(found.filter("_next is not null").select(*keys, "rest", F.col("_next").alias("at")), "quota-state")
+        last += 1
+    if rounds is None:
+        return free.unionByName(rows.filter("false").select("*", F.lit(True).alias("accepted"), F.lit(0).cast("long").alias("used")))
+    decided = running.stored(rounds.groupBy(*keys).agg(F.collect_list("round").alias("rounds")), "quota-rounds")  # a window has few
+    out = running.met(base, decided, keys, decided.count(), 2048)
+    # the round that decides a request is the one whose stretch it is in; what a round passed over exceeds its half
+    mine = F.get(F.filter("rounds", lambda r: (place > r["at"]) & (r["to"].isNull() | (place <= r["to"]))), F.lit(0))
+    accepted = F.coalesce((F.col("amount") <= mine["half"]) | ((place == mine["to"]) & mine["by_large"]), F.lit(False))
+    out = out.withColumn("accepted", accepted).drop("rounds")
+    gone = F.when(F.col("accepted"), F.col("amount")).otherwise(0)
+    offsets = running.before_blocks(out, keys, gone, "_before")
+    used = running.in_block(keys, order, gone) + F.col("_before")
+    offsets = running.stored(offsets, "quota-used")
+    done = running.met(out, offsets, [*keys, "block"], offsets.count()).withColumn("used", used)
+    return done.select(*rows.columns, "accepted", "used").unionByName(free)
 
 
 def exhausted(requests: DataFrame, failures: DataFrame) -> DataFrame:
