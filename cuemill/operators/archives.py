@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
+import re
+import shutil
 import tempfile
 import zipfile
 
@@ -15,6 +16,9 @@ from pyspark.sql import types as T
 from ..functions.uris import is_junk, member_fault
 
 
+_JUNK = re.compile(r"(^|/)__MACOSX/|\.DS_Store$")  # as uris.is_junk
+
+
 def tree(items: DataFrame, most_depth: int) -> DataFrame:
     """id, depth, path of what hangs below the roots (id, parent; a root's parent is null), at most most_depth levels deep.
 
@@ -29,45 +33,46 @@ def tree(items: DataFrame, most_depth: int) -> DataFrame:
     return out
 
 
-def _members(source, path: str, depth: int, limits: tuple, state: dict, seen: frozenset, contents: bool):
-    """Rows of a ZIP file's members and of those of ZIP files in it; only these, and what is asked for, are inflated."""
+def _members(source, path: str, depth: int, limits: tuple, state: dict, contents: bool):
+    """Rows of a ZIP file's members, and then of those of the ZIP files in it; only these, and what is asked for, are inflated.
+
+    All members of a file count before any of the files in it is opened; junk counts for nothing and is never opened.
+    """
     most_depth, most_files, most_bytes = limits
     with zipfile.ZipFile(source) as z:
+        inner = []
         for info in z.infolist():
             if info.is_dir():
                 continue
-            state["files"] += 1
-            state["bytes"] += info.file_size
             link = (info.external_attr >> 16) & 0o170000 == 0o120000
-            fault = "files" if state["files"] > most_files else "bytes" if state["bytes"] > most_bytes else None
-            row = (path, depth, state["files"], info.filename, bool(info.flag_bits & 0x800), info.file_size, link, fault)
-            if fault:
+            junk = _JUNK.search(info.filename.replace("\\", "/")) is not None
+            state["files"] += not junk
+            state["bytes"] += 0 if junk else info.file_size
+            nested = info.filename.lower().endswith(".zip") and not link and not junk
+            limit = None if junk else "files" if state["files"] > most_files else "bytes" if state["bytes"] > most_bytes else "depth" if nested and depth == most_depth else None
+            yield (path, depth, None if junk else state["files"], info.filename, bool(info.flag_bits & 0x800), info.file_size, link, limit), z.read(info) if contents and not limit and not junk else None
+            if limit:
                 state["over"] = True
-                yield row, None
                 return
-            if not info.filename.lower().endswith(".zip") or link or depth == most_depth:
-                yield row, z.read(info) if contents else None
-                continue
-            with tempfile.SpooledTemporaryFile(max_size=64 << 20) as inner:
-                digest = hashlib.sha256()
+            inner += [info] * nested
+        for info in inner:
+            with tempfile.SpooledTemporaryFile(max_size=64 << 20) as held:
                 with z.open(info) as data:
-                    while part := data.read(1 << 20):
-                        digest.update(part)
-                        inner.write(part)
-                inner.seek(0)
-                yield row, inner.read() if contents else None
-                if digest.digest() not in seen:
-                    yield from _members(inner, f"{path}/{info.filename}", depth + 1, limits, state, seen | {digest.digest()}, contents)
-                    if state["over"]:
-                        return
+                    shutil.copyfileobj(data, held, 1 << 20)
+                held.seek(0)
+                yield from _members(held, f"{path}/{info.filename}", depth + 1, limits, state, contents)
+                if state["over"]:
+                    return
 
 
 def expanded(archives: DataFrame, most_depth: int = 5, most_files: int = 10_000, most_bytes: int = 10 << 30, contents: bool = False) -> DataFrame:
-    """A row for each member of ZIP archives (path, content) and of archives in them, in the order of the archives.
+    """A row for each member of ZIP archives (path, content) and of archives in them: for archives that fit into a row; unpacking
+    plans those of any size.
 
-    archive, container, depth, pos, name, utf8_flag, size, is_symlink, limit (exceeded here; nothing follows), error, junk,
-    fault (of the name), and content if asked for.  Counts run over nested archives too; an archive within itself is not
-    opened again.  Files that are no ZIP have an error.
+    archive, container, depth, pos (null for junk, which counts for nothing), name, utf8_flag, size, is_symlink, limit (files,
+    bytes or depth: exceeded here; nothing follows), error, junk, fault (of the name), and content if asked for.  A file's
+    members come, and count, before those of files in it.  An archive within itself exceeds the depth.  Files that are no
+    ZIP have an error.
     """
     names = ["archive", "container", "depth", "pos", "name", "utf8_flag", "size", "is_symlink", "limit", "error", "content"]
     schema = T.StructType.fromDDL("archive string, container string, depth int, pos long, name string, utf8_flag boolean, size long, is_symlink boolean, limit string, error string, content binary")
@@ -77,7 +82,7 @@ def expanded(archives: DataFrame, most_depth: int = 5, most_files: int = 10_000,
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 out, state = [], {"files": 0, "bytes": 0, "over": False}
                 try:
-                    for row, data in _members(io.BytesIO(content or b""), path, 0, (most_depth, most_files, most_bytes), state, frozenset([hashlib.sha256(content or b"").digest()]), contents):
+                    for row, data in _members(io.BytesIO(content or b""), path, 0, (most_depth, most_files, most_bytes), state, contents):
                         out.append((path, *row, None, data if contents else None))
                 except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError) as e:
                     out.append((path, path, 0, None, None, None, None, None, None, f"{type(e).__name__}: {e}", None))

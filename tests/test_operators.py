@@ -344,8 +344,26 @@ def test_nested_archives(spark, tmp_path):
     (tmp_path / "b.zip").write_bytes(b"no zip")
     files = spark.read.format("binaryFile").load(str(tmp_path))
     got = archives.expanded(files).collect()
-    assert [(r.name, r.depth, r.pos, r.junk, r.fault) for r in sorted((r for r in got if r.name), key=lambda r: r.pos)] == [
-        ("in.zip", 0, 1, False, None), ("x.mp4", 1, 2, False, None), ("__MACOSX/y", 1, 3, True, None), ("../evil", 0, 4, False, "parent")]
+    assert [(r.name, r.depth, r.pos, r.junk, r.fault) for r in got if r.name] == [
+        ("in.zip", 0, 1, False, None), ("../evil", 0, 2, False, "parent"), ("x.mp4", 1, 3, False, None), ("__MACOSX/y", 1, None, True, None)]
     assert [r.error for r in got if r.error]
-    assert [r.limit for r in archives.expanded(files, most_files=2).collect() if r.limit] == ["files"]
-    assert max(r.depth for r in archives.expanded(files, most_depth=0).collect()) == 0
+    # junk counts for nothing: three files are three files
+    assert [r.limit for r in archives.expanded(files, most_files=3).collect() if r.limit] == []
+    assert [(r.name, r.limit) for r in archives.expanded(files, most_files=2).collect() if r.limit] == [("x.mp4", "files")]
+    assert [(r.name, r.depth, r.limit) for r in archives.expanded(files, most_depth=0).collect() if r.limit] == [("in.zip", 0, "depth")]
+
+
+def test_junk_archives_are_not_opened(spark, tmp_path):
+    import io
+    import zipfile
+
+    inner = io.BytesIO()
+    with zipfile.ZipFile(inner, "w") as z:
+        z.writestr("hidden.mp4", "v")
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("__MACOSX/j1", "junk")
+        z.writestr("__MACOSX/j2.zip", inner.getvalue())
+        z.writestr("v.mp4", "v")
+        z.writestr("w.mp4", "w")
+    got = archives.expanded(spark.read.format("binaryFile").load(str(tmp_path)), most_files=2).collect()
+    assert [(r.name, r.pos, r.limit) for r in got] == [("__MACOSX/j1", None, None), ("__MACOSX/j2.zip", None, None), ("v.mp4", 1, None), ("w.mp4", 2, None)]
