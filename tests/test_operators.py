@@ -204,11 +204,22 @@ def test_pairs_of_names_by_brute_force(spark):
         x, y = set(a.split()), set(b.split())
         return 0.65 * SequenceMatcher(None, a, b).ratio() + 0.35 * len(x & y) / len(x | y)
 
-    for threshold in (0.7, 0.82, 0.95):
+    rows += [(70, "nnoy tocs"), (71, "tocs ynno"), (72, "zz"), (73, "zzz zzzz zz"), (74, "😀 né 😀a"), (75, "é😀 n😀 a"), (76, "a" * 40), (77, "a" * 13)]
+    df = spark.createDataFrame([*rows, (99, None)], "id int, key string")
+    for threshold, tile in ((0.1, 2048), (0.5, 7), (0.65, 2048), (0.7, 3), (0.82, 2048)):
         want = {(i, j) for i, a in rows for j, b in rows if plain(a, b) >= threshold}
-        assert {(x.left_id, x.right_id) for x in similarity.name_pairs(df, df, threshold).collect()} == want
-    with pytest.raises(ValueError, match="0.65"):
-        similarity.name_pairs(df, df, 0.65)
+        assert {(x.left_id, x.right_id) for x in similarity.name_pairs(df, df, threshold, tile).collect()} == want, threshold
+    with pytest.raises(ValueError, match="every pair"):
+        similarity.name_pairs(df, df, 0.0)
+
+
+def test_a_word_of_all_names_is_met_in_tiles(spark):
+    df = spark.range(300).selectExpr("id", "concat('talk n', id) as key")
+    on = spark.range(300).selectExpr("id as left_id", "'talk' as _w"), spark.range(200).selectExpr("id as right_id", "'talk' as _w")
+    met = similarity._tiled(*on, ["_w"], 50)
+    sizes = [r["count"] for r in met.groupBy("_i", "_j").count().collect()]
+    assert met.count() == 60_000 and len(sizes) == 24 and max(sizes) < 5000
+    assert similarity.name_pairs(df, df, 0.99, 20).count() == 300
 
 
 def test_listings(spark):
