@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import clean_name, safe_component
 from .lineage import cut
+from .running import before_blocks, blocks, in_block, met, stored
 
 RESUMABLE = ["success", "already_current", "renamed_existing"]
 
@@ -84,16 +86,105 @@ def reprocess_status(status: Column) -> Column:
     return F.when(failed > 0, F.when(done + partial > 0, "partial_failure").otherwise("error")).when(partial > 0, "partial_translation").otherwise("success")
 
 
-def unique_stems(rows: DataFrame, taken: DataFrame | None = None, stem: str = "stem", order: str = "source", digest: str = "sha256", joint: str = "___", own: str | None = None) -> DataFrame:
+def unique_stems(
+    rows: DataFrame, taken: DataFrame | None = None, stem: str = "stem", order: str = "source", digest: str = "sha256", joint: str = "___", own: str | None = None, most: int | None = None
+) -> DataFrame:
     """rows with output_stem, all different and none in taken (stem): by order, each takes the first that is free of its
     stem, the stem with three _ (or another joint) and the first 8 characters of its content's hash, and that with _02, _03
-    and so on.  A name in taken is free for the row whose column `own` has it.
+    and so on.  order must tell rows apart.  A null stem or hash is an empty one.
 
-    Every row asks for its first choice; of those that ask for one name the first in order keeps it, the others ask for
-    their next, until none has to: the same names as row by row.  Rows of one stem and hash ask in turn from the start, so
-    a second round is needed only where names of different stems meet.  order must tell rows apart.  A null stem or hash is
-    an empty one.
+    most: stems are cleaned and fitted: a name has at most so many bytes, and its stem gives way to what follows it.
+    own: a name in taken is free for the row whose column `own` has it.
+
+    The rows of one stem and hash take the numbers that are free, one after the other: the kth of them gets the kth number
+    that taken leaves free, which is k and as many more as there are taken ones before it.  So ranks among rows and
+    ranks among taken numbers give all names at once, by sorts whose keys spread over tasks, however many names are taken.
+    Only where a name can be read in two ways (a stem that ends like a numbered one) two rows may come to one name; then
+    the first in order keeps it, the other's stem or number counts as taken, and all is ranked again - as often as such
+    names meet in a chain.  With `own` a name may be free for one row alone: these rows ask round by round (_asked).
     """
+    if own is not None:
+        return _asked(rows, taken, stem, order, digest, joint, own)
+    names = rows.columns
+    text = F.coalesce(F.col(stem).cast("string"), F.lit(""))
+    own_rows = rows.withColumn("_s", text).withColumn("_d", F.substring(F.coalesce(digest, F.lit("")), 1, 8))
+    if most is not None:  # what a cut leaves of a stem is what it leaves of its longer cut, so stems that are cut alike are one
+        own_rows = own_rows.withColumn("_s", clean_name(F.col("_s"))).withColumn("_s", F.coalesce(F.nullif(safe_component(_fitted("_s", F.lit(most))), F.lit("")), F.lit("_")))
+    all_rows = stored(own_rows, "stems-rows")
+    ranked = _rank(_rank(all_rows, ["_s"], [order], "_at"), ["_s", "_d"], [order], "_in")
+    ranked = stored(ranked, "stems-ranked")
+    families = stored(ranked.select("_s", "_d").distinct(), "stems-families")
+
+    def name(n):
+        tail = F.when(n == 0, "").otherwise(F.concat(F.lit(joint), F.col("_d"), F.when(n == 1, "").otherwise(F.concat(F.lit("_"), F.lpad(n.cast("string"), F.greatest(F.lit(2), F.length(n.cast("string"))), F.lit("0"))))))
+        if most is None:
+            return F.concat("_s", tail)
+        return F.when(n == 0, F.col("_s")).otherwise(safe_component(F.concat(_fitted("_s", F.lit(most) - F.octet_length(tail)), tail)))
+
+    held = taken.select(F.col("stem").cast("string").alias("_name")).filter("_name is not null").distinct() if taken is not None else rows.sparkSession.createDataFrame([], "_name string")
+    held = stored(held, "stems-taken")
+    # a taken name as a stem, and as a number of a family: one name for each count of digits that a fitted one may have
+    lost = stored(families.select("_s", F.col("_s").alias("_name")).distinct().join(held, "_name", "left_semi").select("_s"), "stems-lost")
+    digits = F.regexp_extract("_name", "_([0-9]{2,9})$", 1)
+    read = held.withColumn("_digits", F.length(digits)).withColumn("_n", F.when(digits == "", 1).otherwise(digits.try_cast("long")))
+    plain = held.withColumn("_digits", F.lit(0)).withColumn("_n", F.lit(1).cast("long"))
+    read = read.filter((F.col("_n") >= 2) & ((F.col("_digits") == 2) | (F.col("_n") >= F.pow(F.lit(10), F.col("_digits") - 1))))
+    read = plain.unionByName(read).withColumn("_base", F.expr("if(_digits = 0, _name, left(_name, length(_name) - _digits - 1))")).drop("_name")
+    kinds = F.array(*[F.struct(F.lit(d).alias("_digits"), F.lit(1 if d == 0 else 10 ** (d - 1) if d > 2 else 2).cast("long").alias("_k")) for d in (0, *range(2, 10))])
+    bases = families.select("*", F.explode(kinds).alias("_v")).select("_s", "_d", "_v._digits", F.col("_v._k").alias("_k"))
+    bases = bases.withColumn("_whole", name(F.col("_k"))).withColumn("_base", F.expr("if(_digits = 0, _whole, left(_whole, length(_whole) - _digits - 1))"))
+    blocked = stored(bases.select("_s", "_d", "_digits", "_base").join(read, ["_base", "_digits"]).select("_s", "_d", "_n").distinct(), "stems-blocked")
+
+    while True:
+        # the first of a stem has the stem itself, unless that is lost; the others of its family follow it from there
+        gone = lost.withColumn("_lost", F.lit(True))
+        first = (F.col("_at") == 1) & F.col("_lost").isNull()
+        tops = ranked.filter("_at = 1").join(lost, "_s", "left_anti").select("_s", F.col("_d").alias("_top"))
+        asked = ranked.join(gone, "_s", "left").join(tops, "_s", "left")
+        place = F.col("_in") - F.when(F.coalesce(F.col("_top") == F.col("_d"), F.lit(False)), 1).otherwise(0)
+        asked = stored(asked.withColumn("_k", F.when(first, 0).otherwise(place).cast("long")).drop("_lost", "_top"), "stems-asked")
+        # v of the ith taken number is how many free ones come before it: the kth free number has those with v < k before it
+        steps = _rank(blocked, ["_s", "_d"], ["_n"], "_i").select("_s", "_d", (F.col("_n") - F.col("_i")).alias("_k"), F.lit(0).alias("_side"), F.lit(None).cast(rows.schema[order].dataType).alias(order))
+        asking = asked.filter("_k > 0").select("_s", "_d", "_k", F.lit(-1).alias("_side"), order)
+        both = blocks(steps.unionByName(asking), ["_s", "_d"], ["_k", "_side", order], "stems-steps")
+        one = F.when(F.col("_side") == 0, 1).otherwise(0)
+        offsets = stored(before_blocks(both, ["_s", "_d"], one, "_before"), "stems-offsets")
+        passed = met(both, offsets, ["_s", "_d", "block"], offsets.count()).withColumn("_passed", in_block(["_s", "_d"], ["_k", "_side", order], one) + F.col("_before"))
+        number = passed.filter("_side = -1").select(order, (F.col("_k") + F.col("_passed")).alias("_n"))
+        named = asked.join(number, order, "left").withColumn("_n", F.coalesce("_n", F.lit(0).cast("long")))
+        named = stored(named.withColumn("output_stem", name(F.col("_n"))), "stems-named")
+        met_twice = named.groupBy("output_stem").agg(F.min(order).alias("_first"), F.count("*").alias("_c")).filter("_c > 1")
+        losers = stored(named.join(met_twice, "output_stem").filter(F.col(order) != F.col("_first")).select("_s", "_d", "_n"), "stems-losers")
+        if losers.isEmpty():
+            return named.select(*names, "output_stem")
+        lost = stored(lost.unionByName(losers.filter("_n = 0").select("_s")).distinct(), "stems-lost")
+        blocked = stored(blocked.unionByName(losers.filter("_n > 0")).distinct(), "stems-blocked")
+
+
+def _fitted(c: str, budget: Column) -> Column:
+    """A stem within budget bytes, whole characters of it; what is cut ends in no blank, dot, _ or -."""
+    raw = F.encode(F.col(c), "UTF-8")
+    whole = F.octet_length(c) <= budget
+    # a cut within a character leaves up to three bytes of it, which are no text
+    short = F.greatest(budget, F.lit(1))
+    tries = [F.expr("cast(null as string)")]
+    for back in range(4):
+        piece = F.substring(raw, F.lit(1), (short - back).cast("int"))
+        tries.append(F.when(F.is_valid_utf8(piece.cast("string")), piece.cast("string")))
+    return F.when(whole, F.col(c)).otherwise(F.regexp_replace(F.coalesce(*tries[1:]), "[ ._-]+$", ""))
+
+
+def _rank(rows: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """rows with their rank (long, from 1) among those of their key, a key's rows spread over blocks."""
+    cut_rows = blocks(rows, keys, order, "ranks")
+    one = F.lit(1)
+    offsets = stored(before_blocks(cut_rows, keys, one, "_before"), "ranks-offsets")
+    return met(cut_rows, offsets, [*keys, "block"], offsets.count()).withColumn(out, in_block(keys, order, one) + F.col("_before")).drop("block", "_before")
+
+
+def _asked(rows: DataFrame, taken: DataFrame | None, stem: str, order: str, digest: str, joint: str, own: str | None) -> DataFrame:
+    """unique_stems by asking: every row asks for its first choice; of those that ask for one name the first in order keeps it,
+    the others ask for their next, until none has to."""
     by_stem, by_content = Window.partitionBy(stem).orderBy(order), Window.partitionBy(stem, F.substring(digest, 1, 8)).orderBy(order)
     first = F.when(F.row_number().over(by_stem) == 1, 0).otherwise(F.greatest(F.row_number().over(by_content) - 1, F.lit(1)))
     asking = rows.withColumn("_choice", first.cast("long"))
@@ -132,19 +223,24 @@ def renames(sources: DataFrame, manifest: DataFrame, folders: DataFrame) -> Data
     return named.drop("_digest").withColumnRenamed("output_stem", "output_folder").unionByName(rest).select("source", "status", "old_folder", "output_folder")
 
 
-def planned(sources: DataFrame, manifest: DataFrame, registry: DataFrame, folders: DataFrame, artefacts: DataFrame | None = None) -> DataFrame:
+#: Bytes of a file name, and the longest ending that a run gives to an output's stem.
+MOST_NAME, LONGEST_ENDING = 255, "_original.vtt"
+
+
+def planned(sources: DataFrame, manifest: DataFrame, registry: DataFrame, folders: DataFrame, artefacts: DataFrame | None = None, most: int = MOST_NAME - len(LONGEST_ENDING)) -> DataFrame:
     """What a run does with each source (source, sha256, desired): status and output_folder.
 
     Resumed sources, all of whose artefacts are there, stay (already_current) or are to be renamed (renamed_existing).  Of the
     others, those whose content the registry has are renamed_existing if its folder is still among folders (folder), else
-    skipped_duplicate.  The rest is pending, each with a folder name of its own.
+    skipped_duplicate.  The rest is pending, each with a folder name of its own, cleaned and of at most `most` bytes, so that
+    the names of its files fit too; where a hash or number tells names apart, it is the stem that gives way.
     """
     resumed = resume_split(sources, manifest, artefacts).withColumnRenamed("output_folder", "_own")
     known = first_duplicates(resumed, registry).join(folders.select(F.col("folder").alias("_folder"), F.lit(True).alias("_there")).distinct(), F.col("duplicate.output_folder") == F.col("_folder"), "left")
     folder = F.when(F.col("resumed"), F.col("_own")).when(F.col("_there"), F.col("_folder"))
     rows = known.select("source", "sha256", "desired", "resumed", F.col("duplicate").isNotNull().alias("duplicate"), folder.alias("folder"), F.lit(False).alias("failed"))
     rows = source_status(rows)
-    new = unique_stems(rows.filter("status = 'success'"), folders.select(F.col("folder").alias("stem")), "desired")
+    new = unique_stems(rows.filter("status = 'success'"), folders.select(F.col("folder").alias("stem")), "desired", most=most)
     new = new.select("source", F.lit("pending").alias("status"), F.col("output_stem").alias("output_folder"))
     return new.unionByName(rows.filter("status <> 'success'").select("source", "status", F.col("folder").alias("output_folder")))
 

@@ -307,14 +307,15 @@ def test_unique_stems_of_nulls(spark):
     assert state.unique_stems(df.limit(0)).count() == 0
 
 
-def plain_stems(rows, taken):
+def plain_stems(rows, taken, fit=None):
     used, out = set(taken), {}
+    name = lambda stem, tail: fit(stem, tail) if fit else stem + tail
     for stem, source, digest in sorted(rows, key=lambda r: r[1]):
-        name, k = stem, 1
-        while name in used:
-            name, k = f"{stem}___{digest[:8]}" + (f"_{k:02d}" if k > 1 else ""), k + 1
-        used.add(name)
-        out[source] = name
+        got, k = name(stem, ""), 1
+        while got in used:
+            got, k = name(stem, f"___{digest[:8]}" + (f"_{k:02d}" if k > 1 else "")), k + 1
+        used.add(got)
+        out[source] = got
     return out
 
 
@@ -322,13 +323,43 @@ def test_unique_stems_as_one_by_one(spark):
     import random
 
     r = random.Random(3)
-    stems = ["x", "x___aaaaaaaa", "x___aaaaaaaa_02", "y", "y___bbbbbbbb"]
-    for _ in range(4):
-        rows = [(r.choice(stems), f"{k:03d}", r.choice("ab") * 9) for k in range(40)]
-        taken = ["y", "x___bbbbbbbb_03"]
+    stems = ["x", "x___aaaaaaaa", "x___aaaaaaaa_02", "y", "y___bbbbbbbb", "x___aaaaaaaa_03___aaaaaaaa"]
+    for n in (40, 90):
+        rows = [(r.choice(stems), f"{k:03d}", r.choice("ab") * 9) for k in range(n)]
+        taken = ["y", "x___bbbbbbbb_03", "x___bbbbbbbb_01", "x___bbbbbbbb_002", "x___bbbbbbbb_3", "x___aaaaaaaa_02", "z"]
         df = spark.createDataFrame(rows, "stem string, source string, sha256 string")
         got = {x.source: x.output_stem for x in state.unique_stems(df, spark.createDataFrame([(t,) for t in taken], "stem string")).collect()}
-        assert got == plain_stems(rows, taken) and len(set(got.values())) == 40
+        assert got == plain_stems(rows, taken) and len(set(got.values())) == n
+
+
+def test_unique_stems_among_many_taken_numbers(spark, monkeypatch):
+    """The jobs do not grow with the numbers that are taken."""
+    stored, names = state.stored, []
+    monkeypatch.setattr(state, "stored", lambda df, name: names.append(name) or stored(df, name))
+    taken = ["x", "x___aaaaaaaa", *(f"x___aaaaaaaa_{k:02d}" for k in range(2, 260) if k % 5)]
+    rows = [("x", f"{k:03d}", "a" * 9) for k in range(80)]
+    df = spark.createDataFrame(rows, "stem string, source string, sha256 string")
+    got = {x.source: x.output_stem for x in state.unique_stems(df, spark.createDataFrame([(t,) for t in taken], "stem string")).collect()}
+    assert got == plain_stems(rows, taken)
+    assert names.count("stems-named") == 1 and len(names) < 20
+
+
+def test_unique_stems_that_fit(spark):
+    def fit(stem, tail, most=40):
+        raw = stem.encode()
+        room = most - len(tail.encode())
+        if len(raw) > room:
+            stem = raw[:room].decode(errors="ignore").rstrip(" ._-")
+        return stem + tail or "_"
+
+    long = "lesson_" * 9
+    rows = [(s, f"{k:03d}", d * 9) for k, (s, d) in enumerate([(long, "a"), (long + "x", "a"), (long, "a"), (long + "y", "b"), ("short", "a"), ("short", "a"), ("żółw" * 20, "a"), ("żółw" * 21, "a")] * 3)]
+    taken = [fit(long, "___aaaaaaaa"), fit(long, "___aaaaaaaa_03")]
+    df = spark.createDataFrame(rows, "stem string, source string, sha256 string")
+    cleaned = {r.stem: r.c for r in df.select("stem", names.clean_name(F.col("stem")).alias("c")).distinct().collect()}
+    got = {x.source: x.output_stem for x in state.unique_stems(df, spark.createDataFrame([(t,) for t in taken], "stem string"), most=40).collect()}
+    assert got == plain_stems([(cleaned[s], o, d) for s, o, d in rows], taken, fit)
+    assert max(len(x.encode()) for x in got.values()) <= 40 and len(set(got.values())) == len(rows)
 
 
 def test_timeline(spark):
