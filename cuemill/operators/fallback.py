@@ -141,14 +141,15 @@ def reserved(requests: DataFrame) -> DataFrame:
     start = F.struct(F.lit(-1).alias("block"), *[F.lit(None).cast(base.schema[c].dataType).alias(c) for c in order])
     state = base.groupBy(*keys).agg(F.min("limit").alias("rest")).withColumn("at", start)
     state = running.stored(state, "quota-state")
-    rounds, last = None, 0
-    while n := state.count():
+    rounds, last, n = None, 0, state.count()
+    most_blocks = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while n:
         open_rows = running.met(base, state, keys, n).filter((place > F.col("at")) & (F.col("amount") <= F.col("rest")))
         half = F.expr("rest div 2")
         small = F.when(F.col("amount") <= half, F.col("amount")).otherwise(0)
         offsets = running.stored(running.before_blocks(open_rows, keys, small, "_before"), "quota-offsets")
         upto = running.in_block(keys, order, small) + F.col("_before")
-        summed = running.met(open_rows, offsets, [*keys, "block"], offsets.count()).withColumn("_upto", upto)
+        summed = running.met(open_rows, offsets, [*keys, "block"], n * most_blocks).withColumn("_upto", upto)
         large = F.col("amount") > half
         turn = F.when(large, F.col("_upto") + F.col("amount") <= F.col("rest")).otherwise(F.col("_upto") > half)
         event = F.when(turn, place)
@@ -158,13 +159,13 @@ def reserved(requests: DataFrame) -> DataFrame:
             F.min_by(took, event).alias("took"),
             F.min_by(large, event).alias("by_large"),
         )
-        found = found.select(*keys, F.struct("at", "to", half.alias("half"), F.coalesce("by_large", F.lit(False)).alias("by_large"), F.lit(last).alias("round")).alias("round"), (F.col("rest") - F.col("took")).alias("rest"), F.col("to").alias("_next"))
+        found = found.select(*keys, F.struct("at", "to", half.alias("half"), F.coalesce("by_large", F.lit(False)).alias("by_large"), F.lit(last).alias("nth")).alias("round"), (F.col("rest") - F.col("took")).alias("rest"), F.col("to").alias("_next"))
         found = running.stored(found, "quota-round")
         one = found.select(*keys, "round")
         rounds = one if rounds is None else rounds.unionByName(one)
         # a window without an event has all its small requests accepted and is done
-        state = running.stored(found.filter("_next is not null").select(*keys, "rest", F.col("_next").alias("at")), "quota-state")
-        last += 1
+        state = found.filter("_next is not null").select(*keys, "rest", F.col("_next").alias("at"))
+        n, last = state.count(), last + 1
     if rounds is None:
         return free.unionByName(rows.filter("false").select("*", F.lit(True).alias("accepted"), F.lit(0).cast("long").alias("used")))
     decided = running.stored(rounds.groupBy(*keys).agg(F.collect_list("round").alias("rounds")), "quota-rounds")  # a window has few

@@ -115,11 +115,12 @@ def unique_stems(
     ranked = stored(ranked, "stems-ranked")
     families = stored(ranked.select("_s", "_d").distinct(), "stems-families")
 
-    def name(n):
-        tail = F.when(n == 0, "").otherwise(F.concat(F.lit(joint), F.col("_d"), F.when(n == 1, "").otherwise(F.concat(F.lit("_"), F.lpad(n.cast("string"), F.greatest(F.lit(2), F.length(n.cast("string"))), F.lit("0"))))))
-        if most is None:
-            return F.concat("_s", tail)
-        return F.when(n == 0, F.col("_s")).otherwise(safe_component(F.concat(_fitted("_s", F.lit(most) - F.octet_length(tail)), tail)))
+    def with_name(df, n, out):
+        number = F.when(n < 2, "").otherwise(F.concat(F.lit("_"), F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))))
+        df = df.withColumn("_tail", F.concat(F.lit(joint), F.col("_d"), number))
+        stem_of = F.col("_s") if most is None else _fitted("_s", F.lit(most) - F.octet_length("_tail"))
+        whole = F.concat(stem_of, F.col("_tail"))
+        return df.withColumn(out, F.when(n == 0, F.col("_s")).otherwise(whole if most is None else safe_component(whole))).drop("_tail")
 
     held = taken.select(F.col("stem").cast("string").alias("_name")).filter("_name is not null").distinct() if taken is not None else rows.sparkSession.createDataFrame([], "_name string")
     held = stored(held, "stems-taken")
@@ -132,7 +133,7 @@ def unique_stems(
     read = plain.unionByName(read).withColumn("_base", F.expr("if(_digits = 0, _name, left(_name, length(_name) - _digits - 1))")).drop("_name")
     kinds = F.array(*[F.struct(F.lit(d).alias("_digits"), F.lit(1 if d == 0 else 10 ** (d - 1) if d > 2 else 2).cast("long").alias("_k")) for d in (0, *range(2, 10))])
     bases = families.select("*", F.explode(kinds).alias("_v")).select("_s", "_d", "_v._digits", F.col("_v._k").alias("_k"))
-    bases = bases.withColumn("_whole", name(F.col("_k"))).withColumn("_base", F.expr("if(_digits = 0, _whole, left(_whole, length(_whole) - _digits - 1))"))
+    bases = with_name(bases, F.col("_k"), "_whole").withColumn("_base", F.expr("if(_digits = 0, _whole, left(_whole, length(_whole) - _digits - 1))"))
     blocked = stored(bases.select("_s", "_d", "_digits", "_base").join(read, ["_base", "_digits"]).select("_s", "_d", "_n").distinct(), "stems-blocked")
 
     while True:
@@ -152,7 +153,7 @@ def unique_stems(
         passed = met(both, offsets, ["_s", "_d", "block"], offsets.count()).withColumn("_passed", in_block(["_s", "_d"], ["_k", "_side", order], one) + F.col("_before"))
         number = passed.filter("_side = -1").select(order, (F.col("_k") + F.col("_passed")).alias("_n"))
         named = asked.join(number, order, "left").withColumn("_n", F.coalesce("_n", F.lit(0).cast("long")))
-        named = stored(named.withColumn("output_stem", name(F.col("_n"))), "stems-named")
+        named = stored(with_name(named, F.col("_n"), "output_stem"), "stems-named")
         met_twice = named.groupBy("output_stem").agg(F.min(order).alias("_first"), F.count("*").alias("_c")).filter("_c > 1")
         losers = stored(named.join(met_twice, "output_stem").filter(F.col(order) != F.col("_first")).select("_s", "_d", "_n"), "stems-losers")
         if losers.isEmpty():
@@ -163,15 +164,9 @@ def unique_stems(
 
 def _fitted(c: str, budget: Column) -> Column:
     """A stem within budget bytes, whole characters of it; what is cut ends in no blank, dot, _ or -."""
-    raw = F.encode(F.col(c), "UTF-8")
-    whole = F.octet_length(c) <= budget
-    # a cut within a character leaves up to three bytes of it, which are no text
-    short = F.greatest(budget, F.lit(1))
-    tries = [F.expr("cast(null as string)")]
-    for back in range(4):
-        piece = F.substring(raw, F.lit(1), (short - back).cast("int"))
-        tries.append(F.when(F.is_valid_utf8(piece.cast("string")), piece.cast("string")))
-    return F.when(whole, F.col(c)).otherwise(F.regexp_replace(F.coalesce(*tries[1:]), "[ ._-]+$", ""))
+    cut_bytes = F.substring(F.encode(F.col(c), "UTF-8"), F.lit(1), F.greatest(budget, F.lit(1)).cast("int")).cast("string")
+    # half a character at the end becomes a replacement mark, and goes
+    return F.when(F.octet_length(c) <= budget, F.col(c)).otherwise(F.regexp_replace(F.make_valid_utf8(cut_bytes), "[\ufffd ._-]+$", ""))
 
 
 def _rank(rows: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
