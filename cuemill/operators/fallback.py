@@ -40,12 +40,14 @@ def cascade(rows: DataFrame, outputs: list[tuple[str, str, str | None]], text: s
 def passes(rows: DataFrame, providers: list[tuple[str, Callable[[DataFrame], DataFrame]]], key: str = "seq", text: str = "text") -> DataFrame:
     """The cascade for providers that cost: each is asked only for what its predecessors left open.
 
-    A provider maps rows to (key, output); its calls should retry and catch inside (called()).  Results are kept by the
-    caller between passes where providers are not repeatable.
+    A provider maps rows to (key, output); its calls should retry and catch inside (called()).  What it gives is stored before
+    the next one is asked, so each text is sent to a provider once, whatever reads the result and however often.
     """
-    open_, done = rows, None
+    open_, done = running.stored(rows, "passes-rows") if providers else rows, None
+    rows = open_
     for name, ask in providers:
         got = ask(open_).select(key, blank_to_null(F.col("output")).alias("translated")).filter("translated is not null").withColumn("provider", F.lit(name))
+        got = running.stored(got, "passes-got")
         done = got if done is None else done.unionByName(got)
         open_ = open_.join(got, key, "left_anti")
     out = rows.join(done, key, "left") if done is not None else rows.withColumns({"translated": F.lit(None).cast("string"), "provider": F.lit(None).cast("string")})

@@ -33,14 +33,15 @@ def subtitle_choice(files: DataFrame, original: bool, key: str = "folder", mark:
     return rows.groupBy(key).agg(F.min_by("name", F.struct((~wanted).alias("w"), F.lower("name").alias("l"), F.col("name").alias("n"))).alias("name"))
 
 
-def video_choice(files: DataFrame, key: str = "folder", order: str = "name") -> DataFrame:
-    """For each folder the video that subtitles are made from: the first mp4 by order, else the first other one.
+def video_choice(files: DataFrame, key: str = "folder") -> DataFrame:
+    """For each folder the video that subtitles are made from: the first mp4, else the first other one, by lower-cased name
+    as listings have it, and by name where that is equal.
 
     Synthesised videos are never chosen: a folder that has only these has no row.
     """
     ext = _ext(F.col("name"))
     rows = files.filter(ext.isin(VIDEO) & ~_synthesised(F.col("name")))
-    return rows.groupBy(key).agg(F.min_by("name", F.struct((ext != ".mp4").alias("e"), F.col(order).alias("o"), F.col("name").alias("n"))).alias("name"))
+    return rows.groupBy(key).agg(F.min_by("name", F.struct((ext != ".mp4").alias("e"), F.lower("name").alias("l"), F.col("name").alias("n"))).alias("name"))
 
 
 def reprocess_video(files: DataFrame, key: str = "folder") -> DataFrame:

@@ -43,6 +43,56 @@ def rendered(cues: DataFrame, key: str = "media_id") -> DataFrame:
     return cues.select(key, "seq", "start_sample", "target_samples", "audio").groupBy(key).applyInArrow(render, f"{key} {kind}, samples array<double>")
 
 
+TILE = 24_000 * 60  # samples
+
+
+def _overlaid(kind: pa.DataType, key: str, tile_samples: int):
+    """Lays the pieces of one tile after the other over silence, in the order they come: memory is that of one tile."""
+
+    def run(batches):
+        at, out = None, None
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([at[0]], kind), pa.array([at[1]], pa.int64()), pa.array([at[1] * tile_samples], pa.int64()), pa.array([np.clip(out, -1, 1)], pa.list_(pa.float64()))], names=[key, "tile", "start_sample", "samples"])
+        for b in batches:
+            keys, tiles, offsets, sizes = (b.column(k).to_pylist() for k in (0, 1, 3, 4))
+            pieces = b.column(5)
+            for k in range(b.num_rows):
+                if (keys[k], tiles[k]) != at:
+                    if at:
+                        yield row()
+                    at, out = (keys[k], tiles[k]), np.zeros(sizes[k])  # a tile's first row is its silence
+                piece = pieces[k].values
+                if piece is not None and len(piece):
+                    out[offsets[k] : offsets[k] + len(piece)] = piece.to_numpy(zero_copy_only=False)
+        if at:
+            yield row()
+
+    return run
+
+
+def tiled(cues: DataFrame, key: str = "media_id", tile_samples: int = TILE) -> DataFrame:
+    """key, tile, start_sample, samples: the timeline that rendered() gives, cut into tiles of tile_samples; the last is shorter.
+
+    Each cue's audio is cut at the tiles' edges, and the pieces of a tile are laid over each other in the order of seq, later
+    ones on top.  So a medium is spread over tasks, and a task holds one tile, however long the medium is and however many
+    cues meet in it.  Media without any audio have a tile of two samples, as they have two samples there.
+    """
+    size = F.least(F.size(F.coalesce("audio", F.array().cast("array<double>"))), F.col("target_samples")).cast("long")
+    cut = cues.select(key, F.col("seq").cast("long").alias("seq"), F.col("start_sample").cast("long").alias("s"), size.alias("n"), "audio")
+    length = cut.groupBy(key).agg(F.greatest(F.lit(2), F.max(F.col("s") + F.col("n"))).cast("long").alias("length"))
+    tiles = length.withColumn("tile", F.explode(F.expr(f"sequence(0L, (length - 1) div {tile_samples}L)")))
+    silence = tiles.select(key, "tile", F.lit(None).cast("long").alias("seq"), F.lit(0).cast("long").alias("offset"), F.least(F.lit(tile_samples), F.col("length") - F.col("tile") * tile_samples).cast("long").alias("size"), F.lit(None).cast("array<double>").alias("piece"))
+    parts = cut.filter("n > 0").withColumn("tile", F.explode(F.expr(f"sequence(s div {tile_samples}L, (s + n - 1) div {tile_samples}L)")))
+    begin = F.greatest(F.col("s"), F.col("tile") * tile_samples)
+    end = F.least(F.col("s") + F.col("n"), (F.col("tile") + 1) * tile_samples)
+    piece = F.slice("audio", (begin - F.col("s") + 1).cast("int"), (end - begin).cast("int"))
+    pieces = parts.select(key, "tile", "seq", (begin - F.col("tile") * tile_samples).alias("offset"), F.lit(None).cast("long").alias("size"), piece.cast("array<double>").alias("piece"))
+    dealt = silence.unionByName(pieces).repartition(key, "tile").sortWithinPartitions(F.col(key), F.col("tile"), F.col("seq").asc_nulls_first())
+    kind = cues.schema[key].dataType
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return dealt.mapInArrow(_overlaid(to_arrow_type(kind), key, tile_samples), T.StructType([T.StructField(key, kind), *T.StructType.fromDDL("tile long, start_sample long, samples array<double>").fields]))
+
+
 def synthesised(cues: DataFrame, speak, rate: int = 24000) -> DataFrame:
     """cues (text, language, voice, speed) with audio (array<double> at `rate`) and n_samples of what speak gives.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.outputs import Outputs
+from ..sources.outputs import Once, Outputs
 from .listings import TRANSCRIPTS, VIDEO
 
 # How far cues may be off, and what a plausible number of them is.
@@ -19,9 +19,13 @@ EPSILON, MOST_OVERLAP, MOST_CUES, MOST_GROWTH, GROWTH_SLACK = 0.001, 10.0, 100_0
 MODES = ("stt_only", "translate_only", "full")
 
 
-def isolated(rows: DataFrame, work: Callable[[dict], dict], result: str) -> DataFrame:
+def isolated(rows: DataFrame, work: Callable[[dict], dict], result: str, once: Once | None = None, key: str = "folder") -> DataFrame:
     """rows with status, error_type, error and the columns of `result` (DDL) that work(row) gives; a row that raises is an
-    error of its own, and the others stand.  A work's own "status" is kept; without one it is success."""
+    error of its own, and the others stand.  A work's own "status" is kept; without one it is success.
+
+    A plan may run more than once: for two actions, or where a task is tried again.  With `once`, work is done once for each
+    value of `key` in that run, and every other time its outcome is read; its results are then to be what JSON holds.
+    """
     own = T.StructType.fromDDL(result)
     names = rows.columns
     extra = [f for f in own.fields if f.name not in ("status", *names)]
@@ -30,15 +34,24 @@ def isolated(rows: DataFrame, work: Callable[[dict], dict], result: str) -> Data
 
     arrow = to_arrow_schema(schema)
 
+    def outcome(row: dict) -> dict:
+        if once:
+            return once.do(str(row[key]), lambda again: work(dict(row)) or {})
+        try:
+            return {"outcome": work(dict(row)) or {}}
+        except Exception as e:  # whatever fails is this row's
+            return {"error_type": type(e).__name__, "error": str(e)}
+
     def run(batches):
         for b in batches:
             out = []
             for row in b.to_pylist():
-                try:
-                    got = work(dict(row)) or {}
-                    out.append({**row, "status": got.get("status", "success"), "error_type": None, "error": None, **{f.name: got.get(f.name) for f in extra}})
-                except Exception as e:  # whatever fails is this row's
-                    out.append({**row, "status": "error", "error_type": type(e).__name__, "error": str(e)})
+                told = outcome(row)
+                if "outcome" in told:
+                    got = told["outcome"]
+                    out.append({**row, "status": got.get("status", "success"), **{f.name: got.get(f.name) for f in extra}})
+                else:
+                    out.append({**row, "status": "error", "error_type": told["error_type"], "error": told["error"]})
             yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in arrow.names} for r in out], schema=arrow)
 
     return rows.mapInArrow(run, schema)
@@ -80,10 +93,32 @@ def replace(outputs: Outputs, folder: tuple[str, ...], name: str, data: bytes, s
     if outputs.exists(*folder, name):
         copy = backup_name(outputs, folder, name, stamp)
         outputs.copy((*folder, name), (*folder, copy))
-    outputs.write(data, *folder, name)  # under its name only once it is whole
+    try:
+        outputs.write(data, *folder, name)  # under its name only once it is whole
+    except BaseException:
+        if copy:
+            outputs.delete(*folder, copy)
+        raise
     return copy
 
 
+def published(outputs: Outputs, files: list[tuple[tuple[str, ...], str, bytes]], stamp: str | None, record: Callable[[list[str]], None]) -> None:
+    """Replaces files (folder, name, data) and then calls record(copies); if any of it fails, what was there before is there again."""
+    done: list[tuple[tuple[str, ...], str, str | None]] = []
+    try:
+        for where, name, data in files:
+            done.append((where, name, replace(outputs, where, name, data, stamp)))
+        record([c for _, _, c in done if c])
+    except BaseException:
+        for where, name, copy in reversed(done):
+            if copy:
+                outputs.write(outputs.read(*where, copy), *where, name)
+                outputs.delete(*where, copy)
+            else:
+                outputs.delete(*where, name)
+        raise
+
+
 def _first(names: Iterable[str], *tests) -> str | None:
     names = list(names)
     for test in tests:
@@ -112,7 +147,7 @@ def reprocess(
     """Makes a folder's subtitles anew and publishes them only if all of them are valid; returns what its history records.
 
     stt_only: the original transcription from the video; translate_only: the translation from the original one; full: both.
-    What is replaced stays beside it under a dated name.  A failure before the first publication changes nothing.
+    What is replaced stays beside it under a dated name.  A failure changes nothing: files that had been replaced by then are restored.
     """
     mode = mode.lower().replace("-", "_")
     if mode not in MODES:
@@ -146,7 +181,6 @@ def reprocess(
         translated = checked(translate(cues), had, "new translation")
         failed = sum(bool(c.get("translation_failed")) for c in translated)
         publish.append(((folder,), old_translated or f"{stem}_{language.lower()}.vtt", render(translated)))
-    copies = [replace(outputs, where, name, data, stamp) for where, name, data in publish]
     result = {
         "operation": "reprocess_subtitles",
         "mode": mode,
@@ -156,16 +190,25 @@ def reprocess(
         "segments": len(cues),
         "translation_failed_segments": failed,
         "published": [name for _, name, _ in publish],
-        "backups": [c for c in copies if c],
+        "backups": [],
     }
-    outputs.write(json.dumps(result, ensure_ascii=False, indent=2).encode(), folder, "reprocess_history", f"reprocess_{stamp}.json")
+
+    def record(copies):
+        result["backups"] = copies
+        outputs.write(json.dumps(result, ensure_ascii=False, indent=2).encode(), folder, "reprocess_history", f"reprocess_{stamp}.json")
+
+    published(outputs, publish, stamp, record)
     return result
 
 
-def reprocess_all(folders: DataFrame, outputs: Outputs, mode: str, language: str, **steps) -> DataFrame:
-    """folders (folder) with what reprocess gives for each of them, side by side on the executors; a folder that fails stays as it was."""
+def reprocess_all(folders: DataFrame, outputs: Outputs, mode: str, language: str, run_id: str | None = None, **steps) -> DataFrame:
+    """folders (folder) with what reprocess gives for each of them, side by side on the executors; a folder that fails stays as it was.
+
+    A folder is made anew once in a run, however often the result is read or a task is tried; another call is another run,
+    unless it is given the run_id of an earlier one, which it then resumes.
+    """
     result = "segments long, translation_failed_segments long, published array<string>, backups array<string>"
-    return isolated(folders, lambda r: reprocess(outputs, r["folder"], mode, language, **steps), result)
+    return isolated(folders, lambda r: reprocess(outputs, r["folder"], mode, language, **steps), result, Once(outputs, run_id))
 
 
 class RegenerationError(RuntimeError):
@@ -199,11 +242,12 @@ def regenerate(outputs: Outputs, folders: Iterable[str], run_id: str, run: Calla
     return {"status": "success", "run_id": run_id, "folders": [f for f, _ in moved], "result": result}
 
 
-def finalized(sources: DataFrame, outputs: Outputs, archive: str = "archive/sources") -> DataFrame:
+def finalized(sources: DataFrame, outputs: Outputs, archive: str = "archive/sources", run_id: str | None = None) -> DataFrame:
     """sources (name, run status) that succeeded, with sha256, size and archive_name: copied, checked, ready to be registered.
 
     A copy whose checksum differs is deleted and is the row's error.  A source that is gone already has status absent.
-    The row is to be appended to the registry (append_json_lines) before removed() deletes sources; both can run again.
+    The row is to be appended to the registry (append_json_lines) before removed() deletes sources.  Each source is archived
+    once in a run: read again after removed(), the rows still tell what was archived.
     """
 
     def work(row):
@@ -222,11 +266,12 @@ def finalized(sources: DataFrame, outputs: Outputs, archive: str = "archive/sour
             raise OSError("the archived copy differs from its source")
         return {"sha256": sha, "size": size, "archive_name": f"{kept}{tail}"}
 
-    return isolated(sources.filter("status = 'success'").drop("status"), work, "sha256 string, size long, archive_name string")
+    return isolated(sources.filter("status = 'success'").drop("status"), work, "sha256 string, size long, archive_name string", Once(outputs, run_id, ("_manifests", "runs", "archived")), "name")
 
 
-def removed(registered: DataFrame, outputs: Outputs) -> DataFrame:
-    """registered (name, sha256) sources deleted, if they still are what was archived; status removed, changed or absent."""
+def removed(registered: DataFrame, outputs: Outputs, run_id: str | None = None) -> DataFrame:
+    """registered (name, sha256) sources deleted, if they still are what was archived; status removed, changed or absent, as the
+    first reading of this run found it."""
 
     def work(row):
         if not outputs.exists(row["name"]):
@@ -236,14 +281,15 @@ def removed(registered: DataFrame, outputs: Outputs) -> DataFrame:
         outputs.delete(row["name"])
         return {"status": "removed"}
 
-    return isolated(registered.select("name", "sha256"), work, "status string")
+    return isolated(registered.select("name", "sha256"), work, "status string", Once(outputs, run_id, ("_manifests", "runs", "removed")), "name")
 
 
-def raw_videos(files: DataFrame, work: Callable[[dict], dict]) -> DataFrame:
+def raw_videos(files: DataFrame, work: Callable[[dict], dict], once: Once | None = None) -> DataFrame:
     """files (name) of a folder without archives that are videos, with output_folder (the stem of the name) and the outcome of
-    work: status success, partial_translation or error, each its own.  raw_status rolls them up."""
+    work: status success, partial_translation or error, each its own.  raw_status rolls them up.  With once, work is done once
+    for each name of a run."""
     from ..functions.names import course_lesson
     from ..functions.uris import RAW_MEDIA, media_class
 
     rows = files.filter(media_class(F.col("name"), RAW_MEDIA) == "media").withColumn("output_folder", course_lesson(F.col("name"))["output_stem"])
-    return isolated(rows, work, "segments long, translation_failed_segments long")
+    return isolated(rows, work, "segments long, translation_failed_segments long", once, "name")

@@ -814,7 +814,7 @@ def _files(spark, sf_dir):
 _FILES = """files AS (SELECT CASE WHEN p_partkey % 500 = 0 THEN '_manifests' ELSE 'f' || p_partkey % 500 END AS folder, CASE p_partkey % 4 WHEN 1 THEN 'original_transcriptions' WHEN 3 THEN 'other' END AS subfolder, replace(p_name, ' ', '_') || p_partkey || ['_original.vtt', '_es.vtt', '.backup.vtt', '_es.bak.02.vtt', '.mp4', '.MKV', '_TTS.mp4', '.txt', '_original.bak.vtt'][p_partkey % 9 + 1] AS name FROM part)"""
 
 
-@query(f"""WITH {_FILES}, v AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY lower(name) NOT LIKE '%.mp4', name) AS k FROM files WHERE (lower(name) LIKE '%.mp4' OR lower(name) LIKE '%.mkv') AND NOT contains(lower(name), '_tts')),
+@query(f"""WITH {_FILES}, v AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY lower(name) NOT LIKE '%.mp4', lower(name), name) AS k FROM files WHERE (lower(name) LIKE '%.mp4' OR lower(name) LIKE '%.mkv') AND NOT contains(lower(name), '_tts')),
 s AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY NOT contains(name, '_original'), lower(name)) AS k FROM files WHERE name LIKE '%.vtt' AND NOT contains(name, '.bak.'))
 SELECT coalesce(v.folder, s.folder) AS folder, v.name AS video, s.name AS subtitles FROM (SELECT * FROM v WHERE k = 1) v FULL JOIN (SELECT * FROM s WHERE k = 1) s ON v.folder = s.folder""")
 def folder_choices(spark, sf_dir) -> DataFrame:

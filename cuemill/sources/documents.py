@@ -144,3 +144,22 @@ def prompt(spark: SparkSession, literal: str | None, candidates: list[str]) -> s
         got = rows.select(collapse(F.col("text")).alias("text")).first()
         return got["text"] if got and got["text"] else None
     return None
+
+
+def rewritten(patched: DataFrame, path: str, partition: str = "manifest") -> list[str]:
+    """Writes the partitions of a manifest folder (Parquet, by `partition`) in which rows are `changed`; the others keep their files.
+
+    patched: all rows of the folder with changed (as listings.patched gives them), read from where they are written.  What
+    is to be written is stored first, so a failure while reading loses nothing, and each partition is replaced when the
+    whole write commits.  The values of the partitions that were written; none changed, none written.
+    """
+    from ..operators.running import stored
+
+    spark = patched.sparkSession
+    found = patched.filter("changed").select(F.col(partition).alias("_part")).distinct()
+    touched = [r[0] for r in found.collect()]  # a manifest is a run; runs that one patch touches are few
+    if touched:
+        rows = patched.join(F.broadcast(found), F.col(partition).eqNullSafe(F.col("_part"))).drop("_part", "changed")
+        kept = stored(rows, "manifests")
+        kept.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    return touched

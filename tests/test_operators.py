@@ -299,6 +299,26 @@ def test_state(spark):
     assert got == {"1": "x", "2": "x___aaaaaaaa", "3": "x___aaaaaaaa_02", "4": "y___bbbbbbbb"}
 
 
+def test_videos_in_the_order_of_listings(spark):
+    files = spark.createDataFrame([("f", "B.mp4"), ("f", "a.mp4"), ("f", "0.mkv"), ("g", "b.avi"), ("g", "A.mkv"), ("h", "x.MP4"), ("h", "X.mp4")], "folder string, name string")
+    assert {(r.folder, r.name) for r in listings.video_choice(files).collect()} == {("f", "a.mp4"), ("g", "A.mkv"), ("h", "X.mp4")}
+
+
+def test_passes_ask_for_each_text_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def provider(texts):
+        asked.add(len(texts))
+        return [t if t in ("a", "b") else "" for t in texts]
+
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate("abcd")], "seq int, text string")
+    ask = fallback.provider_step(provider)
+    got = fallback.passes(rows, [("one", ask), ("two", ask), ("three", ask)])
+    assert asked.value == 4 + 2 + 2
+    assert got.count() == 4 and {(r.seq, r.provider, r.failed) for r in got.collect()} == {(0, "one", False), (1, "one", False), (2, None, True), (3, None, True)}
+    assert asked.value == 8
+
+
 def test_unique_stems_of_nulls(spark):
     rows = [(None, "1", None), (None, "2", None), ("", "3", "abc"), ("x", "4", None), ("x", "5", None)]
     df = spark.createDataFrame(rows, "stem string, source string, sha256 string")

@@ -1,11 +1,15 @@
 """Transactions over output folders: what fails leaves what was there."""
 
 import json
+import os
+import threading
+import time
+from collections import Counter
 
 import pytest
 
 from cuemill.operators import transactions as tx
-from cuemill.sources.outputs import Outputs
+from cuemill.sources.outputs import Once, Outputs
 
 CUES = [{"start": 0.0, "end": 1.0, "text": "a"}, {"start": 1.0, "end": 2.0, "text": "b"}]
 BAD = [{"start": 5.0, "end": 2.0, "text": "bad"}]
@@ -131,3 +135,144 @@ def test_one_run_at_a_time(outputs):
     with outputs.lock("run.lock"), outputs.lock("run.lock", stale_seconds=-1):
         pass
     assert not outputs.exists("run.lock")
+
+
+def test_an_overtaken_run_leaves_its_successors_lock(outputs):
+    a, b = outputs.lock("run.lock"), outputs.lock("run.lock", stale_seconds=-1)
+    a.__enter__()
+    b.__enter__()
+    a.__exit__()
+    with pytest.raises(RuntimeError, match="another run"), outputs.lock("run.lock"):
+        pass
+    b.__exit__()
+    assert not [n for n in outputs.names() if n.startswith("run.lock")]
+
+
+def test_a_stale_lock_has_one_successor(outputs):
+    outputs.write(json.dumps({"token": "old", "started_at": 0}).encode(), "run.lock")
+    won, start = [], threading.Barrier(8)
+
+    def run():
+        start.wait()
+        try:
+            with outputs.lock("run.lock"):
+                won.append(1)
+                time.sleep(0.3)
+        except RuntimeError:
+            pass
+
+    threads = [threading.Thread(target=run) for _ in range(8)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(won) == 1 and not outputs.exists("run.lock")
+    outputs.write(b"{not whole", "run.lock")  # a lock that tells nothing counts from when it was written
+    with pytest.raises(RuntimeError, match="another run"), outputs.lock("run.lock"):
+        pass
+    os.utime(outputs.at("run.lock"), (0, 0))
+    with outputs.lock("run.lock"):
+        pass
+
+
+def marks(path):
+    return Counter(p.name.split("-")[0] for p in path.iterdir())
+
+
+def test_work_is_done_once_for_two_actions(spark, outputs, tmp_path_factory):
+    calls = tmp_path_factory.mktemp("calls")
+
+    def transcribe(path):
+        (calls / f"{path.split('/')[-2]}-{time.time_ns()}").write_text("")
+        if "f2" in path:
+            raise ValueError("no speech")
+        return CUES
+
+    folders = spark.createDataFrame([("f1",), ("f2",), ("f1",)], "folder string").repartition(3)
+    done = tx.reprocess_all(folders, outputs, "stt_only", "en", transcribe=transcribe, **STEPS)
+    first = sorted(map(str, done.collect()))
+    assert done.count() == 3 and sorted(map(str, done.collect())) == first
+    assert marks(calls) == {"f1": 1, "f2": 1}
+    assert len([n for n in outputs.names("f1", "original_transcriptions") if ".bak" in n]) == 1 and len(outputs.names("f1", "reprocess_history")) == 1
+    tx.reprocess_all(folders, outputs, "stt_only", "en", transcribe=transcribe, **STEPS).collect()  # another run
+    assert marks(calls) == {"f1": 2, "f2": 2}
+    for _ in range(2):  # one run, resumed
+        tx.reprocess_all(folders, outputs, "stt_only", "en", run_id="r", transcribe=transcribe, **STEPS).collect()
+    assert marks(calls) == {"f1": 3, "f2": 3}
+
+
+def test_a_retried_task_has_one_effect(spark, outputs, tmp_path_factory):
+    """A task that fails after its work was done is tried again: the work is not."""
+    calls = tmp_path_factory.mktemp("calls")
+    once = Once(outputs, "retried")
+
+    def work(row):
+        (calls / f"w-{time.time_ns()}").write_text("")
+        return {"segments": 7}
+
+    def after(batches):
+        rows = list(batches)
+        if not (calls / "failed-1").exists():
+            (calls / "failed-1").write_text("")
+            raise OSError("the executor is gone")
+        yield from rows
+
+    plan = tx.isolated(spark.createDataFrame([("f1",)], "folder string"), work, "segments long", once)
+    for _ in range(2):
+        try:
+            got = plan.mapInArrow(after, plan.schema).collect()
+        except Exception as e:
+            assert "the executor is gone" in str(e)
+    assert [(r.status, r.segments) for r in got] == [("success", 7)] and marks(calls)["w"] == 1
+
+
+def test_those_who_come_meanwhile_wait(outputs):
+    done, seen = [], []
+
+    def work(again):
+        done.append(again)
+        time.sleep(1.5)  # longer than the lease: the claim is kept alive
+        return {"n": len(done)}
+
+    threads = [threading.Thread(target=lambda: seen.append(Once(outputs, "r", lease_seconds=0.8).do("k", work))) for _ in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert done == [False] and seen == [{"outcome": {"n": 1}}] * 4
+
+
+def test_a_claim_that_died_has_one_successor(outputs):
+    once = Once(outputs, "r", lease_seconds=0.5)
+    claim = once._at("k", "claim0")
+    outputs.create(b"dead", *claim)
+    os.utime(outputs.at(*claim), (0, 0))
+    done = []
+    threads = [threading.Thread(target=lambda: once.do("k", lambda again: done.append(again) or {})) for _ in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert done == [True]
+
+
+def test_archived_sources_tell_the_same_after_their_removal(spark, outputs):
+    outputs.write(b"zip", "in", "a.zip")
+    done = tx.finalized(spark.createDataFrame([("in/a.zip", "success")], "name string, status string"), outputs)
+    first = [r.asDict() for r in done.collect()]
+    gone = tx.removed(done.select("name", "sha256"), outputs)
+    assert [r.status for r in gone.collect()] == ["removed"] and [r.status for r in gone.collect()] == ["removed"]
+    assert [r.asDict() for r in done.collect()] == first and first[0]["status"] == "success"
+
+
+def test_two_files_are_published_as_one(outputs, tmp_path, monkeypatch):
+    before = tree(tmp_path)
+    write = Outputs.write
+
+    for broken in ("v_en.vtt", "reprocess_T.json"):
+
+        def failing(self, data, *parts, broken=broken):
+            if parts[-1] == broken and not failing.done:
+                failing.done = True
+                raise OSError("disk full")
+            return write(self, data, *parts)
+
+        failing.done = False
+        monkeypatch.setattr(Outputs, "write", failing)
+        with pytest.raises(OSError, match="disk full"):
+            tx.reprocess(outputs, "f1", "full", "en", transcribe=lambda p: CUES[:1], translate=lambda c: c, stamp="T", **STEPS)
+        assert tree(tmp_path) == before
