@@ -60,6 +60,11 @@ def _second(a: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(a.tobytes(), 0x5EED ^ len(a)) - (1 << 63)
 
 
+def _group(prefix: np.ndarray, n: int) -> int:
+    """A print of a prefix and the size of its set; prefixes that share one are indexed each, and their sets are one group."""
+    return xxhash.xxh3_64_intdigest(prefix.tobytes(), n) - (1 << 63)
+
+
 def _namer(met: frozenset):
     """What names a set: its print, or, where different sets are known to share that, its second print."""
 
@@ -117,7 +122,7 @@ def prefixes(docs: DataFrame, counts: bytes, words: int = WORDS) -> DataFrame:
                     sizes.append(len(s))
                     us.append(_print(s))
                     ws.append(_second(s))
-                    gs.append(xxhash.xxh3_64_intdigest(p.tobytes(), len(s)) - (1 << 63))
+                    gs.append(_group(p, len(s)))
                     out.append(p.tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (sizes, us, ws, gs)), pa.array(out, pa.binary())], names=["doc_id", "n", "u", "w", "g", "prefix"])
 
@@ -353,8 +358,7 @@ def grouped(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, frozenset]:
     counts = shingle_counts(docs, words=words)
     found, nodes, met = named_sets(docs, counts, words)
     full = found.filter("n > 0")
-    groups = full.groupBy("g").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    groups = store(groups.select("g", "n", "prefix"), "jaccard-grouped-sets")
+    groups = store(full.select("g", "n", "prefix").distinct(), "jaccard-grouped-sets")  # all prefixes of a group, should prints collide
     held = spark.sparkContext.broadcast(counts)
     shape = "token long, g long, n int, pos int"
     cold = groups.mapInArrow(_explode(held, False, HOT_LIST), shape).repartition("token").sortWithinPartitions("token", "n", "g")

@@ -131,6 +131,17 @@ def test_jaccard_tiles_hold_all_pairs(spark, rows, monkeypatch):
     assert {x.doc_id: x.component_id for x in jaccard.near_duplicates(h.frame(spark, some)).collect()} == h.components(sets, links)
 
 
+def test_jaccard_groups_that_collide(docs, monkeypatch):
+    """Prefixes of one print are indexed each: no pair of theirs is lost."""
+    want = {tuple(r) for r in jaccard.near_duplicates(docs).collect()}
+    full = jaccard._group
+    few = lambda prefix, n: full(prefix, n) >> 61  # 8 values
+    monkeypatch.setattr(jaccard, "_group", few)
+    found = jaccard.prefixes(jaccard._keyed(docs), bytes(4 << 20)).filter("n > 0")
+    assert found.select("g").distinct().count() <= 8 < found.select("g", "prefix").distinct().count()
+    assert {tuple(r) for r in jaccard.near_duplicates(docs).collect()} == want
+
+
 def test_jaccard_prints_that_collide(spark, docs, rows, monkeypatch):
     want = {tuple(r) for r in jaccard.near_duplicates(docs).collect()}
     full = jaccard._print
