@@ -18,6 +18,7 @@ MIN_DOCS = 5
 BATCHES = 4
 FANOUT = 2
 BROADCAST_KEYS = 200_000
+SPLITS = 64  # parts of the documents that hold one repeated line, where the lines are too many to be broadcast
 _LOWEST = -(2**63)
 
 
@@ -145,6 +146,14 @@ def repeated_keys(docs: DataFrame, min_chars: int, min_docs: int, batches: int,
         runs.close()
 
 
+def met_in_parts(pairs: DataFrame, repeated: DataFrame, splits: int = SPLITS) -> DataFrame:
+    """pairs (key, doc_id) with the max_doc of their key.  The documents of a line meet it in `splits` parts, by their ids, so a
+    line of a third of all documents is not one task's."""
+    parts = repeated.withColumn("_part", F.explode(F.expr(f"sequence(0, {splits - 1})")))
+    cut = pairs.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(splits)).cast("int"))
+    return cut.join(parts.hint("merge"), ["key", "_part"]).drop("_part")
+
+
 def drop_repeated_lines(
     docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, broadcast_keys: int = BROADCAST_KEYS
 ) -> DataFrame:
@@ -153,8 +162,8 @@ def drop_repeated_lines(
     A line's key is the line stripped of ASCII white space, A-Z lower-cased.  A key of min_chars code points or more that
     min_docs documents (doc_ids) or more hold keeps its lines only in the largest of them.  The documents come in batches
     of falling doc_ids; each is merge anti-joined with the runs so far and adds its own.  The repeated keys then meet the
-    lines by broadcast while there are at most broadcast_keys of them, else by joins on key and doc_id.
-    Nulls: a null text is one empty line and comes back empty; a null doc_id is a document below all others.  Rows with
+    lines by broadcast while there are at most broadcast_keys of them, else by joins on key, in parts, and doc_id.
+    No documents, no rows.  Nulls: a null text is one empty line and comes back empty; a null doc_id is a document below all others.  Rows with
     one doc_id are one document.  Texts of any length are read whole.  Other columns stay; clashing ones are replaced.
     """
     spark = docs.sparkSession
@@ -186,7 +195,7 @@ def drop_repeated_lines(
 
         return docs.mapInArrow(by_broadcast, schema)
 
-    drops = line_keys(docs, min_chars).distinct().join(repeated, "key").filter("doc_id <> max_doc").groupBy("doc_id").agg(F.collect_list("key").alias("_drop"))
+    drops = met_in_parts(line_keys(docs, min_chars).distinct(), repeated).filter("doc_id <> max_doc").groupBy("doc_id").agg(F.collect_list("key").alias("_drop"))
     whole = docs.join(drops.withColumnRenamed("doc_id", "_doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)) == F.col("_doc"), "left").drop("_doc")
 
     @lean

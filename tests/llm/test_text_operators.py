@@ -58,6 +58,23 @@ def test_line_dedup_repeated_and_null_ids(spark):
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()) == plain_lines(rows)
 
 
+def test_a_line_of_a_third_of_the_documents_is_split(spark):
+    long = "a line that a third of all documents hold, long enough to count"
+    rows = [(d, f"own {d} " * 9 + ("\n" + long if d % 3 == 0 else "\n" + long[:20]), "en", "s", 1, 1, "", "", "", 1) for d in range(900)]
+    docs = h.frame(spark, rows, 4)
+    out = linededup.drop_repeated_lines(docs, broadcast_keys=0)
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()) == plain_lines(rows)
+    key = linededup._keys(long, 40)[1][0]
+    repeated = spark.createDataFrame([(key, 897)], "key binary, max_doc long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = linededup.met_in_parts(linededup.line_keys(docs), repeated)
+        sizes = met.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 300 and max(sizes) < 150 and sum(n > 0 for n in sizes) >= 3
+
+
 def test_line_runs_tell_unseen_keys(spark):
     runs = linededup.LineRuns(spark, fanout=2)
     for batch in ([("a", 9), ("b", 9), ("a", 8)], [("b", 7), ("c", 7)], [("a", 3)]):
