@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import repaired_member, safe_directory, without_suffix
 from ..functions.uris import is_junk, media_class, member_fault
+from ..sources.outputs import located
 from .lineage import shared_dir
 from .running import stored
 
@@ -61,15 +62,8 @@ class _View(io.RawIOBase):
         return len(data)
 
 
-def _located(path: str):
-    """The file system of a path or URI, and the path in it; local names are taken as they are, whatever a URI would escape."""
-    if path.startswith("file:") or "://" not in path:
-        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    return pafs.FileSystem.from_uri(path)
-
-
 def _opened(path: str):
-    system, name = _located(path)
+    system, name = located(path)
     return system.open_input_file(name)
 
 
@@ -156,7 +150,7 @@ def _scratch(root: str):
     """
 
     def run(batches):
-        system, base = _located(root)
+        system, base = located(root)
         for b in batches:
             cols, files, errors = b.to_pydict(), [], []
             for k in range(b.num_rows):
@@ -296,7 +290,7 @@ def extracted(plan: DataFrame, root: str, task_bytes: int = TASK_BYTES) -> DataF
     n = max(spark.sparkContext.defaultParallelism, -(-int(good.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]) // task_bytes))
 
     def write(batches):
-        system, base = _located(root)
+        system, base = located(root)
         for b in batches:
             cols, shas, errors = b.to_pydict(), [], []
             for k in range(b.num_rows):

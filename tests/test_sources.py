@@ -75,6 +75,30 @@ def test_texts(spark, tmp_path):
         documents.prompt(spark, None, [str(tmp_path / "big.txt")])
 
 
+def test_a_poll_opens_only_what_is_new(spark, tmp_path):
+    import os
+    import time
+
+    box, registry = tmp_path / "in", str(tmp_path / "registry")
+    box.mkdir()
+    old = time.time() - 9000
+    for name in ("a.zip", "b.zip", "notes.txt"):
+        (box / name).write_bytes(name.encode())
+        os.utime(box / name, (old, old))
+    done = lambda rows: rows.withColumn("status", F.lit("success"))
+    assert {r.name for r in polling.poll(spark, str(box), registry, done, 60).collect()} == {"a.zip", "b.zip"}
+    # the same path, size and time: not opened, so other bytes are not seen; a touched file is opened, and is not new
+    (box / "a.zip").write_bytes(b"A.zip")
+    os.utime(box / "a.zip", (old, old))
+    os.utime(box / "b.zip", (old + 5, old + 5))
+    (box / "c.zip").write_bytes(b"c")
+    os.utime(box / "c.zip", (old, old))
+    assert [r.name for r in polling.poll(spark, str(box), registry, done, 60).collect()] == ["c.zip"]
+    (box / "b.zip").write_bytes(b"new content")
+    os.utime(box / "b.zip", (old + 9, old + 9))
+    assert [(r.name, r.size) for r in polling.poll(spark, str(box), registry, done, 60).collect()] == [("b.zip", 11)]
+
+
 def test_listing_and_polling(spark, tmp_path):
     box = tmp_path / "in"
     (box / "sub").mkdir(parents=True)
