@@ -23,26 +23,26 @@ def decisions(folders: DataFrame) -> DataFrame:
     """For each signature that several folders have: the folder to keep, and whether the others may go.
 
     folders: name, signature.  The most stable name leads, ties by folded name; the others may go only if it is strictly
-    more stable than the runner-up, otherwise all stay.  Ranks and counts come from windows that aggregate before they
-    spread, so no list of a group's folders is built.
+    more stable than the runner-up, otherwise all stay.  Folders are read once and counted by signature and score before
+    they are shuffled; a signature then has a row for each score, of which there are few, so no list of its folders is built.
     """
     rated = folders.withColumn("_s", stability(F.col("name"))["score"])
     order = F.struct((-F.col("_s")).alias("s"), casefold(F.col("name")).alias("n"), F.col("name").alias("name"))
-    top = rated.groupBy("signature").agg(F.count("*").alias("n_folders"), F.min(order).alias("_first"), F.max("_s").alias("score"))
-    top = top.filter("n_folders > 1")
-    level = rated.groupBy("signature", "_s").agg(F.count("*").alias("_n"))
-    runner = level.join(top.select("signature", "score"), "signature").groupBy("signature").agg(
-        F.max(F.when((F.col("_s") < F.col("score")), F.col("_s"))).alias("_below"), F.max(F.when(F.col("_s") == F.col("score"), F.col("_n"))).alias("_tied")
+    levels = rated.groupBy("signature", "_s").agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    out = levels.groupBy("signature").agg(
+        F.sum("_n").alias("n_folders"),
+        F.min("_first").alias("_first"),
+        F.sort_array(F.collect_list(F.struct("_s", "_n")), asc=False).alias("_levels"),
     )
-    out = top.join(runner, "signature")
-    second = F.when(F.col("_tied") > 1, F.col("score")).otherwise(F.col("_below"))
-    return out.select(
+    score = F.col("_levels")[0]["_s"]
+    second = F.when(F.col("_levels")[0]["_n"] > 1, score).otherwise(F.get("_levels", F.lit(1))["_s"])
+    return out.filter("n_folders > 1").select(
         "signature",
         F.col("_first.name").alias("canonical"),
         "n_folders",
-        "score",
+        score.alias("score"),
         second.alias("runner_up"),
-        F.when(F.col("score") > second, "delete_duplicates").otherwise("keep").alias("decision"),
+        F.when(score > second, "delete_duplicates").otherwise("keep").alias("decision"),
     )
 
 
