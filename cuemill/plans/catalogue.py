@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import media, names, quality, resources, text, times, uris
 from ..operators import candidates, cues, dedup, fallback, intervals, listings, similarity, state, timeline
+from ..operators.lineage import shared_dir
 from . import tables as t
 
 QUERIES: dict[str, Callable] = {}
@@ -164,6 +166,26 @@ def gap_segments(spark, sf_dir) -> DataFrame:
     return out.withColumn("start", _r("start", 6)).withColumn("end", _r("end", 6))
 
 
+@query(_GAPS.replace("@GAP", "3600.0::DOUBLE").replace("@JOIN", ""))
+def gap_session_stream(spark, sf_dir) -> DataFrame:
+    """gap_segments from a stream of words in the order of their time, file by file; a word far ahead seals what is open."""
+    from ..streaming import sessions
+
+    words = t.segments(spark, sf_dir)
+    clock = spark.range(1).select(F.lit(-1).cast(words.schema["media_id"].dataType).alias("media_id"), F.lit(-1).cast("long").alias("seq"), F.lit(4e9).alias("start"), F.lit(4e9 + 1).alias("end"), F.lit("tick").alias("text"))
+    root = f"{shared_dir(spark)}/cuemill/sessions-{uuid.uuid4().hex}"
+    words.repartitionByRange(4, "start").write.mode("append").parquet(f"{root}/in")
+    clock.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    live = spark.newSession()
+    live.conf.set(sessions.STORE, sessions.ROCKS)
+    got = sessions.gap_sessions(live.readStream.schema(words.schema).parquet(f"{root}/in"), threshold=3600.0, delay="1 hour")
+    shape = got.schema
+    run = got.writeStream.format("parquet").option("checkpointLocation", f"{root}/check").option("path", f"{root}/out").trigger(availableNow=True).start()
+    run.awaitTermination()
+    out = spark.read.schema(shape).parquet(f"{root}/out").filter("media_id <> -1")
+    return out.withColumn("start", _r("start", 6)).withColumn("end", _r("end", 6))
+
+
 @query(_GAPS.replace("@GAP", "0.1::DOUBLE").replace("@JOIN", " "))
 def gap_segments_spaced(spark, sf_dir) -> DataFrame:
     out = intervals.gap_segments(t.segments(spark, sf_dir), threshold=0.0, joiner=" ")
@@ -800,6 +822,46 @@ def vtt_round_trip(spark, sf_dir) -> DataFrame:
     return vtt.parsed(vtt.documents(c), "media_id").select("media_id", "index", "start", "end", "text")
 
 
+@query(f"""WITH {t.CUES} SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY index) AS index, start, "end", trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS text FROM cues WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''""")
+def published_subtitles(spark, sf_dir) -> DataFrame:
+    """All subtitles as one version of a folder, read again through its pointer."""
+    from ..sources import publish, vtt
+
+    c = t.cues(spark, sf_dir).withColumn("text", text.collapse(F.col("text"))).filter("text <> ''").withColumnRenamed("index", "seq")
+    root = f"{shared_dir(spark)}/cuemill/published-{uuid.uuid4().hex}"
+    publish.publish(vtt.documents(c).select(F.concat(F.lit("subtitles/"), "media_id", F.lit(".vtt")).alias("name"), "document"), root)
+    files = publish.published(spark, root).select(F.regexp_extract("name", "([^/]+)[.]vtt$", 1).cast(c.schema["media_id"].dataType).alias("media_id"), "document")
+    return vtt.parsed(files, "media_id").select("media_id", "index", "start", "end", "text")
+
+
+@query(f"""WITH {t.CUES}, a AS (SELECT media_id, index, start, least(length(text), 75) AS n, (ascii(text) % 100) / 128.0::DOUBLE AS v, (index * 100) AS s FROM cues WHERE length(text) > 0),
+p AS (SELECT *, unnest(generate_series(s // 64, (s + n - 1) // 64)) AS tile FROM a),
+l AS (SELECT media_id, greatest(2, coalesce(max(CASE WHEN length(text) > 0 THEN index * 100 + least(length(text), 75) ELSE index * 100 END), 0)) AS length FROM cues GROUP BY media_id),
+k AS (SELECT media_id, length, unnest(generate_series(0, (length - 1) // 64)) AS tile FROM l),
+v AS (SELECT media_id, tile, sum(v * (least(s + n, (tile + 1) * 64) - greatest(s, tile * 64))) AS total FROM p GROUP BY ALL)
+SELECT media_id, tile::BIGINT AS tile, least(64, length - tile * 64)::BIGINT AS n_samples, round(coalesce(total, 0.0), 6)::DOUBLE AS total FROM k LEFT JOIN v USING (media_id, tile)""")
+def timeline_tiles(spark, sf_dir) -> DataFrame:
+    """Cues as sound of one level each, a hundred samples for two seconds, overlaid in tiles of 64 samples."""
+    body = F.coalesce("text", F.lit(""))
+    c = t.cues(spark, sf_dir).select("media_id", F.col("index").alias("seq"), (F.col("index") * 100).cast("long").alias("start_sample"), F.lit(75).cast("long").alias("target_samples"), F.array_repeat((F.ascii(body) % 100) / F.lit(128.0), F.length(body)).alias("audio"))
+    total = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x)
+    return timeline.tiled(c, tile_samples=64).select("media_id", "tile", F.size("samples").cast("long").alias("n_samples"), _r(total, 6).alias("total"))
+
+
+@query("""SELECT o_orderkey AS pos, o_orderkey % 12 AS manifest, 'out_' || o_orderkey % 700 AS output_folder, CASE WHEN o_orderkey % 700 % 12 = 5 THEN 'voiced' ELSE o_orderstatus END AS state FROM orders""")
+def manifests_rewritten(spark, sf_dir) -> DataFrame:
+    """Manifests by partition, of which those with new states are written again, read from their folder."""
+    from ..sources.documents import rewritten
+
+    root = f"{shared_dir(spark)}/cuemill/manifests-{uuid.uuid4().hex}"
+    o = t.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("pos"), F.concat(F.lit("out_"), (F.col("o_orderkey") % 700).cast("string")).alias("output_folder"), F.col("o_orderstatus").alias("state"), (F.col("o_orderkey") % 12).cast("long").alias("manifest"))
+    o.repartition("manifest").write.partitionBy("manifest").parquet(root)
+    new = spark.range(700).filter("id % 12 = 5").select(F.concat(F.lit("out_"), F.col("id").cast("string")).alias("output_folder"), F.lit("voiced").alias("state"))
+    read = lambda: spark.read.schema(o.schema).parquet(root)
+    rewritten(listings.patched(read(), new), root)
+    return read().select("pos", "manifest", "output_folder", "state")
+
+
 # listings of output folders
 
 
