@@ -205,7 +205,7 @@ def reprocess_all(folders: DataFrame, outputs: Outputs, mode: str, language: str
     """folders (folder) with what reprocess gives for each of them, side by side on the executors; a folder that fails stays as it was.
 
     A folder is made anew once in a run, however often the result is read or a task is tried; another call is another run,
-    unless it is given the run_id of an earlier one, which it then resumes.
+    unless it is given the run_id of an earlier one, which it then resumes: what has an outcome there, an error too, keeps it.
     """
     result = "segments long, translation_failed_segments long, published array<string>, backups array<string>"
     return isolated(folders, lambda r: reprocess(outputs, r["folder"], mode, language, **steps), result, Once(outputs, run_id))

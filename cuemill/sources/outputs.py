@@ -225,5 +225,5 @@ class Once:
         finally:
             done.set()
             alive.join()
-        self.outputs.write(json.dumps(told, ensure_ascii=False).encode(), *self._at(key, "json"))
+        self.outputs.write(json.dumps(told, ensure_ascii=False, default=str).encode(), *self._at(key, "json"))
         return told
