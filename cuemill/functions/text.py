@@ -13,7 +13,11 @@ WORD = r"[\p{L}\p{N}_]+(?:[’'-]+[\p{L}\p{N}_]+)*"
 
 
 def let(value: Column, f) -> Column:
-    """f(value) with value worked out once, however often f uses it - within lambdas of its own as well."""
+    """f(value) with value worked out once, however often f uses it - within lambdas of its own as well.
+
+    Under a Python UDF f may use its own variable alone: Spark 4.1.2 does not find a UDF whose argument has a lambda that
+    uses the variable of another around it.
+    """
     return F.transform(F.array(value), f)[0]
 
 
@@ -33,16 +37,22 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+def _unmarked(x: str) -> str:
+    if x.isascii():
+        return x
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c)[0] != "M"))
+
+
 @F.pandas_udf(T.StringType())
 def strip_marks(s: pd.Series) -> pd.Series:
     """Text without combining marks: decomposed, category M dropped, composed again."""
+    return s.map(_unmarked, na_action="ignore")
 
-    def one(x: str) -> str:
-        if x.isascii():
-            return x
-        return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", x) if unicodedata.category(c)[0] != "M"))
 
-    return s.map(one, na_action="ignore")
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def strip_marks_each(s: pd.Series) -> pd.Series:
+    """strip_marks of each text of an array; null texts stay."""
+    return s.map(lambda a: [None if x is None else _unmarked(x) for x in a], na_action="ignore")
 
 
 def words(c: Column) -> Column:

@@ -605,7 +605,7 @@ SELECT p_partkey, course, lesson, course_name, lesson_name, lesson_name AS descr
   CASE WHEN course IS NOT NULL AND lesson IS NOT NULL THEN 'high' ELSE 'medium' END AS confidence, course IS NULL OR lesson IS NULL AS review_required,
   concat_ws('; ', CASE WHEN course IS NULL THEN 'course number not found; textual course description used when available' END, CASE WHEN lesson IS NULL THEN 'lesson number not found; textual lesson description used when available' END) AS review_reason FROM l""")
 def course_lessons(spark, sf_dir) -> DataFrame:
-    p, k, name = t.table(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_name")
+    p, k, name = t.dealt(spark, sf_dir, "part"), F.col("p_partkey"), F.col("p_name")
     box = F.when(k % 3 == 0, F.concat(F.lit("download_2026-08-26_Curso 12 "), "p_type")).when(k % 3 == 1, "backup").otherwise(F.concat(F.lit("Course "), "p_type"))
     leaf = F.when(k % 4 == 0, F.concat(F.lit("03. "), name, F.lit(".mp4"))).when(k % 4 == 1, F.concat(F.lit("Lección 7 - "), name)).when(k % 4 == 2, F.concat(F.lit("clase 5 "), name, F.lit("_20260831_10_24.wmv"))).otherwise(name)
     return p.select("p_partkey", names.course_lesson(F.concat_ws("/", box, leaf)).alias("c")).select("p_partkey", "c.*")

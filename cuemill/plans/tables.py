@@ -10,11 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents; where they are one file that fewer tasks would read than there are cores, dealt over all of them."""
-    docs = table(spark, sf_dir, "documents")
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work on each row alone; where it is one file that fewer tasks would read than there are cores, dealt over all of them."""
+    rows = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if len(docs.inputFiles()) == 1 and docs.rdd.getNumPartitions() < cores else docs
+    return rows.repartition(cores) if len(rows.inputFiles()) == 1 and rows.rdd.getNumPartitions() < cores else rows
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(spark, sf_dir, "documents")
 
 
 def segments(spark, sf_dir) -> DataFrame:

@@ -179,6 +179,16 @@ def test_course_and_lesson_of_paths(spark):
     assert one(spark, names.reference_stem(F.lit("wetransfer_curso19_2026-07-19.zip"), F.lit("6.-X.mp4"))) == "19x6_x"
 
 
+def test_a_path_is_read_once(spark):
+    """What is used twice is bound: the expression stays short, and thousands of paths take seconds."""
+    df = spark.createDataFrame([(f"Curso {i % 40} abc/0{i % 9}. Lección {i}.mp4",) for i in range(5000)], "p string")
+    got = df.select("p", names.course_lesson(F.col("p")).alias("c"))
+    assert got._jdf.queryExecution().analyzed().toString().count("regexp_replace(") < 200
+    rows = got.collect()
+    assert len(rows) == 5000
+    assert all(r.c.output_stem == f"{int(r.p[6:8])}_abcx{i % 9:02d}_{i}" for i, r in enumerate(rows))
+
+
 def test_languages_and_keys(spark):
     cases = {"my_tv.vtt": ("my_tv", None), "talk_es-es.vtt": ("talk", "es-es"), "a_en-us.vtt": ("a", "en-us"), "dir/talk.ES.vtt": ("talk", "es"), "talk_es": ("talk_es", None), ".es": (".es", None), "x": ("x", None)}
     for name, (stem, language) in cases.items():
