@@ -620,7 +620,7 @@ def archive_stems(spark, sf_dir) -> DataFrame:
     label = F.when(k % 5 == 0, F.concat(F.lit("curso"), size, F.lit("-basic"))).when(k % 5 == 1, F.concat(F.lit("Curso"), size)).when(k % 5 == 2, F.concat(F.lit("curso"), size, F.lit("_1o-"), slug, F.lit("-mp4"))).when(k % 5 == 3, F.concat(size, F.lit("o-"), slug, F.lit("-wmv"))).otherwise(slug)
     leaf = F.when(k % 3 == 0, F.concat(size, F.lit(".- "), brand, F.lit(".mp4"))).when(k % 3 == 1, F.concat(brand, F.lit(" (An).mov"))).otherwise(F.concat(size, F.lit("º"), brand, F.lit(" 2º parte.mp4")))
     path = F.concat_ws("/", F.concat(F.lit("wetransfer_"), label, F.lit("_2026-07-19_0916__d140128160f88ce8")), leaf)
-    return t.table(spark, sf_dir, "part").select("p_partkey", names.course_lesson(path)["output_stem"].alias("stem"))
+    return t.dealt(spark, sf_dir, "part").select("p_partkey", names.course_lesson(path)["output_stem"].alias("stem"))
 
 
 @query(r"""WITH n AS (SELECT p_partkey, replace(p_name, ' ', '-') || ['_es.vtt', '.EN.vtt', '-es-es.mp4', '_en-us.VTT', '_tv.vtt', '.mp4', '_es'][p_partkey % 7 + 1] AS name FROM part)

@@ -189,6 +189,14 @@ def test_a_path_is_read_once(spark):
     assert all(r.c.output_stem == f"{int(r.p[6:8])}_abcx{i % 9:02d}_{i}" for i, r in enumerate(rows))
 
 
+def test_stems_of_transfers_are_dealt(spark):
+    """One file of parts is worked on by all cores."""
+    from cuemill.plans import catalogue
+
+    for name in ("archive_stems", "course_lessons"):
+        assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_languages_and_keys(spark):
     cases = {"my_tv.vtt": ("my_tv", None), "talk_es-es.vtt": ("talk", "es-es"), "a_en-us.vtt": ("a", "en-us"), "dir/talk.ES.vtt": ("talk", "es"), "talk_es": ("talk_es", None), ".es": (".es", None), "x": ("x", None)}
     for name, (stem, language) in cases.items():
