@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +17,15 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Words in one value of the state.
+BLOCK = 1000
+
+
+def _blocks(words: list[tuple]) -> list[tuple[str]]:
+    """Words as few values of the state: a value costs a call to the store, whatever it holds."""
+    return [(json.dumps(words[i : i + BLOCK]),) for i in range(0, len(words), BLOCK)]
+
+
 def _millis(seconds: float) -> int:
     """The first millisecond that is not before a time."""
     return math.ceil(seconds * 1000)
@@ -27,6 +36,7 @@ class _Sessions(StatefulProcessor):
 
     A word waits until the watermark is at its start: all that start before it are there by then.  One timer a medium stands
     at the next time when something can happen - the first waiting word's start, or the end of the open session's gap.
+    The waiting words of a batch are kept in blocks, not each by itself.
     """
 
     def __init__(self, gap: float, joiner: str, key: str):
@@ -34,30 +44,34 @@ class _Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "start double, seq long, end double, text string")
+        self.waiting = handle.getListState("waiting", "words string")
         self.open = handle.getValueState("open", "segment long, start double, end double, n_words long, text string")
 
     def close(self) -> None:
         pass
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = math.inf
-        for batch in rows:
-            words = batch[["start", "seq", "end", "text"]]
-            self.waiting.appendList([(float(s), int(q), float(e), t if isinstance(t, str) else None) for s, q, e, t in words.itertuples(index=False)])
-            first = min(first, float(words["start"].min()))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first, words = math.inf, []
+        for w in rows:
+            words.append((w["start"], w["seq"], w["end"], w["text"]))
+            first = min(first, w["start"])
+            if len(words) == BLOCK:
+                self.waiting.appendList(_blocks(words))
+                words = []
+        if words:
+            self.waiting.appendList(_blocks(words))
         self._wake(_millis(first))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs() / 1000
-        words = sorted((tuple(w) for w in self.waiting.get()), key=lambda w: w[:2])
+        words = sorted((w for (block,) in self.waiting.get() for w in json.loads(block)), key=lambda w: w[:2])
         ready = [w for w in words if w[0] <= now]
         later = words[len(ready) :]
         if ready:
             self.waiting.clear()
             if later:
-                self.waiting.put(later)
+                self.waiting.put(_blocks(later))
         session = tuple(self.open.get()) if self.open.exists() else None
         texts = [] if session is None or session[4] is None else [session[4]]
         whole = lambda s: (*s[:4], self.joiner.join(texts) if texts else None)
@@ -82,8 +96,9 @@ class _Sessions(StatefulProcessor):
         if times:
             passed = int(timerValues.getCurrentWatermarkInMs())
             self._wake(max(min(times), passed + 1), passed)
-        if done:
-            yield pd.DataFrame({self.key: key[0], **{n: [d[i] for d in done] for i, n in enumerate(("segment", "start", "end", "n_words", "text"))}})
+        told = Row(self.key, "segment", "start", "end", "n_words", "text")
+        for d in done:
+            yield told(key[0], *d)
 
     def _wake(self, at: int, passed: int = -1) -> None:
         """Has the medium woken at `at`, or earlier if a timer says so; a timer at `passed` or before is the one that just ran."""
@@ -114,5 +129,5 @@ def gap_sessions(words: DataFrame, threshold: float = 0.8, delay: str = "10 minu
     timed = good.withColumn("at", F.timestamp_micros(F.floor(F.col("start") * 1_000_000).cast("long"))).withWatermark("at", delay)
     kind = words.schema[key].dataType
     shape = T.StructType([T.StructField(key, kind), *T.StructType.fromDDL("segment long, start double, end double, n_words long, text string").fields])
-    found = timed.groupBy(key).transformWithStateInPandas(_Sessions(gap, joiner, key), shape, "Append", "EventTime")
+    found = timed.groupBy(key).transformWithState(_Sessions(gap, joiner, key), shape, "Append", "EventTime")
     return found.withColumn("text", F.trim("text")).filter("text <> ''")

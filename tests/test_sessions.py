@@ -1,9 +1,11 @@
 """Gap sessions on a stream against the batch operator."""
 
+import json
 import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import Row
 
 from cuemill.operators import intervals
 from cuemill.streaming import sessions
@@ -83,6 +85,26 @@ def test_a_session_is_told_once_it_is_closed(rocks, tmp_path):
     assert got == [("a", 0, 99.9, 100.4, 2, "zero one")]
 
 
+def test_words_wait_in_blocks():
+    """2500 words of a medium in one batch are three values of the state."""
+    values, timers = [], []
+
+    class Handle:
+        getListState = lambda self, *a: self
+        getValueState = getListState
+        appendList = lambda self, v: values.extend(v)
+        listTimers = lambda self: timers
+        registerTimer = lambda self, at: timers.append(at)
+
+    words = [Row(start=9.0 + k, seq=k, end=9.5 + k, text="é" if k % 2 else None) for k in range(2500)]
+    p = sessions._Sessions(0.8, "", "media_id")
+    p.init(Handle())
+    assert list(p.handleInputRows(("a",), iter(words), None)) == []
+    kept = [tuple(w) for (block,) in values for w in json.loads(block)]
+    assert len(values) == 3 and timers == [9000]
+    assert kept == [(w.start, w.seq, w.end, w.text) for w in words]
+
+
 def test_state_store_is_asked_for(spark):
     with pytest.raises(RuntimeError, match="RocksDB"):
         sessions.gap_sessions(spark.createDataFrame([], WORDS))
