@@ -47,6 +47,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes what store() wrote and nothing will read again; leaves files that it did not write."""
+    spark = df.sparkSession
+    home = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+        if path.getParent().toUri().getPath() == f"{home}/cuemill":
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, rows: int, row_bytes: int, most_mb: int = 32) -> DataFrame:
     """df with a broadcast hint if `rows` rows of `row_bytes` are within the bound; else as it is, for a shuffled join."""
     return F.broadcast(df) if rows * row_bytes <= most_mb << 20 else df

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -11,14 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .common import lean, small, store, table, with_field
+from .common import discard, lean, small, store, table, with_field
 from .components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 4, 5  # links at an intersection of 4/5 of the union or more
 WIDTH = 1 << 20
 PARTS = 64
 SHORT_LIST = 16
-HOT_LIST = 1024  # documents that hold a token's class, beyond which its list is not brought to one task
+HOT_LIST = 1024  # documents beyond the median that hold a token's class, from which its list is not brought to one task
 PARTS_OF_LIST = 64
 TILE = 2048  # groups of a part of a long list
 LEADERS = 2
@@ -102,6 +103,16 @@ def shingle_counts(docs: DataFrame, width: int = WIDTH, words: int = WORDS) -> b
     return got or bytes(4 * width)
 
 
+def crowded(counts: bytes) -> int:
+    """How many documents may hold a class whose lists are brought to one task.
+
+    Strangers share a class by their hashes alone, ever more as documents grow; so it is HOT_LIST documents beyond the median
+    class, or eight times the deviation that chance gives.  Of a million shingles this brings a list one posting more.
+    """
+    usual = int(np.median(np.frombuffer(counts, "<u4")))
+    return usual + max(HOT_LIST, 8 * math.isqrt(usual))
+
+
 def prefixes(docs: DataFrame, counts: bytes, words: int = WORDS) -> DataFrame:
     """doc_id, n (set size), u and w (two hashes of the set), g (hash of size and prefix), prefix (tokens, bytes).
 
@@ -130,8 +141,8 @@ def prefixes(docs: DataFrame, counts: bytes, words: int = WORDS) -> DataFrame:
 
 
 def _explode(counts, hot: bool, most: int):
-    """The postings (token, g, n, pos) of groups (g, n, prefix): those of tokens whose class more than `most` documents hold,
-    or those of the others, whose lists are then no longer than that."""
+    """The postings (token, g, n, pos) of rows (g, n, prefix): those of tokens whose class more than `most` documents hold,
+    or those of the others, whose lists are then no longer than that.  Rows of one group and prefix repeat their postings."""
 
     @lean
     def explode(batches):
@@ -202,7 +213,9 @@ def _short_pairs(batches):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(x), PAIR, np.int32)), pa.array(x), pa.array(y), *none(len(x))], names=names)
 
     names = ["kind", "a", "b", "token", "n", "pos"]
-    for token, g, n, pos in _lists(batches, ("token", "g", "n", "pos")):
+    for cols in _lists(batches, ("token", "g", "n", "pos")):
+        own = np.r_[True, np.any([c[1:] != c[:-1] for c in cols], axis=0)]  # copies stand next to each other
+        token, g, n, pos = (c[own] for c in cols)
         start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         size = np.diff(np.r_[start, len(token)])
         long = np.repeat(size > SHORT_LIST, size)
@@ -255,8 +268,9 @@ def _block_pairs(batches):
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = WORDS, met: frozenset = frozenset()) -> DataFrame:
     """The pairs (a, b) of sets that link, by the sets themselves.
 
-    The set of each pair's less busy side travels to tasks that hold the busier one's; a set with many pairs is split over
-    tasks, so neither a task nor a shuffled key gathers all pairs of one set.
+    A text of the set of each pair's less busy side travels to tasks that hold the busier one's; a set with many pairs is
+    split over tasks, so neither a task nor a shuffled key gathers all pairs of one set.  Texts are compressed and their sets
+    made again where they meet: hashes can't be compressed, and take nearly three times the space.
     """
     ids = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct().join(nodes, "u").select("u", F.col("rep").alias("doc_id"))
     ids = store(ids, "jaccard-ids")
@@ -268,10 +282,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = W
     @lean
     def named(batches):
         for b in batches:
-            sets = [s for _, data, off in ta.chunks(b.column(0)) for s in shingle_sets(data, off, words)]
-            yield pa.RecordBatch.from_arrays([pa.array([name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["u", "set"])
+            us = [name(s) for _, data, off in ta.chunks(b.column(0)) for s in shingle_sets(data, off, words)]
+            packed = [zlib.compress(t or b"", 1) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(packed, pa.binary())], names=["u", "packed"])
 
-    sets = texts.select("text").mapInArrow(named, "u long, set binary").join(small(ids.select("u"), ids.count(), 16), "u", "left_semi").dropDuplicates(["u"])
+    sets = texts.select("text").mapInArrow(named, "u long, packed binary").join(small(ids.select("u"), ids.count(), 16), "u", "left_semi").dropDuplicates(["u"])
     busy = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).groupBy("u").agg(F.count("*").alias("busy"))
     busy = store(busy, "jaccard-busy")
     met_by = pairs.join(busy.toDF("a", "na").hint("merge"), "a").join(busy.toDF("b", "nb").hint("merge"), "b")
@@ -281,13 +296,18 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = W
     heads = turned.select("a", "split").distinct().select("a", "split", F.col("a").alias("u"), F.lit(0).alias("other"))
     rows = heads.union(turned.select("a", "split", F.col("b"), F.lit(1))).toDF("a", "split", "u", "other").join(sets.hint("merge"), "u")
 
+    def unpacked(col):
+        for k in range(0, len(col), 50):
+            texts = pa.array([zlib.decompress(t) for t in col.slice(k, 50).to_pylist()], pa.binary())
+            for _, data, off in ta.chunks(texts):
+                yield from shingle_sets(data, off, words)
+
     @lean
     def compare(batches):
         key, head = None, None
         for b in batches:
             out = [], []
-            for x, split, u, other, raw in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                s = np.frombuffer(raw, np.uint64)
+            for x, split, u, other, s in zip(*(b.column(k).to_pylist() for k in range(4)), unpacked(b.column(4)), strict=True):
                 if not other:
                     key, head = (x, split), s
                 elif key == (x, split):
@@ -297,7 +317,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int = W
                         out[1].append(u)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
 
-    cols = ["a", "split", "u", "other", "set"]
+    cols = ["a", "split", "u", "other", "packed"]
     dealt = rows.select(*cols).repartition("a", "split").sortWithinPartitions("a", "split", "other")
     return dealt.mapInArrow(compare, "a long, b long")
 
@@ -357,15 +377,16 @@ def grouped(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, frozenset]:
     docs = _keyed(docs)
     counts = shingle_counts(docs, words=words)
     found, nodes, met = named_sets(docs, counts, words)
-    full = found.filter("n > 0")
-    groups = store(full.select("g", "n", "prefix").distinct(), "jaccard-grouped-sets")  # all prefixes of a group, should prints collide
+    groups = found.filter("n > 0").select("g", "n", "prefix")  # all prefixes of a group, should prints collide
     held = spark.sparkContext.broadcast(counts)
-    shape = "token long, g long, n int, pos int"
-    cold = groups.mapInArrow(_explode(held, False, HOT_LIST), shape).repartition("token").sortWithinPartitions("token", "n", "g")
+    shape, most = "token long, g long, n int, pos int", crowded(counts)
+    cold = groups.mapInArrow(_explode(held, False, most), shape).repartition("token").sortWithinPartitions("token", "n", "g", "pos")
     first = store(cold.mapInArrow(_short_pairs, "kind int, a long, b long, token long, n int, pos int"), "jaccard-first")
     short_pairs = first.filter(F.col("kind") == PAIR).select("a", "b")
-    hot = groups.mapInArrow(_explode(held, True, HOT_LIST), shape)
+    hot = groups.mapInArrow(_explode(held, True, most), shape).distinct()
     long = store(first.filter(F.col("kind") == LONG).select("token", F.col("a").alias("g"), "n", "pos").unionByName(hot), "jaccard-long")
+    rows = store(found.select("doc_id", "n", "u"), "jaccard-sets")
+    discard(found)  # prefixes take half the space of the documents
     heads = store(nodes.groupBy("g").agg(F.min("u").alias("head"), F.count("*").alias("size")), "jaccard-groups")
 
     def by_head(pairs):
@@ -432,7 +453,7 @@ def grouped(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, frozenset]:
     whole = nodes.join(roots.withColumnRenamed("node", "u"), "u", "left").select("u", "rep", F.coalesce("root", "u").alias("root"))
     least = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = whole.join(least, "root").select("u", "component_id", "root")
-    return found.select("doc_id", "n", "u").join(named.hint("merge"), "u", "left").select("doc_id", "n", "u", "component_id", "root"), met
+    return rows.join(named.hint("merge"), "u", "left").select("doc_id", "n", "u", "component_id", "root"), met
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:

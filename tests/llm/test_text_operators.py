@@ -532,6 +532,35 @@ def test_sharding(docs, rows, empty, spark):
     assert sharding.shuffled_shards(empty).count() == 0
 
 
+def test_jaccard_strangers_of_a_class_are_no_long_list(spark, monkeypatch):
+    """Where every class holds more documents than HOT_LIST by the number of documents alone, no list counts as long by that;
+    and what takes much space is not kept."""
+    import random
+    from pathlib import Path
+
+    from cuemill.llm.common import shared_dir
+
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(5000)}" for _ in range(200)) for _ in range(40)]
+    some = [(k, t, "en", "s", 1, 1, "", "", "", 1) for k, t in enumerate([*texts, texts[0] + " more", texts[1]])]
+    full, store, long = jaccard.shingle_counts, jaccard.store, []
+
+    def stored(df, name):
+        out = store(df, name)
+        if name == "jaccard-long":
+            long.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "HOT_LIST", 8)
+    monkeypatch.setattr(jaccard, "shingle_counts", lambda docs, words: full(docs, 64, words))
+    monkeypatch.setattr(jaccard, "store", stored)
+    kept = lambda: {p.name for p in Path(shared_dir(spark)[7:]).glob("cuemill/jaccard-prefixes-*")}
+    before = kept()
+    want = {k: k if k < 40 else k - 40 for k in range(42)}
+    assert {x.doc_id: x.component_id for x in jaccard.near_duplicates(h.frame(spark, some)).collect()} == want
+    assert long == [0] and kept() == before
+
+
 def test_shards_are_written_in_order(docs, rows, spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "s"), shards=3, bucket_bytes=4000)
     slots = defaultdict(dict)
