@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -10,6 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from cuemill.llm import packing, quality
+from cuemill.llm.common import shared_dir
 
 from . import helpers as h
 from .test_text_operators import plain_lines
@@ -123,6 +125,15 @@ def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
 
 
+def test_run_keeps_the_last_stage_only(spark, folder, monkeypatch):
+    kept = lambda: {p.name.rsplit("-", 1)[0] for p in Path(shared_dir(spark)[7:]).glob("cuemill/stage-step-*")}
+    same = lambda spark, docs, sf_dir: docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"step {k}", same) for k in range(4)])
+    out = corpus_pipeline.run(spark, folder)
+    assert Counter(rows_of(out)) == Counter(rows_of(spark.read.parquet(f"{folder}/documents.parquet")))
+    assert kept() == {"stage-step-2"}
+
+
 def test_one_row_of_each_group_with_null_and_repeated_ids(spark):
     say = lambda w, n=30: " ".join(f"{w}{k}" for k in range(n))
     a, b, c, d = (say(w) for w in "abcd")
